@@ -57,7 +57,7 @@ def _join(tolerance_us: int):
             carried = chunk.slice(0, 0) if carried is None else carried
             con.register("chunk", chunk)
             con.register("carried", carried)
-            out = con.execute(_ASOF.format(tolerance=tolerance_us)).to_arrow_table()
+            out = con.sql(_ASOF.format(tolerance=tolerance_us)).to_arrow_table()
             yield from out.cast(pa.schema([("left_id", pa.int64()), ("right_id", pa.int64()), ("distance_us", pa.int64())])).to_batches()
             # The right rows of the last bucket stand before its left rows, which may go on in the next chunk.
             last = chunk.slice(chunk.num_rows - 1, 1).to_pylist()[0]

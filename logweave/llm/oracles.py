@@ -33,3 +33,29 @@ WITH c AS (SELECT *, {_SIDE} AS side, CASE WHEN message IS NOT NULL THEN {_SPEAK
 """
 ORACLES["p3_found"] = _TURNS + "SELECT conv_id, turn_no, line_id FROM o SEMI JOIN (SELECT conv_id FROM z WHERE verdict = 'kept') USING (conv_id)"
 ORACLES["p3_verdicts"] = _TURNS + "SELECT conv_id, verdict, turns::BIGINT AS turns, lines::BIGINT AS lines FROM z"
+
+_WORDS = "regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\p{{N}}]+')".replace("\\\\", "\\")
+_SPACED = r"list_filter(regexp_split_to_array(text, '[\s\p{Z}\x{85}\x{0b}\x{1c}-\x{1f}]+'), lambda x: x <> '')"
+
+ORACLES["p4_found"] = f"""
+WITH b AS (SELECT id, arg_min(concat_ws(' ', title, text, learning), seq) AS body FROM world_log
+           WHERE replaces_id IS NULL AND retires_id IS NULL AND id IS NOT NULL GROUP BY id),
+     w AS (SELECT id, {_WORDS.format('body')} AS w FROM b),
+     s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 12)),
+     n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+     o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM o JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9"""
+
+ORACLES["p8_found"] = f"""
+WITH i AS (SELECT item_id, {_WORDS.format('text')} AS w FROM eval_items WHERE text IS NOT NULL),
+     d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+     ig AS (SELECT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i)),
+     dg AS (SELECT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
+
+ORACLES["p10_found"] = f"""
+WITH d AS (SELECT doc_id, {_SPACED} AS w FROM documents WHERE text IS NOT NULL),
+     r AS (SELECT doc_id, k, md5(array_to_string(w[k:k + 49], chr(1))) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d)),
+     t AS (SELECT g FROM r GROUP BY g HAVING min(doc_id) <> max(doc_id)),
+     s AS (SELECT doc_id, k, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS nx FROM r SEMI JOIN t USING (g))
+SELECT doc_id, sum(least(50, coalesce(nx - k, 50)))::BIGINT AS shared_words FROM s GROUP BY doc_id"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import conversations, nearest_time
+from logweave.llm import conversations, eval_leaks, near_duplicates, nearest_time, shared_spans
+from logweave.operators.components import connected_components
 from logweave.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,4 +27,31 @@ def p3_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversation_verdicts(table(spark, d, "capture_lines"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p3_verdicts)}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.expand_pairs(*near_duplicates.near_duplicate_entries(table(spark, d, "world_log")))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each compared entry with its class and the group of classes linked by similarity, and the class's number of links."""
+    members, pairs = near_duplicates.near_duplicate_entries(table(spark, d, "world_log"))
+    return near_duplicates.groups(members, pairs)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return eval_leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks of 20 words with up to two words put in, left out or changed."""
+    return eval_leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), run=20, budget=2)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.shared_words(table(spark, d, "documents")).select("doc_id", "shared_words")
+
+
+def p10_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.span_clusters(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p3_verdicts, p4_found, p4_groups, p8_found, p8_near, p10_found, p10_clusters)}

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import conversations, eval_leaks, near_duplicates, nearest_time, shared_spans
-from logweave.operators.components import connected_components
+from logweave.llm import conversations, eval_leaks, near_duplicates, nearest_time, personal_data, shared_spans
 from logweave.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +36,15 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.groups(members, pairs)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal_data.find_personal_data(personal_data.texts_of(table(spark, d, "capture_lines"), table(spark, d, "documents")))
+
+
+def p6_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with typed placeholders."""
+    return personal_data.replace_personal_data(personal_data.texts_of(table(spark, d, "capture_lines"), table(spark, d, "documents")))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return eval_leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -54,4 +62,4 @@ def p10_clusters(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.span_clusters(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p3_verdicts, p4_found, p4_groups, p8_found, p8_near, p10_found, p10_clusters)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p3_verdicts, p4_found, p4_groups, p6_found, p6_replaced, p8_found, p8_near, p10_found, p10_clusters)}

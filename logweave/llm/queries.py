@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import conversations, eval_leaks, near_duplicates, nearest_time, personal_data, shared_spans
+from logweave.llm import broken_pairs, conversations, eval_leaks, near_duplicates, nearest_time, personal_data, shared_spans
 from logweave.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select("journal_id", "line_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return broken_pairs.broken_pairs(table(spark, d, "paar_sauber"), table(spark, d, "eval_tasks"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuild_conversations(table(spark, d, "capture_lines")).select("conv_id", "turn_no", "line_id")
 
@@ -62,4 +66,4 @@ def p10_clusters(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.span_clusters(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p3_verdicts, p4_found, p4_groups, p6_found, p6_replaced, p8_found, p8_near, p10_found, p10_clusters)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_verdicts, p4_found, p4_groups, p6_found, p6_replaced, p8_found, p8_near, p10_found, p10_clusters)}

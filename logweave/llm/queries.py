@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import broken_pairs, conversations, eval_leaks, near_duplicates, nearest_time, personal_data, shared_spans
+from logweave.llm import broken_pairs, conversations, eval_leaks, languages, near_duplicates, nearest_time, personal_data, shared_spans
 from logweave.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,21 @@ def p6_replaced(spark: SparkSession, d: str) -> DataFrame:
     return personal_data.replace_personal_data(personal_data.texts_of(table(spark, d, "capture_lines"), table(spark, d, "documents")))
 
 
+def p7_segments(spark: SparkSession, d: str) -> DataFrame:
+    """p7_found with the confidence and place of each segment; a world's segment has no place."""
+    hits, log = table(spark, d, "search_hits"), table(spark, d, "world_log")
+    model = languages.fit_on(table(spark, d, "documents"), hits, log)
+    a = languages.relabelled_hits(hits, model).withColumn("rec_kind", F.lit("hit"))
+    b = languages.relabelled_worlds(table(spark, d, "world_config"), log, model).select(
+        "rec_id", F.lit(1).alias("seg_no"), "lang", "confidence", F.lit(None).cast("int").alias("start_pos"), F.lit(None).cast("int").alias("end_pos"), F.lit("world").alias("rec_kind")
+    )
+    return a.unionByName(b).select("rec_kind", "rec_id", "seg_no", "lang", "confidence", "start_pos", "end_pos")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_segments(spark, d).select("rec_kind", "rec_id", "seg_no", "lang")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return eval_leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -66,4 +81,4 @@ def p10_clusters(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.span_clusters(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_verdicts, p4_found, p4_groups, p6_found, p6_replaced, p8_found, p8_near, p10_found, p10_clusters)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_verdicts, p4_found, p4_groups, p6_found, p6_replaced, p7_found, p7_segments, p8_found, p8_near, p10_found, p10_clusters)}

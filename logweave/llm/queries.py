@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import broken_pairs, conversations, eval_leaks, languages, near_duplicates, nearest_time, personal_data, shared_spans
+from logweave.llm import broken_pairs, conversations, eval_leaks, languages, mixing, near_duplicates, nearest_time, personal_data, shared_spans
 from logweave.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,17 @@ def p8_near(spark: SparkSession, d: str) -> DataFrame:
     return eval_leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), run=20, budget=2)
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The records of the mix in their blocks."""
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares the mix reaches, with the shares asked for."""
+    targets = table(spark, d, "mix_targets")
+    return mixing.mix_shares(mixing.mix_sources(table(spark, d, "documents"), targets), targets)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_words(table(spark, d, "documents")).select("doc_id", "shared_words")
 
@@ -81,4 +92,4 @@ def p10_clusters(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.span_clusters(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_verdicts, p4_found, p4_groups, p6_found, p6_replaced, p7_found, p7_segments, p8_found, p8_near, p10_found, p10_clusters)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_verdicts, p4_found, p4_groups, p6_found, p6_replaced, p7_found, p7_segments, p8_found, p8_near, p9_mix, p9_shares, p10_found, p10_clusters)}

@@ -45,12 +45,13 @@ def label(c: Column) -> Column:
 def clauses(text: str) -> list[tuple[int, int]]:
     """Start and end of the stretches between marks, blank ones left out."""
     out, at = [], 0
-    for m in _SPLIT.finditer(text):
-        if text[at : m.start()].strip():
-            out.append((at, m.start()))
-        at = m.end()
-    if text[at:].strip():
-        out.append((at, len(text)))
+    for m in [*_SPLIT.finditer(text), None]:
+        end = m.start() if m else len(text)
+        while at < end and (text[at].isspace() or text[at] in "—–->"):
+            at += 1
+        if at < end:
+            out.append((at, end))
+        at = m.end() if m else end
     return out
 
 

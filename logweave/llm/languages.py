@@ -188,7 +188,7 @@ def train(texts: list[tuple[str, str]], idf, *, epochs: int = 3, alpha: float =
             return float(np.mean(np.log(np.exp(v).sum(axis=1)) - v[np.arange(len(y)), y]))
 
         t = min(np.geomspace(0.1, 5.0, 60), key=loss)
-    return Model(w * idf[:, None], idf, bias, float(t))
+    return Model((w * idf[:, None]).astype(np.float32), idf.astype(np.float32), bias, float(t))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,8 +256,10 @@ def _main(model_b):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_b.value
         for b in batches:
-            lp, letters = model.log_probs([plain(t) for t in b.column("text").to_pylist()])
-            best = [LANGUAGES[k] if n else None for k, n in zip(lp.argmax(axis=1), letters)] if b.num_rows else []
+            texts, best = b.column("text").to_pylist(), []
+            for i in range(0, len(texts), 32):  # a few at once: a row of weights is read for every n-gram
+                lp, letters = model.log_probs([plain(t) for t in texts[i : i + 32]])
+                best += [LANGUAGES[k] if n else None for k, n in zip(lp.argmax(axis=1), letters)]
             yield pa.RecordBatch.from_arrays([b.column("rec_id"), pa.array(best, pa.string())], ["rec_id", "lang"])
 
     return go

@@ -37,3 +37,13 @@ def integrity(log: DataFrame, now) -> DataFrame:
     ptr = log.select(F.explode(F.array("replaces_id", "retires_id")).alias("k")).filter("k is not null")
     dangling = ptr.join(ids, "k", "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("dangling").alias("finding"), "n")
     return wide.unionByName(twice).unionByName(dangling)
+
+
+def error_links(log: DataFrame, now, days: int = 30) -> DataFrame:
+    """``(errors, fixed, learned, fixed_recent)``: shares of error entries that a correction or a closing line names."""
+    e = first_lines(log).filter("entry_type = 'error'").select("id", "at_ts")
+    f = log.filter("replaces_id is not null").select(F.col("replaces_id").alias("id")).distinct().withColumn("f", F.lit(1))
+    r = log.filter("retires_id is not null").select(F.col("retires_id").alias("id")).distinct().withColumn("r", F.lit(1))
+    j = e.join(f, "id", "left").join(r, "id", "left").select("at_ts", F.coalesce("f", F.lit(0)).alias("f"), F.coalesce("r", F.lit(0)).alias("r"))
+    recent = F.col("at_ts") >= now - F.expr(f"INTERVAL {days} DAY")
+    return j.agg(F.count(F.lit(1)).alias("errors"), F.round(F.avg("f"), 6).alias("fixed"), F.round(F.avg("r"), 6).alias("learned"), F.round(F.avg(F.when(recent, F.col("f"))), 6).alias("fixed_recent"))

@@ -22,15 +22,15 @@ NAMES = {
     "fr": ("fra", "fre", "french"), "nl": ("nld", "dut", "dutch"), "pt": ("por", "portuguese"),
 }
 #: Hashed n-grams: sizes, and buckets (the model's and the statistics' fixed size).
-SIZES, BUCKETS = (1, 2, 3, 4), 1 << 16
+SIZES, BUCKETS = (1, 2, 3), 1 << 16
 #: Expected number of labelled rows of each language in the training sample, and clauses taken from them at most.
 SAMPLE_ROWS, SAMPLE_CLAUSES = 300, 1500
 #: Price of a change of language between clauses, in units of log probability.
 SWITCH = 4.0
 
 _SPLIT = re.compile(r"(?<=[.!?;:])[\"”»)\]]*\s+|\n+|\s[—–]\s")
-_LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_CODE = re.compile(r"\S*[\d_/@\\]\S*")
+_MARKS = re.compile(r"[^\w'’]+")
+_CODE = re.compile(r"[\d_/@\\]")
 
 
 def label(c: Column) -> Column:
@@ -57,24 +57,24 @@ def clauses(text: str) -> list[tuple[int, int]]:
 
 def plain(text: str) -> str:
     """The words of text in lower case, each between blanks; ids, paths and numbers are left out."""
-    return " " + " ".join(_LETTERS.findall(_CODE.sub(" ", text).lower())) + " "
+    words = " ".join([w for w in text.lower().split() if not _CODE.search(w)])
+    return f" {_MARKS.sub(' ', words).strip()} " if words else "  "
 
 
 def grams(text: str):
-    """The bucket of every n-gram of a plain text."""
+    """The bucket of every n-gram of a plain text; the hash of a longer one goes on from that of a shorter one."""
     import numpy as np
 
     c = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    out = []
-    for n in SIZES:
+    out, h = [], np.full(len(c), 0x9E3779B97F4A7C15, dtype=np.uint64)
+    for n in range(1, SIZES[-1] + 1):
         if len(c) < n:
             break
-        h = np.full(len(c) - n + 1, n, dtype=np.uint64)
-        for i in range(n):
-            h = (h ^ c[i : len(c) - n + 1 + i]) * np.uint64(0x100000001B3)
-            h ^= h >> np.uint64(29)
-        out.append(h % np.uint64(BUCKETS))
-    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, dtype=np.int64)
+        h = (h[: len(c) - n + 1] ^ c[n - 1 :]) * np.uint64(0x100000001B3)
+        h ^= h >> np.uint64(29)
+        if n in SIZES:
+            out.append(h)
+    return (np.concatenate(out) & np.uint64(BUCKETS - 1)).astype(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
 @dataclass
@@ -95,11 +95,11 @@ class Model:
             every = np.concatenate(ids)
             at = np.concatenate([[0], np.cumsum(size)[:-1]])
             some = size > 0
-            z[some] = np.add.reduceat(self.weights[every], at[some])
+            z[some] = np.add.reduceat(self.weights.take(every, axis=0), at[some])
             z[some] /= np.sqrt(np.add.reduceat(self.idf[every] ** 2, at[some]))[:, None]
         z = (z + self.bias) / self.temperature
         z -= z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True)), np.array([sum(c.isalpha() for c in p) for p in parts])
+        return z - np.log(np.exp(z).sum(axis=1, keepdims=True)), np.array([len(p) - p.count(" ") for p in parts])
 
     def segments(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """``(lang, confidence, start, end)`` of the longest stretches in one language, in order."""
@@ -194,10 +194,13 @@ def train(texts: list[tuple[str, str]], idf, *, epochs: int = 3, alpha: float =
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
-    df, n = np.zeros(BUCKETS, dtype=np.int64), 0
+    df, n, place = np.zeros(BUCKETS, dtype=np.int64), 0, np.zeros(BUCKETS, dtype=np.int64)
     for b in batches:
         for t in b.column("text").to_pylist():
-            df[np.unique(grams(plain(t)))] += 1
+            g = grams(plain(t))
+            k = np.arange(len(g))
+            place[g] = k  # of equal n-grams the last one stands there, so each is counted once
+            df[g[place[g] == k]] += 1
             n += 1
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["bucket", "n"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions import text as tx
@@ -47,3 +47,10 @@ def error_links(log: DataFrame, now, days: int = 30) -> DataFrame:
     j = e.join(f, "id", "left").join(r, "id", "left").select("at_ts", F.coalesce("f", F.lit(0)).alias("f"), F.coalesce("r", F.lit(0)).alias("r"))
     recent = F.col("at_ts") >= now - F.expr(f"INTERVAL {days} DAY")
     return j.agg(F.count(F.lit(1)).alias("errors"), F.round(F.avg("f"), 6).alias("fixed"), F.round(F.avg("r"), 6).alias("learned"), F.round(F.avg(F.when(recent, F.col("f"))), 6).alias("fixed_recent"))
+
+
+def repetition(log: DataFrame, days: int = 7, least: int = 3) -> DataFrame:
+    """``(seq, repeated)`` of error lines: at least ``least`` of their class within ``days`` up to each."""
+    w = Window.partitionBy("err_class").orderBy("t").rangeBetween(-days * 86_400_000_000, 0)
+    e = log.filter("entry_type = 'error' and err_class is not null and at_ts is not null").select("seq", "err_class", F.unix_micros("at_ts").alias("t"))
+    return e.select("seq", (F.count(F.lit(1)).over(w) >= least).alias("repeated"))

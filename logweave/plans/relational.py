@@ -56,9 +56,9 @@ def src5_entries_by_id(spark: SparkSession, d: str) -> DataFrame:
     return state.holding(quality.first_lines(log(spark, d)), log(spark, d)).select("id", "seq", "entry_type", "project")
 
 
-@query("WITH r AS (SELECT path, min(ts) AS ts FROM capture_lines GROUP BY path) SELECT path, epoch_us(ts) AS ts_us FROM r WHERE NOT EXISTS (SELECT 1 FROM journal j WHERE j.text IS NULL AND lower(trim(j.session_id)) = string_split(r.path, '/')[2] AND j.journal_id % 7 = 0)")
+@query("WITH r AS (SELECT path, min(ts) AS ts FROM capture_lines GROUP BY path) SELECT path, epoch_us(ts) AS ts_us FROM r WHERE NOT EXISTS (SELECT 1 FROM journal j WHERE j.text IS NULL AND lower(trim(j.session_id)) = string_split(r.path, '/')[2] AND j.hits = 0)")
 def src6_capture_listing(spark: SparkSession, d: str) -> DataFrame:
-    gone = table(spark, d, "journal").filter("text is null and journal_id % 7 = 0").select(F.lower(F.trim("session_id")).alias("session")).distinct()
+    gone = table(spark, d, "journal").filter("text is null and hits = 0").select(F.lower(F.trim("session_id")).alias("session")).distinct()
     return captures.listing(table(spark, d, "capture_lines"), gone)
 
 
@@ -74,9 +74,9 @@ def src8_capture_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT conv_id, count(*) AS turns FROM capture_lines WHERE lower(trim(coalesce(message.role, line_type))) IN ('user', 'human', 'assistant', 'ai', 'model') AND message IS NOT NULL
- AND NOT EXISTS (SELECT 1 FROM journal j WHERE j.session_id = capture_lines.session_id AND j.journal_id % 11 = 0) GROUP BY conv_id""")
+ AND NOT EXISTS (SELECT 1 FROM journal j WHERE j.session_id = capture_lines.session_id AND j.origin = 'ssh') GROUP BY conv_id""")
 def src9_foreign_import(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "journal").filter("journal_id % 11 = 0 and session_id is not null").select("session_id").distinct()
+    known = table(spark, d, "journal").filter("origin = 'ssh' and session_id is not null").select("session_id").distinct()
     return captures.import_turns(table(spark, d, "capture_lines"), known).groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
 
 

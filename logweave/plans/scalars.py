@@ -374,13 +374,13 @@ def dat10_appointments(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH k AS (SELECT o_orderkey, o_orderdate::DATE AS d, ['daily', 'weekly', 'monthly', 'weekdays'][(o_orderkey % 4 + 1)::INT] AS r FROM orders WHERE o_orderkey % 50 < 4),
+WITH k AS (SELECT o_orderkey, o_orderdate::DATE AS d, ['daily', 'weekly', 'monthly', 'weekdays'][(o_orderkey % 4 + 1)::INT] AS r FROM orders),
      s AS (SELECT o_orderkey, d, r, unnest(range(0, 14)) AS i FROM k), w AS (SELECT o_orderkey, r, d + i::INT AS day, row_number() OVER (PARTITION BY o_orderkey ORDER BY i) - 1 AS n FROM s WHERE r = 'weekdays' AND isodow(d + i::INT) <= 5)
 SELECT o_orderkey, r AS repeat, i::INT AS n, strftime(CASE r WHEN 'daily' THEN d + i::INT WHEN 'weekly' THEN d + (7 * i)::INT ELSE (d + to_months(i::INT))::DATE END, '%Y-%m-%d') AS day FROM s WHERE r <> 'weekdays' AND i < 5
 UNION ALL SELECT o_orderkey, r, n::INT, strftime(day, '%Y-%m-%d') FROM w WHERE n < 5""")
 def dat11_recurrence(spark: SparkSession, d: str) -> DataFrame:
     names = F.array(*(F.lit(x) for x in ("daily", "weekly", "monthly", "weekdays")))
-    o = table(spark, d, "orders").filter("o_orderkey % 50 < 4").select("o_orderkey", F.to_date("o_orderdate").alias("first"), F.get(names, (F.col("o_orderkey") % 4).cast("int")).alias("repeat"))
+    o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("first"), F.get(names, (F.col("o_orderkey") % 4).cast("int")).alias("repeat"))
     return o.select("o_orderkey", "repeat", F.posexplode(dt.occurrences(F.col("first"), F.col("repeat"), 5)).alias("n", "day")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions import maths as mt
 from logweave.functions import text as tx
+from logweave.session import cut
 
 #: Vectors of one query block; a block is what is sent to every executor at once.
 BLOCK = 20_000
@@ -17,7 +18,8 @@ BLOCK = 20_000
 
 def postings(docs: DataFrame, key: str, text: str = "text", weight: Column | None = None) -> DataFrame:
     """``(key, term, tf)``: content words with their counts, times weight. One shuffle on (key, term), with map-side sums."""
-    w = docs.select(key, F.explode(F.filter(F.split(tx.strip_accents(F.lower(F.col(text))), r"[^a-z0-9_-]+"), lambda x: (F.length(x) >= 4) & ~x.isin(*tx.EN_STOP))).alias("term"))
+    # Filtered after the explode: these predicates are compiled, a lambda's are not.
+    w = docs.select(key, F.explode(F.split(tx.strip_accents(F.lower(F.col(text))), r"[^a-z0-9_-]+")).alias("term")).filter((F.length("term") >= 4) & ~F.col("term").isin(*tx.EN_STOP))
     return w.groupBy(key, "term").agg((F.count(F.lit(1)) * (F.lit(1.0) if weight is None else weight)).alias("tf"))
 
 
@@ -31,24 +33,36 @@ def term_stats(post: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 def bm25_search(docs: DataFrame, key: str, queries: DataFrame, qkey: str, top: int = 10, expansion: DataFrame | None = None) -> DataFrame:
     """``(qkey, key, score, covered, asked)``: the top documents of every query, score times coverage; ties by key.
 
-    docs is (key, text), queries (qkey, text). Only postings of asked terms are joined, so stop-like terms cost nothing if
-    no query has them. expansion ``(term, neighbour, weight)`` adds neighbours at their weight, without coverage.
+    docs is (key, text), queries (qkey, text). The postings, the index, are written once to the shared folder and read for
+    statistics and hits. Only postings of asked terms are joined, so stop-like terms cost nothing if no query has them.
+    expansion ``(term, neighbour, weight)`` adds neighbours at their weight, without coverage.
     """
-    post = postings(docs, key)
-    df, corpus = term_stats(post, key)
-    lengths = post.groupBy(key).agg(F.sum("tf").alias("len"))
+    index, df, n_docs, avg = build_index(docs, key)
     asked = queries.select(qkey, F.explode(tx.content_words(F.col("text"))).alias("term")).withColumns({"w": F.lit(1.0), "own": F.lit(1)})
     asked = asked.withColumn("asked", F.count(F.lit(1)).over(Window.partitionBy(qkey)))
     if expansion is not None:
         more = asked.join(expansion, "term").select(qkey, F.col("neighbour").alias("term"), F.col("weight").alias("w"), F.lit(0).alias("own"), "asked")
         asked = asked.unionByName(more).groupBy(qkey, "term", "asked").agg(F.max("w").alias("w"), F.max("own").alias("own"))
-    hit = asked.join(df, "term").crossJoin(F.broadcast(corpus)).join(post, "term").join(lengths, key)
-    part = F.col("w") * mt.bm25(F.col("tf"), F.col("len"), F.col("avg_len"), mt.idf(F.col("n_docs"), F.col("df")))
+    asked = asked.join(df, "term").withColumn("w", F.col("w") * mt.idf(F.lit(float(n_docs)), F.col("df")))
+    hit = index.join(asked, "term")
+    part = mt.bm25(F.col("tf"), F.col("len"), F.lit(avg), F.col("w"))
     got = hit.groupBy(qkey, key, "asked").agg(F.sum(part).alias("s"), F.sum("own").alias("covered"))
     got = got.withColumn("score", F.round(F.col("s") * mt.coverage(F.col("covered"), F.col("asked")), 6))
     return top_k(got, qkey, [F.desc("score"), F.col(key)], top).select(qkey, key, "score", "covered", "asked")
 
 
+def build_index(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame, int, float]:
+    """Postings ``(key, term, tf, len)`` in the shared folder, document frequencies, number of documents and mean length.
+
+    Texts are spread by key once; counting terms and summing lengths need no further shuffle.
+    """
+    post = postings(docs.select(key, "text").repartition(key), key)
+    index = cut(post.withColumn("len", F.sum("tf").over(Window.partitionBy(key))))
+    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    one = index.agg(F.countDistinct(key).alias("n"), F.sum("tf").alias("s")).first()
+    return index, df, one["n"], (one["s"] or 0.0) / max(1, one["n"])
+
+
 def top_k(rows: DataFrame, by: str, order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """The first k rows of each group; a rank column if named. Spark prunes each partition to k rows before the shuffle."""
     r = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_rn") <= k)

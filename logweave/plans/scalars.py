@@ -242,7 +242,7 @@ _COMMANDS = r"""SELECT pair_id, trim(c) AS command FROM (SELECT pair_id, unnest(
 
 @query(rf"""
 SELECT pair_id, CASE WHEN command = '' THEN 'other' WHEN regexp_matches(command, '(?:^|[|;&]\s*)(?:git\s+(?:commit|push|add)|npm|node\s|mkdir|rm|mv|cp|touch|tee|chmod)\b|>\s*\S') THEN 'write'
- WHEN regexp_matches(command, '(?:^|[|;&]\s*)(?:cat|head|tail|less|sed|nl|wc)\b') THEN 'read' WHEN regexp_matches(command, '(?:^|[|;&]\s*)(?:grep|rg|find|ls|mem find)\b') THEN 'search' ELSE 'other' END AS kind
+ WHEN regexp_matches(command, '(?:^|[|;&]\s*)(?:cat|head|tail|less|sed|nl|wc)\b') THEN 'read' WHEN regexp_matches(command, '(?:^|[|;&]\s*)(?:grep|rg|find|ls)\b') THEN 'search' ELSE 'other' END AS kind
 FROM (SELECT pair_id, trim(regexp_replace(command, '\s+', ' ', 'g')) AS command FROM ({_COMMANDS}))""")
 def txt27_command_kind(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "paar_sauber").filter("antwort is not null").select("pair_id", F.posexplode(F.split("antwort", "```")).alias("i", "c")).filter("i % 2 = 1")
@@ -271,12 +271,12 @@ def txt30_slug(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(rf"""
-WITH p(pattern) AS (VALUES ('mem find'), ('since find'), ('find cursor')), c AS (SELECT pair_id, regexp_split_to_array(lower(command), '[^a-z]+') AS w FROM ({_COMMANDS}))
+WITH p(pattern) AS (VALUES ('since find'), ('find cursor'), ('find timer')), c AS (SELECT pair_id, regexp_split_to_array(lower(command), '[^a-z]+') AS w FROM ({_COMMANDS}))
 SELECT pair_id, pattern FROM c, p WHERE len(list_filter(string_split(pattern, ' '), lambda x: NOT list_contains(w, x))) = 0""")
 def txt31_command_patterns(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "paar_sauber").filter("antwort is not null").select("pair_id", F.posexplode(F.split("antwort", "```")).alias("i", "c")).filter("i % 2 = 1")
     w = parts.select("pair_id", F.split(F.lower("c"), "[^a-z]+").alias("w"))
-    pats = F.array(*(F.lit(p) for p in ("mem find", "since find", "find cursor")))
+    pats = F.array(*(F.lit(p) for p in ("since find", "find cursor", "find timer")))
     return w.select("pair_id", F.explode(F.filter(pats, lambda p: F.size(F.array_except(F.split(p, " "), F.col("w"))) == 0)).alias("pattern"))
 
 

@@ -13,7 +13,7 @@ def test_each_defect(spark):
     rows += [
         (1, "T", None, None, None), (2, "T", " \n", None, 1), (3, "T", "n/a", None, 1), (4, "T", "…", "x", 1), (5, "T", '""', None, 1),
         (6, "T", "We sealed the timer so that the le", None, 9), (7, "T", "We sealed the timer (so the", None, 9), (8, "T", "We sealed the timer so that the lease holds on slow disks", None, 9),
-        (9, "T", "- one thing.\n- ", None, 3), (10, "T", "It ran.\n\n```\nmem find x --sin", "output limit reached", 3), (11, "T", "It ran.\n\n```\nmem find x --since 3d\n```", None, 3),
+        (9, "T", "- one thing.\n- ", None, 3), (10, "T", "It ran.\n\n```\nlook x --sin", "output limit reached", 3), (11, "T", "It ran.\n\n```\nlook x --since 3d\n```", None, 3),
         (12, "T", "I'm sorry, but I can't help with that.", None, 3), (13, "D", "Dazu möchte ich mich nicht äußern. Gibt es sonst noch etwas?", None, 3), (14, "T", "We decline writes without a lease. The timer holds on slow disks.", None, 3),
         (15, "T", "Question: what happens to the old timer after the lease is sealed", None, 3), (16, "T", "What happens to the old timer after the lease is sealed? Yes.", None, 3), (17, "T", "What happens to the timer after the lease is sealed?", None, 3),
         (18, "D", "We sealed the timer so that the lease holds on slow disks.", None, 3), (19, "D", "Die Sperre gilt nicht, weil der Zeiger ins Leere ging.", None, 3), (20, "missing", "Die Sperre gilt nicht.", None, 3), (21, None, None, None, 3), (None, "T", None, None, 3), (1, "T", "", None, None),

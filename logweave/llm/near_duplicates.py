@@ -4,19 +4,26 @@ Ball hashing that meets in the middle, on sets. Two sets with |A & B| / |A | B|
 either reaches by deleting at most r(A) = |A| - ceil(t |A|) of its own elements: half the radius. All the
 variants of A within that ball are too many to write out, but in one global order of the elements the variants have
 only few different leading elements: the first r(A) + 1 of A. So each fingerprint emits those keys, rows are
-shuffled on them, and colliding pairs are deduplicated and verified. The order is from rare to frequent, which
-keeps the keys' groups small. No pair at or over the threshold is lost.
+shuffled on them, and colliding pairs are deduplicated and verified. Any order that is the same everywhere loses no
+pair. The one used is from rare to frequent, which keeps the keys' groups small; frequencies come from a table of
+BUCKETS counters, so each task orders its own sets and nothing but keys is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.common import words
 from logweave.operators.components import connected_components
 from logweave.session import cut
 
+#: Counters of the frequency table: its size whatever the number of records.
+BUCKETS = 1 << 19
+
 
 def shingles(w: Column, k: int) -> Column:
     """The distinct runs of k words, as 64-bit hashes; fewer words give an empty array."""
@@ -24,17 +31,54 @@ def shingles(w: Column, k: int) -> Column:
     return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " "))))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _lists(b: pa.RecordBatch):
+    """The hashes of a batch as one array, and where each row's begin."""
+    import numpy as np
+
+    sig = b.column("sig")
+    at = sig.offsets.to_numpy()
+    flat = sig.values.to_numpy()[at[0] : at[-1]]
+    return flat, np.asarray(at - at[0])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import numpy as np
+
+    n = np.zeros(BUCKETS, dtype=np.int64)
+    for b in batches:
+        n += np.bincount(_lists(b)[0] & (BUCKETS - 1), minlength=BUCKETS)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
+
+
+def _emit(counts_b, threshold: float):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        counts = counts_b.value
+        for b in batches:
+            flat, at = _lists(b)
+            size = np.diff(at)
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((flat, counts[flat & (BUCKETS - 1)], row))
+            place = np.arange(len(flat)) - at[:-1][row] + 1  # rows keep their stretches, so places count within each
+            radius = size - np.ceil(size * threshold - 1e-9).astype(np.int64)
+            keep = place <= (radius + 1)[row]
+            ids = b.column("class_id").take(pa.array(row[keep]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(flat[order][keep]), pa.array(size[row[keep]].astype(np.int32)), pa.array(place[keep].astype(np.int32))], ["class_id", "h", "n", "place"])
+
+    return go
+
+
 def _keys(classes: DataFrame, threshold: float) -> DataFrame:
-    """``(class_id, n, h, place)``: the keys each class ``(class_id, sig)`` emits."""
-    items = classes.select("class_id", F.size("sig").alias("n"), F.explode("sig").alias("h"))
-    often = items.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    rare = items.join(often.filter("df > 1"), "h")
-    order = Window.partitionBy("class_id").orderBy("df", "h")
-    # Elements of one class alone (df = 1) come first in the order and collide with nothing; they only take places.
-    lone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("class_id"))
-    placed = rare.select("class_id", "n", "h", (F.row_number().over(order) + lone).alias("place"))
-    radius = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9)
-    return placed.filter(F.col("place") <= radius + 1)
+    """``(class_id, h, n, place)``: the keys each class ``(class_id, sig)`` emits."""
+    import numpy as np
+
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    for r in classes.select("sig").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        counts[r["bucket"]] = r["n"]
+    b = classes.sparkSession.sparkContext.broadcast(counts)
+    return classes.select("class_id", "sig").mapInArrow(_emit(b, threshold), "class_id string, h long, n int, place int")
 
 
 def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -45,11 +89,12 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
     classes are a pair if |A & B| / |A | B| >= threshold. Every pair is found, see the module. Equal ids are
     the caller's to remove. An empty table gives two empty results.
     """
-    sets = docs.filter(F.size("sig") > 0).select("id", F.array_sort("sig").alias("sig"))
-    sets = cut(sets.withColumn("content", F.unhex(F.md5(F.array_join(F.transform("sig", lambda h: F.hex(h)), ",")))))
-    heads = sets.groupBy("content").agg(F.min("id").alias("class_id"))
-    members = cut(sets.select("id", "content").join(heads, "content").select("id", "class_id"))
-    classes = sets.join(heads.select(F.col("class_id").alias("id")), "id", "left_semi").select(F.col("id").alias("class_id"), "sig")
+    sets = docs.filter(F.size("sig") > 0).select(F.col("id").cast("string").alias("id"), F.array_sort("sig").alias("sig"))
+    sets = cut(sets.withColumns({"c1": F.xxhash64("sig"), "c2": F.xxhash64(F.lit("2nd"), "sig")}))
+    content = ["c1", "c2"]
+    heads = sets.groupBy(content).agg(F.min("id").alias("class_id"))
+    members = cut(sets.select("id", *content).join(heads, content).select("id", "class_id"))
+    classes = cut(sets.join(heads.select(F.col("class_id").alias("id")), "id", "left_semi").select(F.col("id").alias("class_id"), "sig"))
     keys = _keys(classes, threshold)
     a = keys.select("h", F.col("class_id").alias("class_a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"))
     b = keys.select("h", F.col("class_id").alias("class_b"), F.col("n").alias("n_b"), F.col("place").alias("p_b"))

@@ -21,9 +21,13 @@ from logweave.llm.common import words
 from logweave.operators.components import connected_components
 from logweave.session import cut
 
+#: 64-bit words of the bitmap that each key carries.
+WORDS = 4
 #: Counters of the frequency table: its size whatever the number of records.
 BUCKETS = 1 << 19
 
+_MAPS = [f"m{i}" for i in range(WORDS)]
+
 
 def shingles(w: Column, k: int) -> Column:
     """The distinct runs of k words, as 64-bit hashes; fewer words give an empty array."""
@@ -65,20 +69,24 @@ def _emit(counts_b, threshold: float):
             radius = size - np.ceil(size * threshold - 1e-9).astype(np.int64)
             keep = place <= (radius + 1)[row]
             ids = b.column("class_id").take(pa.array(row[keep]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(flat[order][keep]), pa.array(size[row[keep]].astype(np.int32)), pa.array(place[keep].astype(np.int32))], ["class_id", "h", "n", "place"])
+            bits = np.zeros((len(size), 64 * WORDS), dtype=bool)
+            bits[row, (flat >> 40) & (64 * WORDS - 1)] = True
+            maps = np.packbits(bits, axis=1).view(np.int64)[row[keep]]
+            cols = [ids, pa.array(flat[order][keep]), pa.array(size[row[keep]].astype(np.int32)), pa.array(place[keep].astype(np.int32)), *(pa.array(np.ascontiguousarray(maps[:, i])) for i in range(WORDS))]
+            yield pa.RecordBatch.from_arrays(cols, ["class_id", "h", "n", "place", *_MAPS])
 
     return go
 
 
 def _keys(classes: DataFrame, threshold: float) -> DataFrame:
-    """``(class_id, h, n, place)``: the keys each class ``(class_id, sig)`` emits."""
+    """``(class_id, h, n, place, m0, ...)``: the keys each class ``(class_id, sig)`` emits, with a bitmap of its set."""
     import numpy as np
 
     counts = np.zeros(BUCKETS, dtype=np.int64)
     for r in classes.select("sig").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         counts[r["bucket"]] = r["n"]
     b = classes.sparkSession.sparkContext.broadcast(counts)
-    return classes.select("class_id", "sig").mapInArrow(_emit(b, threshold), "class_id string, h long, n int, place int")
+    return classes.select("class_id", "sig").mapInArrow(_emit(b, threshold), f"class_id string, h long, n int, place int, {', '.join(f'{m} long' for m in _MAPS)}")
 
 
 def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -95,15 +103,17 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
     heads = sets.groupBy(content).agg(F.min("id").alias("class_id"))
     members = cut(sets.select("id", *content).join(heads, content).select("id", "class_id"))
     classes = cut(sets.join(heads.select(F.col("class_id").alias("id")), "id", "left_semi").select(F.col("id").alias("class_id"), "sig"))
-    keys = _keys(classes, threshold)
-    a = keys.select("h", F.col("class_id").alias("class_a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"))
-    b = keys.select("h", F.col("class_id").alias("class_b"), F.col("n").alias("n_b"), F.col("place").alias("p_b"))
-    # Sizes, and what can still follow the colliding element in both sets, bound the overlap.
+    keys = cut(_keys(classes, threshold))
+    side = lambda z: keys.select("h", *(F.col(c).alias(f"{c}_{z}") for c in ("class_id", "n", "place", *_MAPS)))
+    hit = side("a").join(side("b"), "h").filter((F.col("class_id_a") < F.col("class_id_b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9))
+    # Sizes, and what can still follow the first common element in both sets, bound the overlap; so do the
+    # bits that only one set has, each of which stands for at least one element that the other lacks.
     need = F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9)
-    can = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) + 1
-    hit = a.join(b, "h").filter((F.col("class_a") < F.col("class_b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9))
+    follow = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
+    lacks = lambda a, b: sum((F.bit_count(F.col(f"{m}_{a}").bitwiseAND(F.bitwise_not(F.col(f"{m}_{b}")))) for m in _MAPS), F.lit(0))
+    shared = F.least(F.col("n_a") - lacks("a", "b"), F.col("n_b") - lacks("b", "a"))
     # The pair's first common element has the full bound; later ones may not, so the pair is kept if any has it.
-    pairs = cut(hit.filter(can >= need).select("class_a", "class_b").distinct())
+    pairs = cut(hit.filter((follow >= need) & (shared >= need)).select(F.col("class_id_a").alias("class_a"), F.col("class_id_b").alias("class_b")).distinct())
     x = classes.select(F.col("class_id").alias("class_a"), F.col("sig").alias("sig_a"))
     y = classes.select(F.col("class_id").alias("class_b"), F.col("sig").alias("sig_b"))
     full = pairs.join(x, "class_a").join(y, "class_b")

@@ -44,12 +44,12 @@ LABELS = frozenset(("q", "question", "frage", "pregunta", "prompt", "vraag", "pe
 
 #: Function words, by language.
 FUNCTION_WORDS = {
-    "en": "the a as at if in is on or its into over under after before each while of that which and must was were is are so with because while between until from this it to we they not an for next has had be by what how why should",
-    "de": "der die das den dem ein eine und nicht wir obwohl weil denn wurde war mit von noch ist im zum auf sich zwei damit sodass nachdem ohne dass nur nach ich es wie bei für",
-    "es": "el la de un y los las una que pero porque por del con sin para cuando hasta aunque se lo de la más y esta este ambos hubo ya dos mismo al",
-    "fr": "le la les de d l s n des une un et que qui pour mais parce puisque dès du au aux en est ce cette il ne pas avec deux même sans dans quand jusqu bien soient",
-    "nl": "de het een en niet omdat dat hoewel zodat van voor met zonder werd is te terwijl maar want wij op in bij dit geen nog tot toen twee",
-    "pt": "o a de e os as um uma que mas porque por do da dos das com sem para quando até embora não ao mesmo dois ambos foi se na no já é",
+    "en": "the a as at if in is on or its into over under after before each while of that which and must was were is are so with because while between until from this it to we they not an for next has had be by what how why should which where when does do no yes you your our only there",
+    "de": "der die das den dem ein eine und nicht wir obwohl weil denn wurde war mit von noch ist im zum auf sich zwei damit sodass nachdem ohne dass nur nach ich es wie bei für was wenn wird warum wo wer sollen soll daraus hier kein keine nein",
+    "es": "el la de un y los las una que pero porque por del con sin para cuando hasta aunque se lo de la más y esta este ambos hubo ya dos mismo al qué sigue siendo esta hacemos después así sí aunque bien mientras pues nadie otra otro todo",
+    "fr": "le la les de d l s n des une un et que qui pour mais parce puisque dès du au aux en est ce cette il ne pas avec deux même sans dans quand jusqu bien soient qu faut il on si encore cette oui alors tout",
+    "nl": "de het een en niet omdat dat hoewel zodat van voor met zonder werd is te terwijl maar want wij op in bij dit geen nog tot toen twee wat waar wanneer welke hoe",
+    "pt": "o a de e os as um uma que mas porque por do da dos das com sem para quando até embora não ao mesmo dois ambos foi se na no já é onde qual ou sim assim enquanto pois ninguém outra",
 }
 _LANGS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 
@@ -114,12 +114,13 @@ def language(text: str) -> tuple[str | None, int]:
 
 
 def is_foreign(answer: str, prompt: str) -> bool:
-    """In another language than the prompt, both told with a clear lead."""
-    (a, lead), (p, lead_p) = language(answer), language(prompt)
-    if a is None or p is None or a == p or lead_p < 1:
+    """In another language than the prompt: at least two function words more of one other language."""
+    (a, _), (p, lead) = language(answer), language(prompt)
+    if a is None or p is None or a == p or lead < 1:
         return False
     words = _LETTERS.findall(_FENCE.sub(" ", answer).lower())
-    return lead >= 2 and sum(w in _LANGS[a] for w in words) >= 2 * sum(w in _LANGS[p] for w in words) + 1
+    own = sum(w in _LANGS[a] for w in words)
+    return own >= sum(w in _LANGS[p] for w in words) + 2
 
 
 def ending(answer: str) -> tuple[bool, str]:

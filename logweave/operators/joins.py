@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions import text as tx
+from logweave.session import cut
 
 
 def lookup(links: DataFrame, ends: list[str], entries: DataFrame, key: str) -> DataFrame:
@@ -38,6 +39,50 @@ def first_after(left: DataFrame, right: DataFrame, key: str, lid: str, rid: str,
     return near.groupBy(lid).agg(F.min(F.struct("dt_us", rid)).alias("m")).select(lid, f"m.{rid}", "m.dt_us")
 
 
+def first_sharing(questions: DataFrame, entries: DataFrame, near: int = 16, far: int = 2_048) -> DataFrame:
+    """``(qid, eid, t)``: the first entry after each question that shares at least ``need`` of its words; ties to the smaller eid. Exact.
+
+    questions is ``(qid, t, w, need)``, entries ``(eid, t, w)``, w distinct words. Both stand in one order of time. A question meets
+    the next ``near`` places, and if none answers it the places behind, each time eight times as many: of equal blocks up to ``far``
+    places whole word sets are compared, beyond it those left are joined by (block, word). Frequent words find their answer early,
+    what goes on is rare; no word is left out.
+    """
+    q = questions.filter((F.col("need") > 0) & (F.size("w") >= F.col("need")) & F.col("t").isNotNull())
+    e = entries.filter((F.size("w") > 0) & F.col("t").isNotNull())
+    text = F.array_join("w", " ").alias("w")
+    every = q.select(F.col("qid"), F.lit(None).cast(e.schema["eid"].dataType).alias("eid"), "t", text, "need").unionByName(e.select(F.lit(None).cast(q.schema["qid"].dataType).alias("qid"), "eid", "t", text, F.lit(0).alias("need")))
+    # The order is written down: numbers of partitions and rows within them are places only in what is not computed again.
+    rows = cut(every.repartitionByRange("t", "eid").sortWithinPartitions("t", "eid"))
+    counts = rows.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    start, n = {}, 0
+    for r in sorted(counts, key=lambda r: r["p"]):
+        start[r["p"]], n = n, n + r["count"]
+    if not n:
+        return rows.select("qid", "eid", "t").limit(0)
+    first = F.create_map(*[F.lit(x).cast("long") for kv in start.items() for x in kv])
+    placed = rows.withColumn("p", F.spark_partition_id().cast("long")).withColumn("place", first[F.col("p")] + F.monotonically_increasing_id().bitwiseAND(2**33 - 1)).withColumn("w", F.split("w", " "))
+    e = placed.filter("eid is not null").select("eid", "t", "w", "place")
+    left = placed.filter("qid is not null").select("qid", F.col("t").alias("qt"), F.col("w").alias("qw"), "need", (F.col("place") + 1).alias("lo"))
+    done, width = None, near
+    while True:
+        b = lambda c: F.floor(c / width)  # noqa: B023, E731
+        asked = left.withColumn("b", F.explode(F.array(b(F.col("lo")), b(F.col("lo")) + 1)))
+        there = e.withColumn("b", b(F.col("place")))
+        inside = (F.col("place") >= F.col("lo")) & (F.col("place") < F.col("lo") + width) & (F.col("t") > F.col("qt"))
+        if width <= far:
+            hit = asked.join(there, "b").filter(inside & (F.size(F.array_intersect("qw", "w")) >= F.col("need")))
+        else:
+            asked, there = asked.withColumn("x", F.explode("qw")).drop("qw"), there.select("eid", "t", "place", "b", F.explode("w").alias("x"))
+            there = there.join(asked.select("x").distinct(), "x", "left_semi")
+            hit = asked.join(there, ["b", "x"]).filter(inside).groupBy("qid", "eid", "t").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).filter("n >= need")
+        found = cut(hit.groupBy("qid").agg(F.min(F.struct("t", "eid")).alias("m")).select("qid", "m.eid", "m.t"))
+        done = found if done is None else done.unionByName(found)
+        left = cut(left.join(found.select("qid"), "qid", "left_anti").withColumn("lo", F.col("lo") + width).filter(F.col("lo") < n))
+        if left.isEmpty():
+            return done
+        width *= 8
+
+
 def asof_backward(left: DataFrame, right: DataFrame, key: str, lid: str, rid: str) -> DataFrame:
     """``(lid, rid)``: the last right row of the key at or before each left row, null without one.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.functions import text as tx
@@ -10,6 +10,7 @@ from logweave.functions.dates import iso
 from logweave.operators import joins, quality, state
 from logweave.operators import ranking as rk
 from logweave.plans.registry import query, sql_list
+from logweave.session import cut
 from logweave.sources import captures, logs
 from logweave.sources.tables import table
 
@@ -18,6 +19,11 @@ def log(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "world_log")
 
 
+def content_text() -> Column:
+    """All that an entry says, without what machines set."""
+    return F.concat_ws(" ", "title", "topic", "err_class", "tags", "choice", "learning", "why", "text")
+
+
 _HELD = """held AS (SELECT * FROM world_log w WHERE id IS NOT NULL AND retires_id IS NULL AND NOT EXISTS (SELECT 1 FROM world_log r WHERE r.retires_id = w.id))"""
 _FIRST = "first AS (SELECT * FROM world_log WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1)"
 
@@ -257,12 +263,11 @@ def joi7_asof(spark: SparkSession, d: str) -> DataFrame:
  df AS (SELECT x, count(*) AS df FROM w GROUP BY x), p AS (SELECT a.id, b.id AS by_id, b.t, count(*) AS shared FROM w a JOIN w b ON a.x = b.x AND b.t > a.t AND a.id <> b.id JOIN df ON df.x = a.x AND df.df <= 60 WHERE a.entry_type = 'question' GROUP BY 1, 2, 3 HAVING count(*) >= 2)
 SELECT id, arg_min(by_id, (t, by_id)) AS closed_by FROM p GROUP BY id""")
 def joi8_earliest_after(spark: SparkSession, d: str) -> DataFrame:
-    e = quality.first_lines(log(spark, d)).filter("at_ts is not null").select("id", "entry_type", F.unix_micros("at_ts").alias("t"), F.explode(tx.content_words(F.coalesce("title", F.lit("")))).alias("x"))
-    rare = e.groupBy("x").count().filter("count <= 60").select("x")
-    e = e.join(rare, "x")
-    a, b = e.filter("entry_type = 'question'").alias("a"), e.alias("b")
-    p = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("b.t") > F.col("a.t")) & (F.col("a.id") != F.col("b.id"))).groupBy(F.col("a.id").alias("id"), F.col("b.id").alias("by_id"), F.col("b.t").alias("t")).count().filter("count >= 2")
-    return p.groupBy("id").agg(F.min(F.struct("t", "by_id"))["by_id"].alias("closed_by"))
+    """By the words of whole entries, all of them; the statement above compares titles, without words of more than 60."""
+    e = quality.first_lines(log(spark, d).select("seq", "id", "entry_type", "at_ts", content_text().alias("text")))
+    e = cut(e.select("id", "entry_type", F.unix_micros("at_ts").alias("t"), F.array_join(tx.content_words(F.col("text")), " ").alias("w"))).withColumn("w", F.split("w", " "))
+    q = e.filter("entry_type = 'question'").select(F.col("id").alias("qid"), "t", "w", F.lit(2).alias("need"))
+    return joins.first_sharing(q, e.select(F.col("id").alias("eid"), "t", "w")).select(F.col("qid").alias("id"), F.col("eid").alias("closed_by"))
 
 
 @query("""WITH i AS (SELECT DISTINCT l_orderkey AS k, l_partkey || ':' || l_suppkey AS f FROM lineitem), df AS (SELECT f, count(*) AS df FROM i GROUP BY f HAVING count(*) BETWEEN 2 AND 12), n AS (SELECT count(DISTINCT k) AS n FROM i)

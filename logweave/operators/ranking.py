@@ -162,6 +162,89 @@ def cooccurrence(items: DataFrame, key: str, item: str, *, least: int = 2, cap:
     return top_k(both, "term", [F.desc("weight"), F.col("neighbour")], neighbours)
 
 
+def _pairs_of(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """``(k, x, y)``: the pairs of each document's sorted numbers ``a``; only some pairs (x, y) if named."""
+    one = docs.select("k", "a", F.posexplode("a").alias("i", "x")).filter(F.col("i") + 1 < F.size("a"))
+    if only is None:
+        return one.select("k", "x", F.explode(F.slice(F.col("a"), F.col("i") + 2, F.size("a"))).alias("y"))
+    # A few best pairs for each term are small beside the pairs of all documents, which are not to be shuffled.
+    small = F.broadcast if only.count() <= 500_000 else lambda x: x
+    two = one.join(small(only.select("x").distinct()), "x", "left_semi").select("k", "x", F.explode(F.slice(F.col("a"), F.col("i") + 2, F.size("a"))).alias("y"))
+    return two.join(small(only.select("x", "y")), ["x", "y"], "left_semi")
+
+
+def _distinct_support(least: int, overlap: float):
+    """Over rows (x, y, k, w), each pair's together and in order: whether least documents are no near copies of those taken before."""
+
+    def go(frames):
+        import pandas as pd
+
+        now, taken, ok = None, [], False
+        for f in frames:
+            out = []
+            for x, y, w in zip(f["x"], f["y"], f["w"]):
+                if (x, y) != now:
+                    now, taken, ok = (x, y), [], False
+                if ok:
+                    continue
+                s = set(w.split(" "))
+                if not any(len(s & r) >= overlap * max(len(s), len(r)) for r in taken):
+                    taken.append(s)
+                    if len(taken) >= least:
+                        ok = True
+                        out.append(now)
+            yield pd.DataFrame(out, columns=["x", "y"]).astype("int64")
+
+    return go
+
+
+def term_graph(docs: DataFrame, *, least: int = 3, cap: float = 0.5, floor: float = 0.05, neighbours: int = 6, terms: int = 40, share: float = 0.5, overlap: float = 0.8) -> DataFrame:
+    """``(term, neighbour, weight)``: terms that occur together, by normalised PMI as in cooccurrence.
+
+    docs is ``(k, w)``: number of the document and its distinct terms, the strongest first. Of terms in at least ``least`` documents
+    and at most this share of all, a document gives its first ``terms``, so its pairs are bounded. A pair needs ``least`` documents
+    that are no near copies of each other (of the larger set this overlap is shared), taken in order of k. That is looked at only for
+    pairs among the best of a term, again after some were refuted; the result is that of looking at all.
+    """
+    docs = cut(docs.select("k", F.array_join("w", " ").alias("w")))
+    n = docs.count()
+    every = docs.filter("w <> ''").select("k", F.posexplode(F.split("w", " ")).alias("pos", "term"))
+    df = every.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df").between(least, max(least, int(n * share))) & F.col("term").rlike("^[a-z][a-z_-]{2,}$"))
+    usable = cut(df.select("term", F.monotonically_increasing_id().alias("i")))
+    first = F.slice(F.array_sort(F.collect_list(F.struct("pos", "i"))), 1, terms)
+    used = cut(every.join(usable, "term").groupBy("k").agg(F.array_sort(F.transform(first, lambda x: x["i"])).alias("a")))
+    total = F.lit(float(used.count()))
+    single = used.select(F.explode("a").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("s")).join(usable, "i")
+    c = _pairs_of(used).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    c = c.join(single.select(F.col("i").alias("x"), F.col("s").alias("nx"), F.col("term").alias("tx")), "x").join(single.select(F.col("i").alias("y"), F.col("s").alias("ny"), F.col("term").alias("ty")), "y")
+    # What stands in every document that counts says nothing.
+    w = c.withColumn("weight", F.when(F.col("n") < total, F.round(F.least(F.lit(cap), cap * npmi(c, "x", "y", "n", "nx", "ny", total)), 6))).filter(F.col("weight") >= floor)
+    left, known = cut(w.select("x", "y", "tx", "ty", "weight")), None
+    while True:
+        both = left.select(F.col("tx").alias("term"), F.col("ty").alias("neighbour"), "weight", "x", "y").unionByName(left.select(F.col("ty").alias("term"), F.col("tx").alias("neighbour"), "weight", "x", "y"))
+        best = cut(top_k(both, "term", [F.desc("weight"), F.col("neighbour")], neighbours))
+        ask = best.select("x", "y").distinct()
+        ask = cut(ask if known is None else ask.join(known, ["x", "y"], "left_anti"))
+        if ask.isEmpty():
+            return best.select("term", "neighbour", "weight")
+        held = cut(_supported(ask, used, docs, least, overlap))
+        known = held if known is None else known.unionByName(held)
+        left = cut(left.join(ask.join(held, ["x", "y"], "left_anti"), ["x", "y"], "left_anti"))
+
+
+def _supported(ask: DataFrame, used: DataFrame, docs: DataFrame, least: int, overlap: float) -> DataFrame:
+    """Those of the pairs (x, y) with enough documents that are no near copies. Frequent pairs are told by the first documents, the rest by all."""
+
+    def greedy(rows: DataFrame) -> DataFrame:
+        return rows.join(docs, "k").select("x", "y", "k", "w").repartition("x", "y").sortWithinPartitions("x", "y", "k").mapInPandas(_distinct_support(least, overlap), "x long, y long")
+
+    last = used.approxQuantile("k", [0.05], 0.01)[0]
+    early = _pairs_of(used.filter(F.col("k") <= last), ask).withColumn("r", F.row_number().over(Window.partitionBy("x", "y").orderBy("k"))).filter(F.col("r") <= least + 1).drop("r")
+    held = cut(greedy(early))
+    more = cut(ask.join(held, ["x", "y"], "left_anti"))
+    return held if more.isEmpty() else held.unionByName(greedy(_pairs_of(used, more)))
+
+
 def expand(terms: DataFrame, curated: DataFrame, tags: DataFrame, graph: DataFrame, by: str) -> DataFrame:
     """``(by, term, weight)``: neighbours of terms (by, term) in three graphs (term, neighbour, weight); the largest weight wins."""
     every = curated.unionByName(tags).unionByName(graph)

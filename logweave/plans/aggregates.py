@@ -275,8 +275,22 @@ def tag_graph(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_npmi_sql(f"SELECT DISTINCT id AS k, unnest({_CW.format(chr(39) * 2 + ' || title')}) AS t FROM world_log WHERE id IS NOT NULL AND title IS NOT NULL", 3, 0.5, 0.05, 6, 300))
 def agg33_term_graph(spark: SparkSession, d: str) -> DataFrame:
-    t = log(spark, d).filter("id is not null and title is not null").select("id", F.explode(tx.content_words(F.col("title"))).alias("term")).distinct()
-    return rk.cooccurrence(t, "id", "term", least=3, neighbours=6, most_df=300)
+    """Over the terms of whole entries; the statement above takes titles, and terms of at most 300 of them."""
+    return term_graph(spark, d)
+
+
+#: Weights of an entry's fields.
+FIELD_WEIGHTS = {"title": 3.0, "topic": 2.5, "err_class": 2.0, "tags": 2.0, "choice": 1.5, "learning": 1.5, "why": 1.2, "text": 1.0}
+
+
+def term_graph(spark: SparkSession, d: str) -> DataFrame:
+    e = quality.first_lines(log(spark, d).select("seq", "id", *FIELD_WEIGHTS))
+    parts = F.array(*[F.struct(F.lit(w).alias("f"), F.concat_ws(" ", c).alias("s")) for c, w in FIELD_WEIGHTS.items()])
+    words = e.repartition("seq").select("seq", F.explode(parts).alias("p")).select("seq", "p.f", F.explode(F.split(tx.strip_accents(F.lower("p.s")), r"[^a-z0-9_-]+")).alias("term")).filter((F.length("term") >= 4) & ~F.col("term").isin(*tx.EN_STOP))
+    bag = words.groupBy("seq", "term").agg(F.sum("f").alias("s"))
+    docs = bag.groupBy(F.col("seq").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.round("s", 6)).alias("s"), "term"))), lambda x: x["term"]).alias("w"))
+    # An entry without words still counts for the share of all.
+    return rk.term_graph(e.select(F.col("seq").alias("k")).join(docs, "k", "left").select("k", F.coalesce("w", F.array().cast("array<string>")).alias("w")))
 
 
 @query(f"WITH w AS (SELECT unnest({_W.format('text')}) AS w FROM documents) SELECT w, count(*) AS n FROM w GROUP BY w HAVING count(*) >= 2")

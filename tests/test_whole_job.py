@@ -1,9 +1,12 @@
 """Whole results where frequent words, whole entries or later answers decide; against plain Python."""
 
+import math
 import random
+from collections import Counter
+from itertools import combinations
 
-from logweave.operators import joins
-from logweave.plans import relational
+from logweave.operators import joins, ranking
+from logweave.plans import aggregates, relational
 from tests.test_operators import at, make
 
 
@@ -49,3 +52,56 @@ def test_earliest_after_by_frequent_words_and_whole_text(spark, tmp_path):
     d = on_disk(spark, tmp_path, world_log=log_of(spark, rows))
     got = {r["id"]: r["closed_by"] for r in relational.joi8_earliest_after(spark, d).collect()}
     assert got == {"q1": "e011", "q2": "a2"}
+
+
+def plain_term_graph(docs, least=3, cap=0.5, floor=0.05, neighbours=6, terms=40, share=0.5, overlap=0.8):
+    df = Counter(t for w in docs.values() for t in w)
+    ok = {t for t, n in df.items() if least <= n <= max(least, int(len(docs) * share))}
+    used = {k: sorted([t for t in w if t in ok][:terms]) for k, w in docs.items()}
+    used = {k: w for k, w in used.items() if w}
+    one, pair = Counter(t for w in used.values() for t in w), Counter(p for w in used.values() for p in combinations(w, 2))
+    out, total = {}, len(used)
+    for (x, y), n in pair.items():
+        if n < least or n == total:
+            continue
+        weight = round(min(cap, cap * math.log(n / total / (one[x] / total * one[y] / total)) / -math.log(n / total)), 6)
+        taken = []
+        for k in sorted(used):
+            if x in used[k] and y in used[k]:
+                s = set(docs[k])
+                if not any(len(s & r) >= overlap * max(len(s), len(r)) for r in taken):
+                    taken.append(s)
+        if weight >= floor and len(taken) >= least:
+            out.setdefault(x, []).append((-weight, y))
+            out.setdefault(y, []).append((-weight, x))
+    return sorted((t, y, -w) for t, v in out.items() for w, y in sorted(v)[:neighbours])
+
+
+def rounded(rows):
+    return sorted((r["term"], r["neighbour"], round(r["weight"], 5)) for r in rows)
+
+
+def test_term_graph_equals_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"{a}{b}word" for a in "abcdefgh" for b in "uvwxyz"]
+    docs = {}
+    for k in range(120):
+        base = rng.randrange(4) * 12
+        docs[k] = list(dict.fromkeys([words[base + rng.randrange(12)] for _ in range(8)] + [words[rng.randrange(48)] for _ in range(2)]))
+        if k % 10 == 0:
+            docs[k] += ["copied", "notice", "pqrs"[k // 10 % 4] + "only"]
+    for k in range(120, 150):  # near copies: only one of them counts
+        docs[k] = [*words[:9], "stamped", "carbon"]
+    df = spark.createDataFrame(list(docs.items()), "k long, w array<string>")
+    for terms, neighbours in ((40, 6), (5, 3)):
+        want = plain_term_graph(docs, terms=terms, neighbours=neighbours)
+        got = rounded(ranking.term_graph(df, terms=terms, neighbours=neighbours).collect())
+        assert got == sorted((a, b, round(w, 5)) for a, b, w in want)
+    assert not any("carbon" in r and "stamped" in r for r in got) and len(got) > 30
+
+
+def test_term_graph_keeps_frequent_terms_of_whole_entries(spark, tmp_path):
+    rows = [dict(seq=i, id=f"e{i}", title=f"entry {i}", text=f"{'ledger window' if i % 2 else 'anchor cobalt'} {'north' if i % 4 < 2 else 'south'} alpha{chr(97 + i % 26)} beta{chr(97 + i // 26 % 26)} gamma{chr(97 + i % 7)}") for i in range(640)]
+    d = on_disk(spark, tmp_path, world_log=log_of(spark, rows))
+    got = {(r["term"], r["neighbour"]) for r in aggregates.agg33_term_graph(spark, d).collect()}
+    assert {("ledger", "window"), ("window", "ledger"), ("anchor", "cobalt")} <= got

@@ -11,7 +11,8 @@ from logweave.operators import graph, joins, quality, state
 from logweave.operators.change_feed import replay_feed, resolve_roots
 from logweave.operators.components import connected_components
 from logweave.plans.registry import NOW, NOW_SQL, query
-from logweave.plans.relational import _CW, _FIRST, log
+from logweave.plans.relational import _CW, _FIRST, entry_words, log
+from logweave.session import cut
 from logweave.sources import captures
 from logweave.sources.tables import table
 
@@ -218,10 +219,26 @@ def sta13_digest_due(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH n AS (SELECT j.journal_id, bool_or(c.line_id IS NOT NULL) AS asked FROM journal j LEFT JOIN capture_lines c ON j.session_id = c.session_id AND abs(epoch_us(j.ts) - epoch_us(c.ts)) <= 15000000 GROUP BY 1)
 SELECT journal_id, CASE WHEN hits > 0 THEN 'closed' WHEN hits IS NULL OR ts IS NULL THEN 'unknown' WHEN asked THEN 'open' ELSE 'noise' END AS state FROM journal JOIN n USING (journal_id)""")
 def sta14_gap_sweep(spark: SparkSession, d: str) -> DataFrame:
-    us = lambda t, i: table(spark, d, t).filter("session_id is not null").select(i, F.col("session_id").alias("k"), F.unix_micros("ts").alias("t"))
-    near = joins.nearest_within(us("journal", "journal_id"), us("capture_lines", "line_id"), "k", "journal_id", "line_id", 15_000_000).select("journal_id", F.lit(True).alias("asked"))
-    j = table(spark, d, "journal").select("journal_id", "hits", "ts").join(near, "journal_id", "left")
-    return j.select("journal_id", F.when(F.col("hits") > 0, "closed").when(F.col("hits").isNull() | F.col("ts").isNull(), "unknown").when(F.col("asked"), "open").otherwise("noise").alias("state"))
+    """Misses only: questions whose recall was empty or too weak. The statement above has all journal lines and no later entries.
+
+    unknown: no line of the person within 15 s, or none with words. closed: a later entry shares two of its words, or its only one.
+    open: the session itself says so much, or that it does not know, after the miss. Else noise.
+    """
+    miss = table(spark, d, "journal").filter("occasion = 'question' and reason in ('too-weak', 'empty')").select("journal_id", F.col("session_id").alias("k"), F.unix_micros("ts").alias("t"))
+    lines = table(spark, d, "capture_lines").filter("session_id is not null").select("line_id", F.col("session_id").alias("k"), F.unix_micros("ts").alias("t"), F.col("message.content").alias("text"), captures.real_user().alias("person"), captures.machine_line().alias("machine"))
+    near = joins.nearest_within(miss, lines.filter("person"), "k", "journal_id", "line_id", 15_000_000).select("journal_id", "line_id")
+    asked = near.join(lines.select("line_id", F.col("text").alias("asked")), "line_id").select("journal_id", "asked", tx.content_words(F.col("asked")).alias("w")).filter(F.size("w") > 0)
+    asked = cut(miss.join(asked, "journal_id").withColumn("need", F.least(F.lit(2), F.size("w"))))
+    closed = joins.first_sharing(asked.select(F.col("journal_id").alias("qid"), "t", "w", "need"), entry_words(spark, d).select(F.col("id").alias("eid"), "t", "w")).select(F.col("qid").alias("journal_id"))
+    rest = asked.join(closed, "journal_id", "left_anti")
+    later = rest.join(lines.filter("not machine and text is not null").select("k", F.col("t").alias("said"), "text", "person"), "k").filter((F.col("said") > F.col("t")) & ~(F.col("person") & (F.col("text") == F.col("asked"))))
+    unproven = F.max(F.col("text").rlike(r"(?i)\btbd\b|\bnot (?:documented|recorded|established|evidenced)\b|\bi (?:do not|don't) know\b"))
+    # The session's later words together, as far as they are words of the question.
+    shared = F.size(F.array_distinct(F.flatten(F.collect_list(F.array_intersect("w", tx.content_words(F.col("text")))))))
+    told = later.groupBy("journal_id", "need").agg(shared.alias("shared"), unproven.alias("unproven")).filter("shared >= need or unproven").select("journal_id")
+    state_of = lambda x, s: x.select("journal_id", F.lit(s).alias("s"))
+    known = state_of(closed, "closed").unionByName(state_of(told, "open")).unionByName(state_of(rest.join(told, "journal_id", "left_anti"), "noise"))
+    return miss.join(known, "journal_id", "left").select("journal_id", F.coalesce("s", F.lit("unknown")).alias("state"))
 
 
 @query("""WITH c AS (SELECT line_id, session_id, epoch_us(ts) AS t, coalesce(lower(trim(line_type)), '?') AS kind FROM capture_lines WHERE ts IS NOT NULL), j AS (SELECT journal_id, session_id, epoch_us(ts) AS t FROM journal WHERE ts IS NOT NULL AND session_id IS NOT NULL),

@@ -24,6 +24,12 @@ def content_text() -> Column:
     return F.concat_ws(" ", "title", "topic", "err_class", "tags", "choice", "learning", "why", "text")
 
 
+def entry_words(spark: SparkSession, d: str) -> DataFrame:
+    """``(id, entry_type, t, w)``: each entry's time and distinct words, written down."""
+    e = quality.first_lines(log(spark, d).select("seq", "id", "entry_type", "at_ts", content_text().alias("text")))
+    return cut(e.select("id", "entry_type", F.unix_micros("at_ts").alias("t"), F.array_join(tx.content_words(F.col("text")), " ").alias("w"))).withColumn("w", F.split("w", " "))
+
+
 _HELD = """held AS (SELECT * FROM world_log w WHERE id IS NOT NULL AND retires_id IS NULL AND NOT EXISTS (SELECT 1 FROM world_log r WHERE r.retires_id = w.id))"""
 _FIRST = "first AS (SELECT * FROM world_log WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1)"
 
@@ -264,8 +270,7 @@ def joi7_asof(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, arg_min(by_id, (t, by_id)) AS closed_by FROM p GROUP BY id""")
 def joi8_earliest_after(spark: SparkSession, d: str) -> DataFrame:
     """By the words of whole entries, all of them; the statement above compares titles, without words of more than 60."""
-    e = quality.first_lines(log(spark, d).select("seq", "id", "entry_type", "at_ts", content_text().alias("text")))
-    e = cut(e.select("id", "entry_type", F.unix_micros("at_ts").alias("t"), F.array_join(tx.content_words(F.col("text")), " ").alias("w"))).withColumn("w", F.split("w", " "))
+    e = entry_words(spark, d)
     q = e.filter("entry_type = 'question'").select(F.col("id").alias("qid"), "t", "w", F.lit(2).alias("need"))
     return joins.first_sharing(q, e.select(F.col("id").alias("eid"), "t", "w")).select(F.col("qid").alias("id"), F.col("eid").alias("closed_by"))
 

@@ -6,7 +6,7 @@ from collections import Counter
 from itertools import combinations
 
 from logweave.operators import joins, ranking
-from logweave.plans import aggregates, relational
+from logweave.plans import aggregates, folds, relational
 from tests.test_operators import at, make
 
 
@@ -105,3 +105,23 @@ def test_term_graph_keeps_frequent_terms_of_whole_entries(spark, tmp_path):
     d = on_disk(spark, tmp_path, world_log=log_of(spark, rows))
     got = {(r["term"], r["neighbour"]) for r in aggregates.agg33_term_graph(spark, d).collect()}
     assert {("ledger", "window"), ("window", "ledger"), ("anchor", "cobalt")} <= got
+
+
+def test_gap_sweep_of_misses(spark, tmp_path):
+    from datetime import timedelta
+
+    log = log_of(spark, [dict(seq=1, id="before", at_ts=at(0), title="cobalt anchor"), dict(seq=2, id="after", at_ts=at(50), text="an anchor of cobalt"), dict(seq=3, id="one", at_ts=at(60), title="lantern")])
+    m = [(1, "question", "too-weak", "s1", 10), (2, "question", "empty", "s2", 10), (3, "question", "too-weak", "s3", 10), (4, "question", "too-weak", "s4", 10), (5, "question", "too-weak", "s5", 10), (6, "question", "too-weak", "s6", 10), (7, "question", None, "s1", 10), (8, "before-edit", "too-weak", "s1", 10), (9, "question", "too-weak", "s9", 10), (10, "question", "too-weak", "s10", 55)]
+    journal = spark.createDataFrame([(i, o, r, s, at(h), 5 if r is None else 0) for i, o, r, s, h in m], "journal_id long, occasion string, reason string, session_id string, ts timestamp, hits int")
+    said = [
+        ("s1", "user", "where is the cobalt anchor", 10, 2),
+        ("s2", "user", "harbour ledger", 10, 2), ("s2", "assistant", "the ledger says nothing of a harbour", 11, 0),
+        ("s3", "user", "quartz ferry", 10, 2), ("s3", "user", "quartz ferry", 12, 0), ("s3", "assistant", "done", 12, 5),
+        ("s4", "assistant", "cobalt anchor", 10, 1), ("s4", "user", "cobalt anchor", 10, 20),
+        ("s5", "user", "quartz ferry", 10, 2), ("s5", "assistant", "I don't know", 11, 0),
+        ("s6", "user", "lantern", 10, 2), ("s9", "user", "a to of", 10, 2), ("s10", "user", "cobalt anchor", 55, 1),
+    ]
+    lines = spark.createDataFrame([(i, s, at(h) + timedelta(seconds=x), None, (role, text)) for i, (s, role, text, h, x) in enumerate(said)], "line_id long, session_id string, ts timestamp, line_type string, message struct<role:string,content:string>")
+    d = on_disk(spark, tmp_path, world_log=log, journal=journal, capture_lines=lines)
+    got = {r["journal_id"]: r["state"] for r in folds.sta14_gap_sweep(spark, d).collect()}
+    assert got == {1: "closed", 2: "open", 3: "noise", 4: "unknown", 5: "open", 6: "closed", 9: "unknown", 10: "noise"}

@@ -246,9 +246,14 @@ def _supported(ask: DataFrame, used: DataFrame, docs: DataFrame, least: int, ove
 
 
 def expand(terms: DataFrame, curated: DataFrame, tags: DataFrame, graph: DataFrame, by: str) -> DataFrame:
-    """``(by, term, weight)``: neighbours of terms (by, term) in three graphs (term, neighbour, weight); the largest weight wins."""
-    every = curated.unionByName(tags).unionByName(graph)
-    return terms.join(every, "term").groupBy(by, F.col("neighbour").alias("term")).agg(F.max("weight").alias("weight"))
+    """``(by, term, weight)``: neighbours of terms (by, term) in three graphs (term, neighbour, weight); the largest weight wins.
+
+    The third, the learned graph of terms, adds no word that is asked already.
+    """
+    own = terms.select(by, F.col("term").alias("neighbour")).distinct()
+    learned = terms.join(graph, "term").join(own, [by, "neighbour"], "left_anti").select(by, "neighbour", "weight")
+    every = terms.join(curated.unionByName(tags), "term").select(by, "neighbour", "weight").unionByName(learned)
+    return every.groupBy(by, F.col("neighbour").alias("term")).agg(F.max("weight").alias("weight"))
 
 
 def _mmr(lam: float, top: int):

@@ -6,7 +6,7 @@ from collections import Counter
 from itertools import combinations
 
 from logweave.operators import joins, ranking
-from logweave.plans import aggregates, folds, relational
+from logweave.plans import aggregates, folds, ranked, relational
 from tests.test_operators import at, make
 
 
@@ -125,3 +125,14 @@ def test_gap_sweep_of_misses(spark, tmp_path):
     d = on_disk(spark, tmp_path, world_log=log, journal=journal, capture_lines=lines)
     got = {r["journal_id"]: r["state"] for r in folds.sta14_gap_sweep(spark, d).collect()}
     assert got == {1: "closed", 2: "open", 3: "noise", 4: "unknown", 5: "open", 6: "closed", 9: "unknown", 10: "noise"}
+
+
+def test_expansion_by_the_term_graph(spark, tmp_path):
+    fill = lambda i: f"alpha{chr(97 + i % 26)} beta{chr(97 + i * 7 % 26)} gamma{chr(97 + i * 11 % 26)}"
+    rows = [dict(seq=i, id=f"e{i}", title=("budget limit ledger " if i % 5 == 0 else "") + fill(i), tags=["cursor", "tagged"] if i % 3 == 0 else ["other"]) for i in range(60)]
+    items = spark.createDataFrame([(1, "a budget"), (2, "budget and ledger"), (3, "cursor")], "item_id long, text string")
+    d = on_disk(spark, tmp_path, world_log=log_of(spark, rows), eval_items=items)
+    got = {(r["item_id"], r["term"]): r["weight"] for r in ranked.rnk2_expansion(spark, d).collect()}
+    assert got[1, "limit"] == got[2, "limit"] == 0.6 and 0.05 <= got[1, "ledger"] <= 0.5
+    assert (2, "ledger") not in got and (2, "budget") not in got
+    assert got[3, "pointer"] == 0.6 and 0.05 <= got[3, "tagged"] <= 0.5

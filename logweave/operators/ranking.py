@@ -278,12 +278,17 @@ def _mmr(lam: float, top: int):
     return go
 
 
+def mmr_pool(top: int) -> int:
+    """How many hits a query's re-ranking chooses from."""
+    return min(600, max(50, 10 * top))
+
+
 def mmr(hits: DataFrame, top: int = 10, lam: float = 0.7) -> DataFrame:
     """``(query_id, doc_id, place)``: hits (query_id, doc_id, rel, embedding) re-ranked for diversity.
 
     Greedy by definition, so each query's pool, bounded to 10 * top and at most 600 rows, is one group.
     """
-    pool = top_k(hits, "query_id", [F.desc("rel"), F.col("doc_id")], min(600, max(50, 10 * top)))
+    pool = top_k(hits, "query_id", [F.desc("rel"), F.col("doc_id")], mmr_pool(top))
     return pool.groupBy("query_id").applyInPandas(_mmr(lam, top), "query_id long, doc_id long, place int")
 
 

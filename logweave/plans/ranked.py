@@ -82,8 +82,9 @@ def win8_stable_sort(spark: SparkSession, d: str) -> DataFrame:
 def win9_mmr(spark: SparkSession, d: str) -> DataFrame:
     """Every 20th vector's nearest others, re-ranked for diversity."""
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
-    near = rk.nearest_vectors(v.filter("vec_id % 20 = 0"), v, 50)
-    return rk.mmr(near.join(v, "vec_id").select("query_id", F.col("vec_id").alias("doc_id"), F.col("score").alias("rel"), "embedding"), 10)
+    top = 10
+    near = rk.nearest_vectors(v.filter("vec_id % 20 = 0"), v, rk.mmr_pool(top))
+    return rk.mmr(near.join(v, "vec_id").select("query_id", F.col("vec_id").alias("doc_id"), F.col("score").alias("rel"), "embedding"), top)
 
 
 _HITS = "h AS (SELECT call_name, hit_id, score, row_number() OVER (PARTITION BY call_name ORDER BY score DESC, hit_id) AS rank, lag(score) OVER (PARTITION BY call_name ORDER BY score DESC, hit_id) AS prev FROM search_hits WHERE score IS NOT NULL)"

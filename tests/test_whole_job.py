@@ -136,3 +136,10 @@ def test_expansion_by_the_term_graph(spark, tmp_path):
     assert got[1, "limit"] == got[2, "limit"] == 0.6 and 0.05 <= got[1, "ledger"] <= 0.5
     assert (2, "ledger") not in got and (2, "budget") not in got
     assert got[3, "pointer"] == 0.6 and 0.05 <= got[3, "tagged"] <= 0.5
+
+
+def test_mmr_picks_from_a_hundred(spark, tmp_path):
+    v = [(0, [0.1, 0.0])] + [(20 * i + 1, [0.6 - i * 1e-5, 0.0]) for i in range(60)] + [(7, [0.1, 0.52])]
+    d = on_disk(spark, tmp_path, embeddings=spark.createDataFrame(v, "vec_id long, embedding array<double>"))
+    got = {r["place"]: r["doc_id"] for r in ranked.win9_mmr(spark, d).collect()}
+    assert len(got) == 10 and got[2] == 7

@@ -1,8 +1,9 @@
 """Problem 2: question and answer pairs whose answer is none.
 
-Distinct answers are sorted by text, and each is compared with its neighbour: a shortened version stands right before a text
-that goes on from it. Token counts at which answers pile up unfinished are length limits. Whether an answer that ends
-without a mark is complete is told by where sentences end in all answers. Copy, refusal and language rules follow.
+The sentences of all answers, whole and from each of their clauses on, are sorted by text. An answer that ends without a mark
+is compared with its neighbours there: it is shortened if a finished sentence goes on from its last one, and whole if a finished
+sentence equals it. Token counts at which unfinished answers pile up are length limits. Only where neither says anything,
+as for a sentence whose like stands nowhere, the odds of its last two words decide. Copy, refusal and language rules follow.
 """
 
 from __future__ import annotations
@@ -51,7 +52,17 @@ FUNCTION_WORDS = {
     "nl": "de het een en niet omdat dat hoewel zodat van voor met zonder werd is te terwijl maar want wij op in bij dit geen nog tot toen twee wat waar wanneer welke hoe",
     "pt": "o a de e os as um uma que mas porque por do da dos das com sem para quando até embora não ao mesmo dois ambos foi se na no já é onde qual ou sim assim enquanto pois ninguém outra",
 }
-_LANGS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+#: The languages each function word belongs to.
+_LANGS: dict[str, tuple[str, ...]] = {}
+for _k, _v in FUNCTION_WORDS.items():
+    for _w in dict.fromkeys(_v.split()):
+        _LANGS[_w] = (*_LANGS.get(_w, ()), _k)
+#: Beginnings of the verbs without which no phrase of REFUSALS can match; most answers have none.
+_DECLINES = re.compile(
+    r"answer|help|helf|assist|respon|repl|comment|provid|discuss|shar|request|question|beantwort|antwort|äußer|kommentier|sagen|ayudar|contestar|comentar|dar|autorizad|condiciones|declinar|rechazar|niego"
+    r"|aider|répon|décliner|autorisé|mesure|helpen|reager|weiger|ajudar|recusar",
+    re.IGNORECASE,
+)
 
 _ID = r"(?:sha:[0-9a-f]{6,}|req-\d+|[0-9a-f]{8,}|\d{4}-\d\d-\d\dT[\d:.]+Z?)"
 _NOISE = re.compile(rf"(?:\({_ID}\)|\[{_ID}\]|{_ID}(?![\w)\]]))[.,:;]?", re.IGNORECASE)
@@ -60,6 +71,10 @@ _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _ENDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?…]+|\n|[^\w\s]")
 _FENCE = re.compile(r"```.*?```", re.DOTALL)
+_ASIDE = re.compile(r"\([^()]*\)|\[[^\[\]]*\]")
+_POINT = re.compile(r"(?:^|\n)\s*(?:[-*•]|\d+\.)\s*$")
+#: Distinct texts that a task remembers to send them once; it forgets them all beyond that.
+_KNOWN = 100_000
 
 
 def strip_noise(t: str) -> str:
@@ -67,7 +82,8 @@ def strip_noise(t: str) -> str:
     t = t.strip().strip("*_ ").strip()
     while (m := _NOISE.match(t)) and m.end() < len(t):
         t = t[m.end() :].lstrip(" -:")
-    while m := _NOISE_END.search(t):
+    # An id holds a digit and stands in the last word.
+    while any(c.isdigit() for c in t[-24:]) and (m := _NOISE_END.search(t)):
         t = t[: m.start()].rstrip()
     return t.strip("*_ ").strip()
 
@@ -76,8 +92,11 @@ def is_empty(t: str | None) -> bool:
     """Nothing, only marks, or a placeholder for nothing."""
     if t is None:
         return True
-    core = t.strip().strip("\"'`*_.,;:!?()[]{}<>-–—… \t\n").lower()
-    return core in PLACEHOLDERS or not any(c.isalnum() for c in core) or t.strip().lower() in PLACEHOLDERS
+    core = t.strip()
+    if len(core) > 40 and any(c.isalnum() for c in core[:40]):
+        return False
+    whole, core = core.lower(), core.strip("\"'`*_.,;:!?()[]{}<>-–—… \t\n").lower()
+    return core in PLACEHOLDERS or whole in PLACEHOLDERS or not any(c.isalnum() for c in core)
 
 
 def is_copy(answer: str, prompt: str) -> bool:
@@ -101,159 +120,239 @@ def is_copy(answer: str, prompt: str) -> bool:
 
 def is_refusal(answer: str) -> bool:
     """A sentence that declines to answer, with little beside it."""
+    if not _DECLINES.search(answer):
+        return False
     parts = [s for s in re.split(r"(?<=[.!?])\s+", answer) if _WORD.search(s)]
-    said = [s for s in parts if any(r.search(s) for r in REFUSALS)]
+    said = [s for s in parts if _DECLINES.search(s) and any(r.search(s) for r in REFUSALS)]
     return bool(said) and len(_WORD.findall(answer)) - sum(len(_WORD.findall(s)) for s in said) <= 14
 
 
+def _function_words(text: str) -> Counter:
+    return Counter(k for w in _LETTERS.findall(_FENCE.sub(" ", text).lower()) for k in _LANGS.get(w, ()))
+
+
 def language(text: str) -> tuple[str | None, int]:
     """The language with the most function words, and its lead over the next one."""
-    words = _LETTERS.findall(_FENCE.sub(" ", text).lower())
-    score = sorted(((sum(w in s for w in words), k) for k, s in _LANGS.items()), reverse=True)
+    n = _function_words(text)
+    score = sorted(((n[k], k) for k in FUNCTION_WORDS), reverse=True)
     return (score[0][1], score[0][0] - score[1][0]) if score[0][0] else (None, 0)
 
 
 def is_foreign(answer: str, prompt: str) -> bool:
     """In another language than the prompt: at least two function words more of one other language."""
-    (a, _), (p, lead) = language(answer), language(prompt)
-    if a is None or p is None or a == p or lead < 1:
+    p, lead = language(prompt)
+    if p is None or lead < 1:
         return False
-    words = _LETTERS.findall(_FENCE.sub(" ", answer).lower())
-    own = sum(w in _LANGS[a] for w in words)
-    return own >= sum(w in _LANGS[p] for w in words) + 2
+    n = _function_words(answer)
+    best = max(((n[k], k) for k in FUNCTION_WORDS), default=(0, ""))
+    return best[0] >= n[p] + 2 and best[1] != p
 
 
-def ending(answer: str) -> tuple[bool, str]:
-    """Whether the answer ends with a mark that can end it, and its last two words, digits masked."""
-    t = strip_noise(answer)
+def ending(answer: str, core: str | None = None) -> tuple[bool, str]:
+    """Whether the answer ends with a mark that can end it, and its last two words, digits masked. core is strip_noise(answer)."""
+    t = strip_noise(answer) if core is None else core
     if not t:
         return True, ""
     fences = t.count("```")
-    words = _WORD.findall(t)
-    last = " ".join(["^", *(_mask(w) for w in words)][-2:])
     if fences % 2:
         return False, "```"
-    if fences and t.endswith("```"):
-        return True, last
-    if re.search(r"(?:^|\n)\s*(?:[-*•]|\d+\.)\s*$", answer):
-        return False, "-"
-    if t.count("(") > t.count(")"):
-        return False, "("
-    return t[-1] in ".!?…\"”»)]`:" or t[-1] in "’'", last
+    if not (fences and t.endswith("```")):
+        if answer.rstrip()[-1:] in "-*•." and _POINT.search(answer):
+            return False, "-"
+        if t.count("(") > t.count(")"):
+            return False, "("
+        if t[-1] not in ".!?…\"”»)]`:’'":
+            return False, " ".join(["^", *(_mask(w) for w in _WORD.findall(t))][-2:])
+    return True, ""
 
 
 def _mask(w: str) -> str:
     return "#" if any(c.isdigit() for c in w) else w.lower()
 
 
-def boundaries(answer: str) -> Iterator[tuple[str, bool]]:
-    """Each pair of neighbouring words, and whether a sentence may end behind it; the answer's own end tells nothing."""
-    before, last = "", "^"
-    tokens = _ENDS.findall(strip_noise(answer))
-    for i, w in enumerate(tokens):
-        if not w[0].isalnum():
-            if w[0] in ".!?…\n":
-                before, last = "", "^"
-            continue
-        before, last = last, _mask(w)
-        if i + 1 < len(tokens):
-            yield f"{before} {last}", tokens[i + 1][0] in ".!?…\n([`"
-
+def read(core: str) -> tuple[list[str], list[str], list[tuple[str, bool]]]:
+    """Of a text without noise: its finished sentences, its unfinished last one, and its pairs of neighbouring words.
 
-def _count_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ends, goes_on = Counter(), Counter()
-    for b in batches:
-        for t, n in zip(b.column("antwort").to_pylist(), b.column("n").to_pylist()):
-            for pair, end in boundaries(t):
-                (ends if end else goes_on)[pair] += n
-    keys = list(ends | goes_on)
-    for i in range(0, len(keys), 50_000):
-        k = keys[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array([ends[x] for x in k], pa.int64()), pa.array([goes_on[x] for x in k], pa.int64())], ["pair", "ends", "goes_on"])
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of texts in order, whether the next one goes on from it; the first and last of the partition are marked."""
-    from pyspark import TaskContext
-
-    part, held, first = TaskContext.get().partitionId(), None, True
-    names = ["antwort", "shortened", "part", "first", "last"]
-    kinds = (pa.string(), pa.bool_(), pa.int32(), pa.bool_(), pa.bool_())
-    for b in batches:
-        out = []
-        for t in b.column("antwort").to_pylist():
-            if held is not None:
-                out.append((held, t.startswith(held), part, first, False))
-                first = False
-            held = t
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-    if held is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((held, False, part, first, True), kinds)], names)
+    Sentences are given from their start and from each of their clauses on, as lower-case words with digits masked. A pair
+    comes with whether a sentence may end behind it; the text's own end tells nothing. What stands in brackets is left out.
+    """
+    said: list[str] = []
+    pairs: list[tuple[str, bool]] = []
+    words: list[str] = []
+    starts: list[int] = []
+    fresh = True
+    before, last, open_pair = "", "^", None
+    for w in _ENDS.findall(_ASIDE.sub("(", core)):
+        c = w[0]
+        if c.isalnum():
+            w = w.lower() if w.isalpha() else _mask(w)
+            if open_pair is not None:
+                pairs.append((open_pair, False))
+            if fresh:
+                starts.append(len(words))
+                fresh = False
+            words.append(w)
+            before, last = last, w
+            open_pair = f"{before} {w}"
+            continue
+        if open_pair is not None:
+            pairs.append((open_pair, c in ".!?…\n([`"))
+            open_pair = None
+        if c in ".!?…\n":
+            said += [" ".join(words[i:]) for i in starts]
+            words, starts, fresh, before, last = [], [], True, "", "^"
+        elif c in ",;:":
+            fresh = True
+    return said, [" ".join(words[i:]) for i in starts], pairs
 
 
-def shortened_texts(texts: DataFrame) -> DataFrame:
-    """``(antwort)``: the distinct texts that another text goes on from. Sorted over all partitions; the edges
-    of the partitions, two rows each, are compared in a second step."""
-    rows = cut(texts.select("antwort").repartitionByRange("antwort").sortWithinPartitions("antwort").mapInArrow(_neighbours, "antwort string, shortened boolean, part int, first boolean, last boolean"))
-    edge = rows.filter("first or last").select("part", "antwort", "first", "last")
-    after = F.first(F.when(F.col("first"), F.col("antwort")), ignorenulls=True).over(Window.orderBy("part").rangeBetween(1, Window.unboundedFollowing))
-    over_edge = edge.withColumn("after", after).filter("last and startswith(after, antwort)").select("antwort")
-    return rows.filter("shortened").select("antwort").unionByName(over_edge)
+_JUDGED = "pair_id long, tokens long, limited boolean, rule string, done boolean, pair string, units array<string>, said array<string>, pairs array<string>, ends array<long>, goes_on array<long>"
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each answer that is or may be defective, with the units of its last sentence; and rows without a pair_id that carry
+    the finished sentences and the counts of word pairs of a batch."""
+    seen: set[str] = set()
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.bool_(), pa.string(), *[pa.list_(pa.string())] * 3, *[pa.list_(pa.int64())] * 2)
+    names = [c.split(" ")[0] for c in _JUDGED.split(", ")]
     for b in batches:
-        out = []
-        for t, p in zip(b.column("antwort").to_pylist(), b.column("prompt").to_pylist()):
+        rows, said_all, ends, goes_on = [], [], Counter(), Counter()
+        for pair_id, tokens, fault, t, p in zip(*(b.column(c).to_pylist() for c in ("pair_id", "tokens", "fault", "antwort", "prompt"))):
             if is_empty(t):
-                out.append(("empty", True, ""))
+                rows.append((pair_id, tokens, False, "empty", True, "", [], None, None, None, None))
                 continue
             core = strip_noise(t)
-            if p is not None and is_copy(core, p):
-                out.append(("copy", True, ""))
-            elif is_refusal(core):
-                out.append(("refusal", True, ""))
-            else:
-                done, last = ending(t)
-                out.append(("other_language" if p is not None and is_foreign(core, p) else None, done, last))
-        kinds = (pa.string(), pa.bool_(), pa.string())
-        cols = [pa.array(list(c), k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
-        yield pa.RecordBatch.from_arrays([b.column("antwort"), b.column("prompt"), b.column("n"), *cols], ["antwort", "prompt", "n", "rule", "done", "pair"])
+            rule = "copy" if p is not None and is_copy(core, p) else "refusal" if is_refusal(core) else None
+            if rule:
+                rows.append((pair_id, tokens, False, rule, True, "", [], None, None, None, None))
+                continue
+            rule = "other_language" if p is not None and is_foreign(core, p) else None
+            done, pair = ending(t, core)
+            said, last, pairs = read(core)
+            if done:
+                said += last
+            for u in said:
+                if u not in seen:
+                    seen.add(u)
+                    said_all.append(u)
+            if len(seen) > _KNOWN:
+                seen.clear()
+            for x, end in pairs:
+                (ends if end else goes_on)[x] += 1
+            if rule or not done:
+                limited = fault is not None and ("limit reached" in fault or "max tokens" in fault)
+                rows.append((pair_id, tokens, limited, rule, done, pair, [] if done else last, None, None, None, None))
+        keys = list(ends | goes_on)
+        rows.append((None, None, None, None, None, None, None, said_all, keys, [ends[k] for k in keys], [goes_on[k] for k in keys]))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of units in order, what the next finished one says about each open one.
 
+    What goes on from a unit stands right behind it, so only the units that begin with each other wait at any time. Those that wait at the
+    partition's end come out with verdict null; its first finished unit comes out as a row of its own, with verdict ``first``.
+    """
+    from pyspark import TaskContext
 
-def broken_pairs(pairs: DataFrame, tasks: DataFrame, *, spike: float = 8.0, spike_rows: int = 30) -> DataFrame:
+    part, waiting, first, names = TaskContext.get().partitionId(), [], True, ["unit", "verdict", "part"]
+    before: str | None = None
+    for b in batches:
+        out: list[tuple[str, str | None]] = []
+        for u, open_ in zip(b.column("unit").to_pylist(), b.column("open").to_pylist()):
+            if not open_:  # finished units stand before open ones that equal them
+                if first:
+                    out.append((u, "first"))
+                    first = False
+                for f in waiting:
+                    out.append((f, _goes_on(f, u)))
+                waiting, before = [], u
+            elif u == before:
+                out.append((u, "whole"))
+            else:
+                while waiting and not u.startswith(waiting[-1]):
+                    out.append((waiting.pop(), "alone"))
+                if not waiting or waiting[-1] != u:
+                    waiting.append(u)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([v for _, v in out], pa.string()), pa.array([part] * len(out), pa.int32())], names)
+    if waiting:
+        yield pa.RecordBatch.from_arrays([pa.array(waiting, pa.string()), pa.array([None] * len(waiting), pa.string()), pa.array([part] * len(waiting), pa.int32())], names)
+
+
+def _goes_on(unit: str, text: str) -> str:
+    """How a finished text goes on from an open unit: within its last ``word``, ``after`` it, or not at all."""
+    if not text.startswith(unit):
+        return "alone"
+    return "after" if text[len(unit)] == " " else "word"
+
+
+def compared(judged: DataFrame) -> DataFrame:
+    """``(unit, verdict)`` of the open units: ``whole``, ``word``, ``after`` or ``alone``. Sorted over all partitions; what waits at
+    the end of one is compared with the next finished unit behind it, in a second step over a few rows a partition."""
+    done = judged.filter("said is not null").select(F.explode("said").alias("unit"), F.lit(False).alias("open"))
+    open_ = judged.filter("not done").select(F.explode("units").alias("unit"), F.lit(True).alias("open")).distinct()
+    every = done.unionByName(open_).repartitionByRange("unit").sortWithinPartitions("unit", "open")
+    rows = cut(every.mapInArrow(_neighbours, "unit string, verdict string, part int"))
+    edge = rows.filter("verdict is null or verdict = 'first'")
+    after = F.first(F.when(F.col("verdict") == "first", F.col("unit")), ignorenulls=True).over(Window.orderBy("part").rangeBetween(1, Window.unboundedFollowing))
+    text = F.substring(F.col("after"), F.length("unit") + 1, F.lit(1))
+    goes_on = F.when(F.coalesce(~F.startswith("after", "unit"), F.lit(True)), "alone").when(text == " ", "after").otherwise("word")
+    over_edge = edge.withColumn("after", after).filter("verdict is null").select("unit", goes_on.alias("verdict"))
+    return rows.filter("verdict <> 'first'").select("unit", "verdict").unionByName(over_edge)
+
+
+def broken_pairs(pairs: DataFrame, tasks: DataFrame, *, spike: float = 8.0, spike_rows: int = 30, detectors: tuple[str, ...] = ("neighbours", "limits", "odds")) -> DataFrame:
     """``(pair_id, defect)``: one row for each pair whose answer is empty, truncated, a refusal, a copy of the question or
     in another language than the prompt; the first of copy, refusal, truncated, other_language that holds.
 
     pairs has pair_id, task_id, antwort, fehler and aus_tok, tasks has task_id and prompt; other columns are never
     read. A null or blank answer, or one of marks or a placeholder, is empty. Where the task or its prompt is
-    missing, copy and other_language are not told. Equal (answer, prompt) pairs are judged once, all texts whole; a null
-    pair_id gives no row, and repeated rows each get their own. An answer that ends without a mark is
-    truncated if a longer answer goes on from it within a word, if its token count is a length limit (a count with
-    at least spike_rows unfinished answers, spike times the mean of the ten around it), if the run reports one, or
-    if in all answers sentences hardly ever end behind its last two words. Empty tables give no rows.
+    missing, copy and other_language are not told. All texts are read whole; a null pair_id gives no row, and repeated rows each
+    get their own. An answer that ends without a mark is truncated
+
+    * if its run reports a length limit, or if its brackets, fence or list point are open;
+    * else, if a finished sentence equals its last one, or the last clause of it, it is whole;
+    * else if a finished sentence goes on from its last one or from a clause of it, or if its token count is a length limit: a
+      count with at least spike_rows such answers, spike times the mean of the ten around it;
+    * else, where no neighbour has anything to say, if in all answers sentences hardly ever end behind its last two words.
+
+    detectors leaves some of the three out, to measure them; with none, such answers count as whole. Empty tables give no rows.
     """
     t = tasks.filter("task_id is not null").groupBy("task_id").agg(F.min("prompt").alias("prompt"))
-    rows = pairs.filter("pair_id is not null").select("pair_id", "task_id", "antwort", F.col("aus_tok").alias("tokens"), F.lower("fehler").alias("fault")).join(t, "task_id", "left")
-    texts = rows.groupBy("antwort", "prompt").agg(F.count(F.lit(1)).alias("n"))
-    judged = cut(texts.mapInArrow(_judge, "antwort string, prompt string, n long, rule string, done boolean, pair string"))
-    answers = judged.filter("rule is null or rule = 'other_language'").groupBy("antwort").agg(F.sum("n").alias("n"))
-    ends = answers.mapInArrow(_count_ends, "pair string, ends long, goes_on long").groupBy("pair").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
-    open_ = judged.filter("not done")
-    shorter = shortened_texts(answers).withColumn("shortened", F.lit(True))
-    told = open_.join(ends, "pair", "left").join(shorter, "antwort", "left")
-    full = F.coalesce(F.col("ends") * FULL_ODDS > F.col("goes_on"), F.lit(False))
-    told = told.select("antwort", "prompt", full.alias("full"), F.coalesce("shortened", F.lit(False)).alias("shortened"))
-    key = lambda x, y: x["antwort"].eqNullSafe(y["antwort"]) & x["prompt"].eqNullSafe(y["prompt"])
-    base = rows.alias("r").join(judged.select("antwort", "prompt", "rule", "done").alias("j"), key(rows, judged)).select("r.pair_id", "r.antwort", "r.prompt", "r.tokens", "r.fault", "j.rule", "j.done")
-    base = base.alias("b").join(told.alias("t"), (F.col("b.antwort") == F.col("t.antwort")) & F.col("b.prompt").eqNullSafe(F.col("t.prompt")), "left").select("b.pair_id", "b.tokens", "b.fault", "b.rule", "b.done", "t.full", "t.shortened")
-    limits = length_limits(base.filter("not done and not full"), spike, spike_rows).withColumn("limited", F.lit(True))
-    base = base.join(limits, "tokens", "left")
-    by_fault = F.coalesce(F.col("fault").contains("limit reached") | F.col("fault").contains("max tokens"), F.lit(False))
-    cut_off = ~F.col("done") & (~F.col("full") | F.coalesce("limited", F.lit(False)) & F.col("shortened") | by_fault)
-    defect = F.when(F.col("rule").isin("empty", "copy", "refusal"), F.col("rule")).when(cut_off, "truncated").otherwise(F.col("rule"))
-    return base.select("pair_id", defect.alias("defect")).filter("defect is not null")
+    rows = pairs.filter("pair_id is not null").select(F.col("pair_id").cast("long"), "task_id", "antwort", F.col("aus_tok").cast("long").alias("tokens"), F.lower("fehler").alias("fault")).join(t, "task_id", "left")
+    judged = cut(rows.select("pair_id", "tokens", "fault", "antwort", "prompt").mapInArrow(_judge, _JUDGED))
+    found = judged.filter("pair_id is not null")
+    yes, no = F.lit(True), F.lit(False)
+    # What its marks leave open.
+    marks = found.filter("not done").withColumn("certain", F.col("limited") | F.col("pair").isin("(", "-", "```"))
+    last = marks.filter("not certain").select("pair_id", "tokens", "pair", "units")
+    if "neighbours" in detectors:
+        units = last.select("pair_id", F.explode("units").alias("unit")).join(compared(judged), "unit")
+        is_ = lambda v: F.max(F.col("verdict") == v)
+        near = units.groupBy("pair_id").agg(is_("whole").alias("whole"), (is_("word") | is_("after")).alias("shortened"))
+        last = last.join(near, "pair_id", "left")
+    else:
+        last = last.withColumns({"whole": no, "shortened": no})
+    if "odds" in detectors:
+        wanted = last.filter("not coalesce(whole, false) and not coalesce(shortened, false)").select("pair").distinct()
+        ends = judged.filter("pairs is not null").select(F.inline(F.arrays_zip("pairs", "ends", "goes_on"))).withColumnRenamed("pairs", "pair").join(wanted, "pair", "left_semi")
+        ends = ends.groupBy("pair").agg((F.sum("ends") * FULL_ODDS > F.sum("goes_on")).alias("full"))
+        last = last.join(ends, "pair", "left").withColumn("full", F.coalesce("full", no))
+    else:
+        last = last.withColumn("full", yes)
+    last = last.withColumns({"whole": F.coalesce("whole", no), "shortened": F.coalesce("shortened", no)})
+    if "limits" in detectors:
+        last = cut(last.select("pair_id", "tokens", "whole", "shortened", "full"))
+        limits = length_limits(last.filter("not whole"), spike, spike_rows).withColumn("spike", yes)
+        last = last.join(limits, "tokens", "left").withColumn("spike", F.coalesce("spike", no))
+    else:
+        last = last.withColumn("spike", no)
+    cut_off = last.filter("not whole and (shortened or spike or not full)").select("pair_id")
+    by_rule = found.filter("rule in ('empty', 'copy', 'refusal')").select("pair_id", F.col("rule").alias("defect"))
+    short = marks.filter("certain").select("pair_id").unionByName(cut_off).withColumn("defect", F.lit("truncated"))
+    foreign = found.filter("rule = 'other_language'").select("pair_id", F.col("rule").alias("defect"))
+    return by_rule.unionByName(short).unionByName(foreign.join(short.select("pair_id"), "pair_id", "left_anti"))
 
 
 def length_limits(unfinished: DataFrame, spike: float, spike_rows: int) -> DataFrame:

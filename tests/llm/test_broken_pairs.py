@@ -24,10 +24,29 @@ def test_each_defect(spark):
     assert out == want
 
 
-def test_shortened_across_partitions(spark):
-    texts = [f"{a}{b}" for a in "abcdefgh" for b in ("", "x", "xy", "xyz")] + ["q", "r"]
-    got = {r.antwort for r in bp.shortened_texts(spark.createDataFrame([(t,) for t in texts], "antwort string")).collect()}
-    assert got == {t for t in texts if any(u != t and u.startswith(t) for u in texts)}
+def test_neighbours_across_partitions(spark):
+    done = [f"{a} one{b}" for a in "abcdefgh" for b in ("", " two", " three four")] + ["q", "r s"]
+    open_ = [f"{a} one{b}" for a in "abcdefgh" for b in ("", " t", " three", " two five")] + ["r", "z", "a"]
+    rows = [(None, True, [], [u]) for u in done * 2] + [(i, False, [u], None) for i, u in enumerate(open_ * 2)]
+    got = {(r.unit, r.verdict) for r in bp.compared(spark.createDataFrame(rows, "pair_id long, done boolean, units array<string>, said array<string>").repartition(3)).collect()}
+
+    def told(u):
+        after = [x for x in done if x.startswith(u)]
+        return "whole" if u in done else "alone" if not after else "after" if min(after)[len(u)] == " " else "word"
+
+    assert got == {(u, told(u)) for u in open_}
+
+
+def test_detectors_decide(spark):
+    rows = [(i, "T", f"The timer number {i} ran because the old lease went on.", None, 20) for i in range(100, 130)]
+    rows += [(1, "T", "The timer number 7 ran because the ol", None, 9), (2, "T", "The timer number 7 ran because the old lease went on", None, 9)]
+    rows += [(i, "T", f"Pages {i} went {chr(97 + i % 26)}on", None, 64) for i in range(200, 260)] + [(i, "T", f"Pages {i} stay closed", None, 70 + i % 9) for i in range(300, 309)]
+    p, t = frames(spark, rows)
+    told = lambda *d: {r.pair_id for r in bp.broken_pairs(p, t, detectors=d).collect() if r.defect == "truncated"}
+    assert told() == set()
+    assert told("neighbours") == {1}
+    assert told("limits") == set(range(200, 260))
+    assert told("neighbours", "limits") == {1} | set(range(200, 260))
 
 
 def test_length_limits(spark):

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -57,12 +58,11 @@ _LANGS: dict[str, tuple[str, ...]] = {}
 for _k, _v in FUNCTION_WORDS.items():
     for _w in dict.fromkeys(_v.split()):
         _LANGS[_w] = (*_LANGS.get(_w, ()), _k)
-#: Beginnings of the verbs without which no phrase of REFUSALS can match; most answers have none.
-_DECLINES = re.compile(
-    r"answer|help|helf|assist|respon|repl|comment|provid|discuss|shar|request|question|beantwort|antwort|äußer|kommentier|sagen|ayudar|contestar|comentar|dar|autorizad|condiciones|declinar|rechazar|niego"
-    r"|aider|répon|décliner|autorisé|mesure|helpen|reager|weiger|ajudar|recusar",
-    re.IGNORECASE,
-)
+#: Parts of the words without one of which no phrase of REFUSALS can match; most answers have none.
+_DECLINES = (
+    "answer help helf assist respon repl comment provid discuss shar request question beantwort antwort äußer kommentier sagen ayudar contestar puedo podemos podré autorizad condiciones declinar rechazar"
+    " niego aider répon décliner autorisé mesure helpen reager weiger ajudar recusar"
+).split()
 
 _ID = r"(?:sha:[0-9a-f]{6,}|req-\d+|[0-9a-f]{8,}|\d{4}-\d\d-\d\dT[\d:.]+Z?)"
 _NOISE = re.compile(rf"(?:\({_ID}\)|\[{_ID}\]|{_ID}(?![\w)\]]))[.,:;]?", re.IGNORECASE)
@@ -99,9 +99,20 @@ def is_empty(t: str | None) -> bool:
     return core in PLACEHOLDERS or whole in PLACEHOLDERS or not any(c.isalnum() for c in core)
 
 
+@lru_cache(maxsize=4096)
+def _question(prompt: str) -> tuple[list[str], Counter, tuple[str | None, int]]:
+    """A prompt's words, their counts and its language; prompts recur."""
+    words = _WORD.findall(prompt.lower())
+    return words, Counter(words), language(prompt)
+
+
 def is_copy(answer: str, prompt: str) -> bool:
     """Only the question again, with a label, repeated, or with small changes."""
-    a, p = _WORD.findall(answer.lower()), _WORD.findall(prompt.lower())
+    return _copies(_WORD.findall(answer.lower()), prompt)
+
+
+def _copies(a: list[str], prompt: str) -> bool:
+    p, count, _ = _question(prompt)
     while a and a[0] in LABELS:
         a = a[1:]
     if not p or len(a) < 0.6 * len(p):
@@ -109,7 +120,10 @@ def is_copy(answer: str, prompt: str) -> bool:
     k = max(1, round(len(a) / len(p)))
     if k > 4 or len(a) > k * len(p) + max(1, 0.1 * len(p)):
         return False
-    have, want = Counter(a), Counter({w: n * k for w, n in Counter(p).items()})
+    # No more words can be common than the prompt has of those that stand in the answer.
+    if sum(map(count.__getitem__, set(a))) < 0.6 * len(p):
+        return False
+    have, want = Counter(a), Counter({w: n * k for w, n in count.items()})
     extra = sum((have - want).values())
     common = sum((have & want).values())
     if extra > max(1, 0.15 * len(a)) or common < 0.6 * k * len(p):
@@ -118,34 +132,47 @@ def is_copy(answer: str, prompt: str) -> bool:
     return not extra or a[-1] in p[-3:]
 
 
+@lru_cache(maxsize=1)
+def _decline_words():
+    import ahocorasick
+
+    auto = ahocorasick.Automaton()
+    for w in _DECLINES:
+        auto.add_word(w, w)
+    auto.make_automaton()
+    return auto
+
+
 def is_refusal(answer: str) -> bool:
     """A sentence that declines to answer, with little beside it."""
-    if not _DECLINES.search(answer):
+    if next(_decline_words().iter(answer.lower()), None) is None:
         return False
     parts = [s for s in re.split(r"(?<=[.!?])\s+", answer) if _WORD.search(s)]
-    said = [s for s in parts if _DECLINES.search(s) and any(r.search(s) for r in REFUSALS)]
+    said = [s for s in parts if next(_decline_words().iter(s.lower()), None) and any(r.search(s) for r in REFUSALS)]
     return bool(said) and len(_WORD.findall(answer)) - sum(len(_WORD.findall(s)) for s in said) <= 14
 
 
-def _function_words(text: str) -> Counter:
-    return Counter(k for w in _LETTERS.findall(_FENCE.sub(" ", text).lower()) for k in _LANGS.get(w, ()))
+def _function_words(text: str) -> dict[str, int]:
+    n = dict.fromkeys(FUNCTION_WORDS, 0)
+    for langs, k in Counter(map(_LANGS.get, _LETTERS.findall((_FENCE.sub(" ", text) if "```" in text else text).lower()))).items():
+        for x in langs or ():
+            n[x] += k
+    return n
 
 
 def language(text: str) -> tuple[str | None, int]:
     """The language with the most function words, and its lead over the next one."""
-    n = _function_words(text)
-    score = sorted(((n[k], k) for k in FUNCTION_WORDS), reverse=True)
+    score = sorted(((n, k) for k, n in _function_words(text).items()), reverse=True)
     return (score[0][1], score[0][0] - score[1][0]) if score[0][0] else (None, 0)
 
 
 def is_foreign(answer: str, prompt: str) -> bool:
     """In another language than the prompt: at least two function words more of one other language."""
-    p, lead = language(prompt)
+    p, lead = _question(prompt)[2]
     if p is None or lead < 1:
         return False
     n = _function_words(answer)
-    best = max(((n[k], k) for k in FUNCTION_WORDS), default=(0, ""))
-    return best[0] >= n[p] + 2 and best[1] != p
+    return max(n.values()) >= n[p] + 2
 
 
 def ending(answer: str, core: str | None = None) -> tuple[bool, str]:
@@ -170,11 +197,11 @@ def _mask(w: str) -> str:
     return "#" if any(c.isdigit() for c in w) else w.lower()
 
 
-def read(core: str) -> tuple[list[str], list[str], list[tuple[str, bool]]]:
-    """Of a text without noise: its finished sentences, its unfinished last one, and its pairs of neighbouring words.
+def read(tokens: list[str]) -> tuple[list[str], list[str], list[tuple[str, bool]]]:
+    """Of a text's words and marks: its finished sentences, its unfinished last one, and its pairs of neighbouring words.
 
     Sentences are given from their start and from each of their clauses on, as lower-case words with digits masked. A pair
-    comes with whether a sentence may end behind it; the text's own end tells nothing. What stands in brackets is left out.
+    comes with whether a sentence may end behind it; the text's own end tells nothing.
     """
     said: list[str] = []
     pairs: list[tuple[str, bool]] = []
@@ -182,7 +209,7 @@ def read(core: str) -> tuple[list[str], list[str], list[tuple[str, bool]]]:
     starts: list[int] = []
     fresh = True
     before, last, open_pair = "", "^", None
-    for w in _ENDS.findall(_ASIDE.sub("(", core)):
+    for w in tokens:
         c = w[0]
         if c.isalnum():
             w = w.lower() if w.isalpha() else _mask(w)
@@ -222,13 +249,14 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((pair_id, tokens, False, "empty", True, "", [], None, None, None, None))
                 continue
             core = strip_noise(t)
-            rule = "copy" if p is not None and is_copy(core, p) else "refusal" if is_refusal(core) else None
+            tokens_ = _ENDS.findall(core)
+            rule = "copy" if p is not None and _copies([w.lower() for w in tokens_ if w[0].isalnum()], p) else "refusal" if is_refusal(core) else None
             if rule:
                 rows.append((pair_id, tokens, False, rule, True, "", [], None, None, None, None))
                 continue
             rule = "other_language" if p is not None and is_foreign(core, p) else None
             done, pair = ending(t, core)
-            said, last, pairs = read(core)
+            said, last, pairs = read(_ENDS.findall(_ASIDE.sub("(", core)) if "(" in core or "[" in core else tokens_)  # what stands in brackets is left out
             if done:
                 said += last
             for u in said:

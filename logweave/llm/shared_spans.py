@@ -2,9 +2,12 @@
 
 A shared span may begin and end anywhere, so the paragraphs compared are all stretches of ``span`` words, and not those
 between line breaks. Each has a MinHash over its ``shingle``-word shingles. Equal stretches have equal MinHashes, so one
-band of one row already has recall 1, and neighbouring stretches mostly share theirs, so a record sends few.
-Only stretches whose MinHash stands in another record are joined, on 128 bits of their content; records that
-share one are clustered by components. No pairs of a group are written out.
+band of one row already has recall 1, and neighbouring stretches mostly share theirs: they form a segment, and a record
+sends one MinHash for each. That alone would let in whatever shares one shingle. So a segment whose MinHash stands in another
+text gets two bands more: the words from half the rest of a stretch before its smallest shingle to the shingle's end, and as
+many from the shingle on. An equal stretch holds one of the two whole, so recall stays 1. Segments that meet in a band are
+compared stretch by stretch, on the MinHash and 64 bits of all words. Records that share one are clustered by
+components. No text moves but that of records with such segments, and no pairs of a group are written out.
 """
 
 from __future__ import annotations
@@ -90,23 +93,49 @@ def _minhashes(h, span: int, shingle: int):
 def _send_minhashes(span: int, shingle: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        import xxhash
 
         known: dict = {}
         for b in batches:
-            ids, hs, out = b.column("doc_id").to_pylist(), [], []
-            for i, t in zip(ids, b.column("text").to_pylist()):
+            content, sizes, hs = [], [], []
+            for t in b.column("text").to_pylist():
                 h = _word_hashes(t, known)
-                if len(h) >= span:
-                    u = np.unique(_minhashes(h, span, shingle)).view(np.int64)
-                    hs.append(u)
-                    out.append(np.full(len(u), i, dtype=np.int64))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(hs))], ["doc_id", "minhash"])
+                content.append(xxhash.xxh3_128_digest(t))
+                sizes.append(len(h))
+                hs.append(np.unique(_minhashes(h, span, shingle)).view(np.int64) if len(h) >= span else np.zeros(0, dtype=np.int64))
+            at = np.concatenate([[0], np.cumsum([len(h) for h in hs])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*hs, np.zeros(0, dtype=np.int64)])))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(content, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "content", "words", "minhashes"])
 
     return go
 
 
-def _send_stretches(span: int, shingle: int):
+def _leftmost(g, w: int):
+    """Of each window of w elements of g, the place of the first smallest one."""
+    import numpy as np
+
+    best, at, left, size = None, None, w, 1
+    part, place = g, np.arange(len(g))
+    n = 0
+    while left:
+        if left & 1:
+            if best is None:
+                best, at, n = part, place, size
+            else:
+                m = len(g) - n - size + 1
+                keep = best[:m] <= part[n : n + m]
+                best, at, n = np.where(keep, best[:m], part[n : n + m]), np.where(keep, at[:m], place[n : n + m]), n + size
+        left >>= 1
+        if left:
+            m = len(part) - size
+            keep = part[:m] <= part[size : size + m]
+            part, place, size = np.where(keep, part[:m], part[size : size + m]), np.where(keep, place[:m], place[size : size + m]), 2 * size
+    return at
+
+
+def _send_segments(span: int, shingle: int):
+    side = (span - shingle + 1) // 2
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
@@ -114,26 +143,63 @@ def _send_stretches(span: int, shingle: int):
         for b in batches:
             for i, t, shared in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("minhashes").to_pylist()):
                 h = _word_hashes(t, known)
-                at = np.flatnonzero(np.isin(_minhashes(h, span, shingle).view(np.int64), np.array(shared, dtype=np.int64)))
-                cols = [_mix(_runs(h, span, x)[at]).view(np.int64) for x in _BASES]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, dtype=np.int64)), pa.array(at.astype(np.int64)), *map(pa.array, cols)], ["doc_id", "at", "h1", "h2"])
+                g = _mix(_runs(h, shingle, _BASES[0]))
+                place = _leftmost(g, span - shingle + 1)
+                first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+                size = np.diff(np.append(first, len(place)))
+                keep = np.isin(g[place[first]].view(np.int64), np.array(shared, dtype=np.int64))
+                first, size = first[keep], size[keep]
+                p = place[first]
+                band = _mix(_runs(h, side + shingle, _BASES[1])).view(np.int64)
+                has_left, has_right = p >= side, p < len(band)
+                left = pa.array(band[np.where(has_left, p - side, 0)], mask=~has_left)
+                right = pa.array(band[np.where(has_right, p, 0)], mask=~has_right)
+                each = _mix(_runs(h, span, _BASES[0])).view(np.int64)
+                at = np.concatenate([[0], np.cumsum(size)])
+                flat = each[np.repeat(first - at[:-1], size) + np.arange(at[-1])]
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
+                cols = [pa.array(np.full(len(first), i, dtype=np.int64)), pa.array(g[p].view(np.int64)), pa.array(first.astype(np.int64)), left, right, lists]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "minhash", "at", "before", "after", "each"])
 
     return go
 
 
-def shared_stretches(docs: DataFrame, span: int = 50, shingle: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal texts ``(content, doc_id, n_docs, n_words)``, and the stretches of each class's first record
-    that stand in another class too, ``(doc_id, at, h1, h2)``."""
-    d = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    d = d.withColumn("content", F.unhex(F.md5("text")))
-    classes = cut(d.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.count_distinct("doc_id").alias("n_docs")))
-    heads = d.join(classes.select("content", F.col("doc_id").alias("head")), "content").filter("doc_id = head").select("doc_id", "text")
-    sent = cut(heads.mapInArrow(_send_minhashes(span, shingle), "doc_id long, minhash long"))
-    common = sent.groupBy("minhash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("minhash")
-    of_doc = sent.join(common, "minhash", "left_semi").groupBy("doc_id").agg(F.collect_set("minhash").alias("minhashes"))
-    cand = cut(heads.join(of_doc, "doc_id").mapInArrow(_send_stretches(span, shingle), "doc_id long, at long, h1 long, h2 long"))
-    twice = cand.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high")
-    return classes, cand.join(twice.select("h1", "h2", "low"), ["h1", "h2"])
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def shared_stretches(docs: DataFrame, span: int = 50, shingle: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(rows, classes, stretches)``: records ``(doc_id, content, words)``, classes of equal texts ``(content, head, n_docs)``
+    named by their first record, and the stretches of each class's first record that stand in another class too,
+    ``(doc_id, at, low)``; low is a record that has the stretch."""
+    sent = cut(_texts(docs).mapInArrow(_send_minhashes(span, shingle), "doc_id long, content binary, words long, minhashes array<long>"))
+    rows = sent.select("doc_id", "content", "words").distinct()
+    classes = cut(sent.groupBy("content").agg(F.min("doc_id").alias("head"), F.count_distinct("doc_id").alias("n_docs")))
+    # Copies send the same, and 64 bits tell the classes of one MinHash apart.
+    text = F.xxhash64("content").alias("text")
+    each = sent.select("content", text, F.explode("minhashes").alias("minhash"))
+    common = each.groupBy("minhash").agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a <> b").select("minhash")
+    heads = sent.join(classes.select("content", F.col("head").alias("doc_id")), ["content", "doc_id"], "left_semi").select("doc_id", F.explode("minhashes").alias("minhash"))
+    of_doc = heads.join(common, "minhash", "left_semi").groupBy("doc_id").agg(F.collect_set("minhash").alias("minhashes"))
+    # Repeated rows give the same segments again, which changes nothing below.
+    read = _texts(docs).join(of_doc, "doc_id").mapInArrow(_send_segments(span, shingle), "doc_id long, minhash long, at long, before long, after long, each array<long>")
+    segments = cut(read)
+    bands = segments.select("doc_id", "at", F.explode(F.array("before", "after")).alias("band")).filter("band is not null")
+    meet = bands.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("band")
+    cand = cut(segments.select("doc_id", "minhash", "at", "each").join(bands.join(meet, "band", "left_semi").select("doc_id", "at").distinct(), ["doc_id", "at"], "left_semi"))
+    each = cand.select("doc_id", "minhash", "at", F.posexplode("each").alias("k", "h"))
+    twice = each.groupBy("minhash", "h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high").select("minhash", "h", "low")
+    return rows, classes, cut(each.join(twice, ["minhash", "h"]).select("doc_id", (F.col("at") + F.col("k")).alias("at"), "low"))
+
+
+def _shared_words(found: tuple[DataFrame, DataFrame, DataFrame], span: int) -> DataFrame:
+    rows, classes, stretches = found
+    after = F.lead("at").over(Window.partitionBy("doc_id").orderBy("at"))
+    covered = stretches.select("doc_id", F.least(F.lit(span), F.coalesce(after - F.col("at"), F.lit(span))).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("covered"))
+    known = classes.join(covered.withColumnRenamed("doc_id", "head"), "head", "left")
+    whole = (F.col("n_docs") > 1) & (F.col("words") >= span)
+    out = rows.join(known.filter("n_docs > 1 or covered is not null"), "content").withColumn("shared_words", F.when(whole, F.col("words")).otherwise(F.coalesce("covered", F.lit(0))).cast("long"))
+    return out.filter("shared_words > 0").select("doc_id", "shared_words", "words", "head")
 
 
 def shared_words(docs: DataFrame, span: int = 50, shingle: int = 8) -> DataFrame:
@@ -145,16 +211,7 @@ def shared_words(docs: DataFrame, span: int = 50, shingle: int = 8) -> DataFrame
     empty and blank texts, and texts of fewer than span words have no row; a row repeated with equal doc_id
     and text counts once; one doc_id must not have two texts. Empty tables give an empty result.
     """
-    classes, stretches = shared_stretches(docs, span, shingle)
-    d = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("content", F.unhex(F.md5("text")))
-    after = F.lead("at").over(Window.partitionBy("doc_id").orderBy("at"))
-    covered = stretches.select("doc_id", "at", F.least(F.lit(span), F.coalesce(after - F.col("at"), F.lit(span))).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("covered"))
-    n_words = F.size(F.filter(F.split("text", r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
-    rows = d.select("doc_id", "content", n_words.cast("long").alias("words")).distinct()
-    known = classes.select("content", F.col("doc_id").alias("head"), "n_docs").join(covered.withColumnRenamed("doc_id", "head"), "head", "left")
-    whole = (F.col("n_docs") > 1) & (F.col("words") >= span)
-    out = rows.join(known.filter("n_docs > 1 or covered is not null"), "content").withColumn("shared_words", F.when(whole, F.col("words")).otherwise(F.coalesce("covered", F.lit(0))).cast("long"))
-    return out.filter("shared_words > 0").select("doc_id", "shared_words", "words")
+    return _shared_words(shared_stretches(docs, span, shingle), span).drop("head")
 
 
 def span_clusters(docs: DataFrame, span: int = 50, shingle: int = 8) -> DataFrame:
@@ -162,10 +219,7 @@ def span_clusters(docs: DataFrame, span: int = 50, shingle: int = 8) -> DataFram
 
     cluster_id is the cluster's smallest doc_id. Rows as in shared_words; records that share nothing have no row.
     """
-    classes, stretches = shared_stretches(docs, span, shingle)
-    links = stretches.filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
-    comp = connected_components(links)
-    mine = shared_words(docs, span, shingle).select("doc_id")
-    d = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("content")).distinct().join(mine, "doc_id", "left_semi")
-    heads = classes.select("content", F.col("doc_id").alias("head"))
-    return d.join(heads, "content").join(comp.withColumnRenamed("node", "head"), "head", "left").select("doc_id", F.coalesce("component", "head").alias("cluster_id"))
+    found = shared_stretches(docs, span, shingle)
+    links = found[2].filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
+    comp = connected_components(links).withColumnRenamed("node", "head")
+    return _shared_words(found, span).join(comp, "head", "left").select("doc_id", F.coalesce("component", "head").alias("cluster_id"))

@@ -24,19 +24,37 @@ from logweave.session import cut
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def _word_hashes(text: str, known: dict):
+class _Words(dict):
+    """The hash of each word, remembered; all are forgotten when there are too many."""
+
+    def __missing__(self, w: str) -> int:
+        import xxhash
+
+        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        return h
+
+
+def _word_hashes(texts: list[str], known: _Words):
+    """The hashes of the words of all texts one after the other, and where each text's begin."""
     import numpy as np
-    import xxhash
 
     if len(known) > 500_000:
         known.clear()
-    out = []
-    for w in text.split():
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+    every, at = [], [0]
+    for t in texts:
+        every += map(known.__getitem__, t.split())
+        at.append(len(every))
+    return np.array(every, dtype=np.uint64), np.array(at)
+
+
+def _within(at, k: int):
+    """Whether each run of k words lies within one text; texts begin at the places at."""
+    import numpy as np
+
+    ok = np.ones(max(0, at[-1] - k + 1), dtype=bool)
+    for n in range(len(at) - 2):  # the runs that begin less than k words before the next text
+        ok[max(0, at[n + 1] - k + 1) : at[n + 1]] = False
+    return ok
 
 
 def _runs(h, k: int, base: int):
@@ -73,6 +91,8 @@ def _minhashes(h, span: int, shingle: int):
     """The MinHash of each stretch of span words."""
     import numpy as np
 
+    if len(h) < span:
+        return h[:0]
     g = _mix(_runs(h, shingle, _BASES[0]))
     w, left, done, n, part, size = span - shingle + 1, span - shingle + 1, None, 0, g, 1
     while left:
@@ -95,71 +115,61 @@ def _send_minhashes(span: int, shingle: int):
         import numpy as np
         import xxhash
 
-        known: dict = {}
+        known = _Words()
         for b in batches:
-            content, sizes, hs = [], [], []
-            for t in b.column("text").to_pylist():
-                h = _word_hashes(t, known)
-                content.append(xxhash.xxh3_128_digest(t))
-                sizes.append(len(h))
-                hs.append(np.unique(_minhashes(h, span, shingle)).view(np.int64) if len(h) >= span else np.zeros(0, dtype=np.int64))
-            at = np.concatenate([[0], np.cumsum([len(h) for h in hs])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*hs, np.zeros(0, dtype=np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(content, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "content", "words", "minhashes"])
+            texts = b.column("text").to_pylist()
+            h, at = _word_hashes(texts, known)
+            m, ok = _minhashes(h, span, shingle), _within(at, span)
+            # Neighbouring stretches mostly share theirs; it is sent where it changes or a text begins.
+            ok[1:] &= (m[1:] != m[:-1]) | ~ok[:-1]
+            sent = np.flatnonzero(ok)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(sent, at).astype(np.int32)), pa.array(m[sent].view(np.int64)))
+            content = pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), content, pa.array(np.diff(at)), lists], ["doc_id", "content", "words", "minhashes"])
 
     return go
 
 
-def _leftmost(g, w: int):
-    """Of each window of w elements of g, the place of the first smallest one."""
-    import numpy as np
-
-    best, at, left, size = None, None, w, 1
-    part, place = g, np.arange(len(g))
-    n = 0
-    while left:
-        if left & 1:
-            if best is None:
-                best, at, n = part, place, size
-            else:
-                m = len(g) - n - size + 1
-                keep = best[:m] <= part[n : n + m]
-                best, at, n = np.where(keep, best[:m], part[n : n + m]), np.where(keep, at[:m], place[n : n + m]), n + size
-        left >>= 1
-        if left:
-            m = len(part) - size
-            keep = part[:m] <= part[size : size + m]
-            part, place, size = np.where(keep, part[:m], part[size : size + m]), np.where(keep, place[:m], place[size : size + m]), 2 * size
-    return at
-
-
 def _send_segments(span: int, shingle: int):
-    side = (span - shingle + 1) // 2
+    side, width = (span - shingle + 1) // 2, span - shingle + 1
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        known: dict = {}
+        known = _Words()
         for b in batches:
-            for i, t, shared in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("minhashes").to_pylist()):
-                h = _word_hashes(t, known)
-                g = _mix(_runs(h, shingle, _BASES[0]))
-                place = _leftmost(g, span - shingle + 1)
-                first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-                size = np.diff(np.append(first, len(place)))
-                keep = np.isin(g[place[first]].view(np.int64), np.array(shared, dtype=np.int64))
-                first, size = first[keep], size[keep]
-                p = place[first]
-                band = _mix(_runs(h, side + shingle, _BASES[1])).view(np.int64)
-                has_left, has_right = p >= side, p < len(band)
-                left = pa.array(band[np.where(has_left, p - side, 0)], mask=~has_left)
-                right = pa.array(band[np.where(has_right, p, 0)], mask=~has_right)
-                each = _mix(_runs(h, span, _BASES[0])).view(np.int64)
-                at = np.concatenate([[0], np.cumsum(size)])
-                flat = each[np.repeat(first - at[:-1], size) + np.arange(at[-1])]
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
-                cols = [pa.array(np.full(len(first), i, dtype=np.int64)), pa.array(g[p].view(np.int64)), pa.array(first.astype(np.int64)), left, right, lists]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "minhash", "at", "before", "after", "each"])
+            h, at = _word_hashes(b.column("text").to_pylist(), known)
+            g, ok = _mix(_runs(h, shingle, _BASES[0])), _within(at, span)
+            m = _minhashes(h, span, shingle)
+            if not len(m):
+                continue
+            change = np.flatnonzero(ok & np.concatenate([[True], (m[1:] != m[:-1]) | ~ok[:-1]]))
+            stop = np.flatnonzero(ok & np.concatenate([(m[1:] != m[:-1]) | ~ok[1:], [True]])) + 1
+            text = np.searchsorted(at, change, side="right") - 1
+            wanted = b.column("minhashes").to_pylist()
+            wanted = [set(x) for x in wanted]
+            first, size, place, doc = [], [], [], []
+            for f, end, x, d in zip(change.tolist(), stop.tolist(), m[change].view(np.int64).tolist(), text.tolist()):
+                if x in wanted[d]:
+                    x = np.uint64(x % 2**64)
+                    while f < end:  # a text may have its smallest shingle twice; the first one in reach counts
+                        p = f + int((g[f : f + width] == x).argmax())
+                        first.append(f)
+                        size.append(min(end, p + 1) - f)
+                        place.append(p)
+                        doc.append(d)
+                        f = p + 1
+            if not first:
+                continue
+            first, size, p, doc = (np.array(c) for c in (first, size, place, doc))
+            band = _mix(_runs(h, side + shingle, _BASES[1])).view(np.int64)
+            has_left, has_right = p - side >= at[doc], p + side + shingle <= at[doc + 1]
+            left = pa.array(band[np.where(has_left, p - side, 0)], mask=~has_left)
+            right = pa.array(band[np.where(has_right, p, 0)], mask=~has_right)
+            each = _mix(_runs(h, span, _BASES[0])).view(np.int64)
+            to = np.concatenate([[0], np.cumsum(size)])
+            lists = pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(each[np.repeat(first - to[:-1], size) + np.arange(to[-1])]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(g[p].view(np.int64)), pa.array(first - at[doc]), left, right, lists], ["doc_id", "minhash", "at", "before", "after", "each"])
 
     return go
 

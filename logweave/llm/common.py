@@ -39,3 +39,35 @@ def speaker(role: Column, line_type: Column) -> Column:
 def words(c: Column) -> Column:
     """Maximal runs of Unicode letters and digits of c, lower-cased; null gives an empty array."""
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+
+
+class Words(dict):
+    """The hash of each word, remembered; all are forgotten when there are too many."""
+
+    def __missing__(self, w: str) -> int:
+        import xxhash
+
+        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        return h
+
+
+def word_hashes(texts: list[str], known: Words):
+    """The hashes of the words of all texts one after the other, and where each text's begin."""
+    import numpy as np
+
+    if len(known) > 500_000:
+        known.clear()
+    every, at = [], [0]
+    for t in texts:
+        every += map(known.__getitem__, t.split())
+        at.append(len(every))
+    return np.array(every, dtype=np.uint64), np.array(at)
+
+
+def mix(x):
+    """Scattered 64-bit numbers."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

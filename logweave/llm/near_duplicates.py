@@ -6,7 +6,9 @@ variants of A within that ball are too many to write out, but in one global orde
 only few different leading elements: the first r(A) + 1 of A. So each fingerprint emits those keys, rows are
 shuffled on them, and colliding pairs are deduplicated and verified. Any order that is the same everywhere loses no
 pair. The one used is from rare to frequent, which keeps the keys' groups small; frequencies come from a table of
-BUCKETS counters, so each task orders its own sets and nothing but keys is shuffled.
+counters, as many as there are elements up to MOST_BUCKETS, each a byte with the count's magnitude. So each task orders its
+own sets and nothing but keys is shuffled. A key of more than HOT sets is split: its sets are dealt into blocks, and each
+pair of blocks is a task's work of its own.
 """
 
 from __future__ import annotations
@@ -14,25 +16,50 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import words
+from logweave.llm.common import Words, mix, word_hashes, words
 from logweave.operators.components import connected_components
 from logweave.session import cut
 
 #: 64-bit words of the bitmap that each key carries.
-WORDS = 4
-#: Counters of the frequency table: its size whatever the number of records.
-BUCKETS = 1 << 19
+WORDS = 2
+#: Bounds of the number of counters of the frequency table; it is sent to the executors, a byte for each.
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 24
+#: Counters that come to the driver together.
+_PAGE = 1 << 12
+#: Sets of a key from which on it is split into blocks of about as many.
+HOT = 4096
 
 _MAPS = [f"m{i}" for i in range(WORDS)]
 
 
-def shingles(w: Column, k: int) -> Column:
-    """The distinct runs of k words, as 64-bit hashes; fewer words give an empty array."""
-    n = F.size(w) - (k - 1)
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " "))))).otherwise(F.array().cast("array<bigint>"))
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """``(id, sig)`` of ``(id, text)``, whose words stand between single blanks: the distinct runs of k words as 64-bit hashes, in
+    order of the hash. Fewer words and null give an empty array."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        known = Words()
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            h, at = word_hashes([t or "" for t in texts], known)
+            g = np.zeros(max(0, len(h) - k + 1), dtype=np.uint64)
+            for i in range(k):
+                g = mix(g ^ h[i : i + len(g)]) + np.uint64(i)
+            row = np.searchsorted(at, np.arange(len(g)), side="right") - 1
+            g, row = (x[np.arange(len(g)) + k <= at[row + 1]] for x in (g, row))
+            order = np.lexsort((g, row))
+            g, row = g[order], row[order]
+            keep = np.ones(len(g), dtype=bool)
+            keep[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+            g, row = g[keep], row[keep]
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)), pa.array(g.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("id"), lists], ["id", "sig"])
+
+    return docs.select(F.col("id").cast("string").alias("id"), "text").mapInArrow(go, "id string, sig array<long>")
 
 
 def _lists(b: pa.RecordBatch):
@@ -45,14 +72,35 @@ def _lists(b: pa.RecordBatch):
     return flat, np.asarray(at - at[0])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(buckets: int):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        n = np.zeros(buckets, dtype=np.int32)
+        for b in batches:
+            np.add.at(n, _lists(b)[0] & (buckets - 1), 1)
+        at = np.flatnonzero(n)
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(n[at[i : i + 100_000]].astype(np.int64))], ["bucket", "n"])
+
+    return go
+
+
+def _magnitudes(classes: DataFrame):
+    """For each bucket of shingles how frequent they are: 12 steps for each doubling of the count, as a byte."""
     import numpy as np
 
-    n = np.zeros(BUCKETS, dtype=np.int64)
-    for b in batches:
-        n += np.bincount(_lists(b)[0] & (BUCKETS - 1), minlength=BUCKETS)
-    at = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
+    total = classes.agg(F.coalesce(F.sum(F.size("sig")), F.lit(0))).first()[0]
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << int(total).bit_length()))
+    n = classes.select("sig").mapInArrow(_count(buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    step = F.least(F.lit(255), F.floor(12 * F.log2("n")) + 1)
+    # A page's counters come as two strings of bytes, so the driver gets no row for each.
+    one = F.struct((F.col("bucket") % _PAGE).cast("int").alias("at"), step.cast("int").alias("step"))
+    pages = n.groupBy(F.floor(F.col("bucket") / _PAGE).alias("page")).agg(F.collect_list(one).alias("x"))
+    out = np.zeros(buckets, dtype=np.uint8)
+    for page, at, step in pages.select("page", "x.at", "x.step").toLocalIterator():
+        out[page * _PAGE + np.array(at)] = step
+    return out
 
 
 def _emit(counts_b, threshold: float):
@@ -64,29 +112,33 @@ def _emit(counts_b, threshold: float):
             flat, at = _lists(b)
             size = np.diff(at)
             row = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((flat, counts[flat & (BUCKETS - 1)], row))
+            order = np.lexsort((flat, counts[flat & (len(counts) - 1)], row))
             place = np.arange(len(flat)) - at[:-1][row] + 1  # rows keep their stretches, so places count within each
             radius = size - np.ceil(size * threshold - 1e-9).astype(np.int64)
             keep = place <= (radius + 1)[row]
-            ids = b.column("class_id").take(pa.array(row[keep]))
             bits = np.zeros((len(size), 64 * WORDS), dtype=bool)
             bits[row, (flat >> 40) & (64 * WORDS - 1)] = True
             maps = np.packbits(bits, axis=1).view(np.int64)[row[keep]]
-            cols = [ids, pa.array(flat[order][keep]), pa.array(size[row[keep]].astype(np.int32)), pa.array(place[keep].astype(np.int32)), *(pa.array(np.ascontiguousarray(maps[:, i])) for i in range(WORDS))]
-            yield pa.RecordBatch.from_arrays(cols, ["class_id", "h", "n", "place", *_MAPS])
+            cols = [b.column("c1").take(pa.array(row[keep])), pa.array(flat[order][keep]), pa.array(size[row[keep]].astype(np.int32)), pa.array(place[keep].astype(np.int32)), *(pa.array(np.ascontiguousarray(maps[:, i])) for i in range(WORDS))]
+            yield pa.RecordBatch.from_arrays(cols, ["c1", "h", "n", "place", *_MAPS])
 
     return go
 
 
 def _keys(classes: DataFrame, threshold: float) -> DataFrame:
-    """``(class_id, h, n, place, m0, ...)``: the keys each class ``(class_id, sig)`` emits, with a bitmap of its set."""
-    import numpy as np
-
-    counts = np.zeros(BUCKETS, dtype=np.int64)
-    for r in classes.select("sig").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        counts[r["bucket"]] = r["n"]
-    b = classes.sparkSession.sparkContext.broadcast(counts)
-    return classes.select("class_id", "sig").mapInArrow(_emit(b, threshold), f"class_id string, h long, n int, place int, {', '.join(f'{m} long' for m in _MAPS)}")
+    """``(c1, h, n, place, m0, ..., block, cell, own)``: the keys each class ``(c1, sig)`` emits, with a bitmap of its set. Sets of a hot
+    key are in a block of it, and go once to each cell that stands for it and another block."""
+    b = classes.sparkSession.sparkContext.broadcast(_magnitudes(classes))
+    keys = classes.select("c1", "sig").mapInArrow(_emit(b, threshold), f"c1 long, h long, n int, place int, {', '.join(f'{m} long' for m in _MAPS)}")
+    hot = cut(keys.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > HOT).select("h", F.ceil(F.col("rows") / HOT).cast("int").alias("blocks")))
+    if hot.isEmpty():
+        return keys.withColumns({"block": F.lit(0), "cell": F.lit(0), "own": F.lit(True)})
+    rows = keys.join(hot, "h", "left")
+    blocks = F.coalesce("blocks", F.lit(1))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("c1"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cell = F.least("block", "other") * blocks + F.greatest("block", "other")
+    return rows.withColumns({"cell": cell, "own": F.col("block") == F.col("other")}).drop("blocks", "other")
 
 
 def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -98,14 +150,16 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
     the caller's to remove. An empty table gives two empty results.
     """
     sets = docs.filter(F.size("sig") > 0).select(F.col("id").cast("string").alias("id"), F.array_sort("sig").alias("sig"))
-    sets = cut(sets.withColumns({"c1": F.xxhash64("sig"), "c2": F.xxhash64(F.lit("2nd"), "sig")}))
+    sets = cut(sets.select("id", F.xxhash64("sig").alias("c1"), F.xxhash64(F.lit("2nd"), "sig").alias("c2"), "sig"))
     content = ["c1", "c2"]
-    heads = sets.groupBy(content).agg(F.min("id").alias("class_id"))
-    members = cut(sets.select("id", *content).join(heads, content).select("id", "class_id"))
-    classes = cut(sets.join(heads.select(F.col("class_id").alias("id")), "id", "left_semi").select(F.col("id").alias("class_id"), "sig"))
-    keys = cut(_keys(classes, threshold))
-    side = lambda z: keys.select("h", *(F.col(c).alias(f"{c}_{z}") for c in ("class_id", "n", "place", *_MAPS)))
-    hit = side("a").join(side("b"), "h").filter((F.col("class_id_a") < F.col("class_id_b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9))
+    heads = cut(sets.groupBy(content).agg(F.min("id").alias("class_id")))
+    members = sets.select("id", *content).join(heads, content).select("id", "class_id")
+    classes = cut(sets.join(heads.select(F.col("class_id").alias("id"), *content), ["id", *content], "left_semi").select(F.col("id").alias("class_id"), "c1", "sig"))
+    keys = _keys(classes, threshold)
+    side = lambda z: keys.select("h", "cell", *(F.col(c).alias(f"{c}_{z}") for c in ("c1", "n", "place", "block", "own", *_MAPS)))
+    # Sets of one block meet in the cell of that block alone.
+    hit = side("a").join(side("b"), ["h", "cell"]).filter((F.col("c1_a") < F.col("c1_b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9))
+    hit = hit.filter((F.col("block_a") != F.col("block_b")) | F.col("own_a"))
     # Sizes, and what can still follow the first common element in both sets, bound the overlap; so do the
     # bits that only one set has, each of which stands for at least one element that the other lacks.
     need = F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9)
@@ -113,13 +167,13 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
     lacks = lambda a, b: sum((F.bit_count(F.col(f"{m}_{a}").bitwiseAND(F.bitwise_not(F.col(f"{m}_{b}")))) for m in _MAPS), F.lit(0))
     shared = F.least(F.col("n_a") - lacks("a", "b"), F.col("n_b") - lacks("b", "a"))
     # The pair's first common element has the full bound; later ones may not, so the pair is kept if any has it.
-    pairs = cut(hit.filter((follow >= need) & (shared >= need)).select(F.col("class_id_a").alias("class_a"), F.col("class_id_b").alias("class_b")).distinct())
-    x = classes.select(F.col("class_id").alias("class_a"), F.col("sig").alias("sig_a"))
-    y = classes.select(F.col("class_id").alias("class_b"), F.col("sig").alias("sig_b"))
-    full = pairs.join(x, "class_a").join(y, "class_b")
-    both = F.size(F.array_intersect("sig_a", "sig_b"))
-    full = full.withColumn("both", both).withColumn("similarity", F.col("both") / (F.size("sig_a") + F.size("sig_b") - F.col("both")))
-    return members, full.filter(F.col("similarity") >= threshold - 1e-12).select("class_a", "class_b", "similarity")
+    pairs = cut(hit.filter((follow >= need) & (shared >= need)).select("c1_a", "c1_b").distinct())
+    x = classes.select(F.col("c1").alias("c1_a"), F.col("class_id").alias("x"), F.col("sig").alias("sig_a"))
+    y = classes.select(F.col("c1").alias("c1_b"), F.col("class_id").alias("y"), F.col("sig").alias("sig_b"))
+    # Two classes of one c1 both join, and are told apart by what they hold.
+    full = pairs.join(x, "c1_a").join(y, "c1_b").withColumn("both", F.size(F.array_intersect("sig_a", "sig_b")))
+    full = full.withColumn("similarity", F.col("both") / (F.size("sig_a") + F.size("sig_b") - F.col("both")))
+    return members, full.filter(F.col("similarity") >= threshold - 1e-12).select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b"), "similarity")
 
 
 def opened_bodies(log: DataFrame) -> DataFrame:
@@ -135,7 +189,7 @@ def near_duplicate_entries(log: DataFrame, *, k: int = 3, threshold: float = 0.6
     Entries with fewer words, and so those whose three texts are all null, are not compared.
     """
     w = opened_bodies(log).withColumn("w", words(F.col("body"))).filter(F.size("w") >= min_words)
-    return similar_pairs(w.select("id", shingles(F.col("w"), k).alias("sig")), threshold)
+    return similar_pairs(shingle_sets(w.select("id", F.array_join("w", " ").alias("text")), k), threshold)
 
 
 def expand_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:

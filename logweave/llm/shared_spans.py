@@ -18,35 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.llm.common import Words, mix, word_hashes
 from logweave.operators.components import connected_components
 from logweave.session import cut
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-class _Words(dict):
-    """The hash of each word, remembered; all are forgotten when there are too many."""
-
-    def __missing__(self, w: str) -> int:
-        import xxhash
-
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
-        return h
-
-
-def _word_hashes(texts: list[str], known: _Words):
-    """The hashes of the words of all texts one after the other, and where each text's begin."""
-    import numpy as np
-
-    if len(known) > 500_000:
-        known.clear()
-    every, at = [], [0]
-    for t in texts:
-        every += map(known.__getitem__, t.split())
-        at.append(len(every))
-    return np.array(every, dtype=np.uint64), np.array(at)
-
-
 def _within(at, k: int):
     """Whether each run of k words lies within one text; texts begin at the places at."""
     import numpy as np
@@ -79,21 +57,13 @@ def _runs(h, k: int, base: int):
     return done
 
 
-def _mix(x):
-    import numpy as np
-
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _minhashes(h, span: int, shingle: int):
     """The MinHash of each stretch of span words."""
     import numpy as np
 
     if len(h) < span:
         return h[:0]
-    g = _mix(_runs(h, shingle, _BASES[0]))
+    g = mix(_runs(h, shingle, _BASES[0]))
     w, left, done, n, part, size = span - shingle + 1, span - shingle + 1, None, 0, g, 1
     while left:
         if left & 1:
@@ -115,10 +85,10 @@ def _send_minhashes(span: int, shingle: int):
         import numpy as np
         import xxhash
 
-        known = _Words()
+        known = Words()
         for b in batches:
             texts = b.column("text").to_pylist()
-            h, at = _word_hashes(texts, known)
+            h, at = word_hashes(texts, known)
             m, ok = _minhashes(h, span, shingle), _within(at, span)
             # Neighbouring stretches mostly share theirs; it is sent where it changes or a text begins.
             ok[1:] &= (m[1:] != m[:-1]) | ~ok[:-1]
@@ -136,10 +106,10 @@ def _send_segments(span: int, shingle: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        known = _Words()
+        known = Words()
         for b in batches:
-            h, at = _word_hashes(b.column("text").to_pylist(), known)
-            g, ok = _mix(_runs(h, shingle, _BASES[0])), _within(at, span)
+            h, at = word_hashes(b.column("text").to_pylist(), known)
+            g, ok = mix(_runs(h, shingle, _BASES[0])), _within(at, span)
             m = _minhashes(h, span, shingle)
             if not len(m):
                 continue
@@ -162,11 +132,11 @@ def _send_segments(span: int, shingle: int):
             if not first:
                 continue
             first, size, p, doc = (np.array(c) for c in (first, size, place, doc))
-            band = _mix(_runs(h, side + shingle, _BASES[1])).view(np.int64)
+            band = mix(_runs(h, side + shingle, _BASES[1])).view(np.int64)
             has_left, has_right = p - side >= at[doc], p + side + shingle <= at[doc + 1]
             left = pa.array(band[np.where(has_left, p - side, 0)], mask=~has_left)
             right = pa.array(band[np.where(has_right, p, 0)], mask=~has_right)
-            each = _mix(_runs(h, span, _BASES[0])).view(np.int64)
+            each = mix(_runs(h, span, _BASES[0])).view(np.int64)
             to = np.concatenate([[0], np.cumsum(size)])
             lists = pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(each[np.repeat(first - to[:-1], size) + np.arange(to[-1])]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(g[p].view(np.int64)), pa.array(first - at[doc]), left, right, lists], ["doc_id", "minhash", "at", "before", "after", "each"])

@@ -1,8 +1,6 @@
 import random
 from itertools import combinations
 
-from pyspark.sql import functions as F
-
 from logweave.llm import near_duplicates as nd
 
 LOG = "seq long, id string, title string, text string, learning string, replaces_id string, retires_id string, sig string, body string"
@@ -46,5 +44,12 @@ def test_empty(spark):
 
 
 def test_shingles(spark):
-    df = spark.createDataFrame([(["a", "b", "c", "a", "b", "c"],), (["a"],), ([],)], "w array<string>")
-    assert [len(r[0]) for r in df.select(nd.shingles(F.col("w"), 3)).collect()] == [3, 0, 0]
+    df = spark.createDataFrame([(1, "a b c a b c"), (2, "a"), (3, ""), (4, None), (5, "c a b"), (6, "b c a b c")], "id int, text string").coalesce(1)
+    got = {r.id: r.sig for r in nd.shingle_sets(df, 3).collect()}
+    assert {k: len(v) for k, v in got.items()} == {"1": 3, "2": 0, "3": 0, "4": 0, "5": 1, "6": 3}
+    assert set(got["5"]) < set(got["1"]) == set(got["6"])
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    monkeypatch.setattr(nd, "HOT", 7)
+    test_all_pairs_against_brute_force(spark)

@@ -51,7 +51,7 @@ class Words(dict):
         return h
 
 
-def word_hashes(texts: list[str], known: Words):
+def word_hashes(texts: list[list[str]], known: Words):
     """The hashes of the words of all texts one after the other, and where each text's begin."""
     import numpy as np
 
@@ -59,7 +59,7 @@ def word_hashes(texts: list[str], known: Words):
         known.clear()
     every, at = [], [0]
     for t in texts:
-        every += map(known.__getitem__, t.split())
+        every += map(known.__getitem__, t)
         at.append(len(every))
     return np.array(every, dtype=np.uint64), np.array(at)
 

@@ -13,13 +13,14 @@ pair of blocks is a task's work of its own.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import Words, mix, word_hashes, words
+from logweave.llm.common import Words, mix, word_hashes
 from logweave.operators.components import connected_components
 from logweave.session import cut
 
@@ -32,20 +33,21 @@ _PAGE = 1 << 12
 #: Sets of a key from which on it is split into blocks of about as many.
 HOT = 4096
 
+_WORD = re.compile(r"[^\W_]+")
 _MAPS = [f"m{i}" for i in range(WORDS)]
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """``(id, sig)`` of ``(id, text)``, whose words stand between single blanks: the distinct runs of k words as 64-bit hashes, in
-    order of the hash. Fewer words and null give an empty array."""
+def shingle_sets(docs: DataFrame, k: int, min_words: int = 0) -> DataFrame:
+    """``(id, sig)`` of ``(id, text)``: the distinct runs of k words as 64-bit hashes, in order of the hash. Words are maximal runs
+    of Unicode letters and digits, lower-cased. Fewer words than k or min_words, and null, give an empty array."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         known = Words()
         for b in batches:
-            texts = b.column("text").to_pylist()
-            h, at = word_hashes([t or "" for t in texts], known)
+            texts = [_WORD.findall(t.lower()) if t else [] for t in b.column("text").to_pylist()]
+            h, at = word_hashes([t if len(t) >= min_words else [] for t in texts], known)
             g = np.zeros(max(0, len(h) - k + 1), dtype=np.uint64)
             for i in range(k):
                 g = mix(g ^ h[i : i + len(g)]) + np.uint64(i)
@@ -152,9 +154,8 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
     sets = docs.filter(F.size("sig") > 0).select(F.col("id").cast("string").alias("id"), F.array_sort("sig").alias("sig"))
     sets = cut(sets.select("id", F.xxhash64("sig").alias("c1"), F.xxhash64(F.lit("2nd"), "sig").alias("c2"), "sig"))
     content = ["c1", "c2"]
-    heads = cut(sets.groupBy(content).agg(F.min("id").alias("class_id")))
-    members = sets.select("id", *content).join(heads, content).select("id", "class_id")
-    classes = cut(sets.join(heads.select(F.col("class_id").alias("id"), *content), ["id", *content], "left_semi").select(F.col("id").alias("class_id"), "c1", "sig"))
+    classes = cut(sets.groupBy(content).agg(F.min("id").alias("class_id"), F.any_value("sig").alias("sig")))
+    members = sets.select("id", *content).join(classes.select(*content, "class_id"), content).select("id", "class_id")
     keys = _keys(classes, threshold)
     side = lambda z: keys.select("h", "cell", *(F.col(c).alias(f"{c}_{z}") for c in ("c1", "n", "place", "block", "own", *_MAPS)))
     # Sets of one block meet in the cell of that block alone.
@@ -188,8 +189,7 @@ def near_duplicate_entries(log: DataFrame, *, k: int = 3, threshold: float = 0.6
 
     Entries with fewer words, and so those whose three texts are all null, are not compared.
     """
-    w = opened_bodies(log).withColumn("w", words(F.col("body"))).filter(F.size("w") >= min_words)
-    return similar_pairs(shingle_sets(w.select("id", F.array_join("w", " ").alias("text")), k), threshold)
+    return similar_pairs(shingle_sets(opened_bodies(log).select("id", F.col("body").alias("text")), k, min_words), threshold)
 
 
 def expand_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:

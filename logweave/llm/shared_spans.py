@@ -88,7 +88,7 @@ def _send_minhashes(span: int, shingle: int):
         known = Words()
         for b in batches:
             texts = b.column("text").to_pylist()
-            h, at = word_hashes(texts, known)
+            h, at = word_hashes([t.split() for t in texts], known)
             m, ok = _minhashes(h, span, shingle), _within(at, span)
             # Neighbouring stretches mostly share theirs; it is sent where it changes or a text begins.
             ok[1:] &= (m[1:] != m[:-1]) | ~ok[:-1]
@@ -108,7 +108,7 @@ def _send_segments(span: int, shingle: int):
 
         known = Words()
         for b in batches:
-            h, at = word_hashes(b.column("text").to_pylist(), known)
+            h, at = word_hashes([t.split() for t in b.column("text").to_pylist()], known)
             g, ok = mix(_runs(h, shingle, _BASES[0])), _within(at, span)
             m = _minhashes(h, span, shingle)
             if not len(m):

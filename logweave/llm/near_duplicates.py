@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from logweave.llm.common import Words, mix, word_hashes
 from logweave.operators.components import connected_components
-from logweave.session import cut
+from logweave.session import cut, drop
 
 #: 64-bit words of the bitmap that each key carries.
 WORDS = 2
@@ -31,7 +32,7 @@ LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 24
 #: Counters that come to the driver together.
 _PAGE = 1 << 12
 #: Sets of a key from which on it is split into blocks of about as many.
-HOT = 4096
+HOT = 1 << 14
 
 _WORD = re.compile(r"[^\W_]+")
 _MAPS = [f"m{i}" for i in range(WORDS)]
@@ -105,7 +106,12 @@ def _magnitudes(classes: DataFrame):
     return out
 
 
-def _emit(counts_b, threshold: float):
+def _step(n: int) -> int:
+    """The magnitude of a count; no smaller for a larger count."""
+    return min(255, int(12 * log2(n)) + 1) if n else 0
+
+
+def _emit(counts_b, threshold: float, least: int = 0):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
@@ -117,7 +123,7 @@ def _emit(counts_b, threshold: float):
             order = np.lexsort((flat, counts[flat & (len(counts) - 1)], row))
             place = np.arange(len(flat)) - at[:-1][row] + 1  # rows keep their stretches, so places count within each
             radius = size - np.ceil(size * threshold - 1e-9).astype(np.int64)
-            keep = place <= (radius + 1)[row]
+            keep = (place <= (radius + 1)[row]) & (counts[flat[order] & (len(counts) - 1)] >= least)
             bits = np.zeros((len(size), 64 * WORDS), dtype=bool)
             bits[row, (flat >> 40) & (64 * WORDS - 1)] = True
             maps = np.packbits(bits, axis=1).view(np.int64)[row[keep]]
@@ -130,11 +136,14 @@ def _emit(counts_b, threshold: float):
 def _keys(classes: DataFrame, threshold: float) -> DataFrame:
     """``(c1, h, n, place, m0, ..., block, cell, own)``: the keys each class ``(c1, sig)`` emits, with a bitmap of its set. Sets of a hot
     key are in a block of it, and go once to each cell that stands for it and another block."""
-    b = classes.sparkSession.sparkContext.broadcast(_magnitudes(classes))
-    keys = classes.select("c1", "sig").mapInArrow(_emit(b, threshold), f"c1 long, h long, n int, place int, {', '.join(f'{m} long' for m in _MAPS)}")
-    hot = cut(keys.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > HOT).select("h", F.ceil(F.col("rows") / HOT).cast("int").alias("blocks")))
-    if hot.isEmpty():
+    counts = _magnitudes(classes)
+    b = classes.sparkSession.sparkContext.broadcast(counts)
+    emit = lambda least: classes.select("c1", "sig").mapInArrow(_emit(b, threshold, least), f"c1 long, h long, n int, place int, {', '.join(f'{m} long' for m in _MAPS)}")
+    keys = emit(0)
+    if counts.max(initial=0) < _step(HOT):
         return keys.withColumns({"block": F.lit(0), "cell": F.lit(0), "own": F.lit(True)})
+    # Only a shingle whose counter says so can be a hot key.
+    hot = cut(emit(_step(HOT)).groupBy("h").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > HOT).select("h", F.ceil(F.col("rows") / HOT).cast("int").alias("blocks")))
     rows = keys.join(hot, "h", "left")
     blocks = F.coalesce("blocks", F.lit(1))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("c1"), blocks).cast("int"))
@@ -155,7 +164,8 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
     sets = cut(sets.select("id", F.xxhash64("sig").alias("c1"), F.xxhash64(F.lit("2nd"), "sig").alias("c2"), "sig"))
     content = ["c1", "c2"]
     classes = cut(sets.groupBy(content).agg(F.min("id").alias("class_id"), F.any_value("sig").alias("sig")))
-    members = sets.select("id", *content).join(classes.select(*content, "class_id"), content).select("id", "class_id")
+    members = cut(sets.select("id", *content).join(classes.select(*content, "class_id"), content).select("id", "class_id"))
+    drop(sets)
     keys = _keys(classes, threshold)
     side = lambda z: keys.select("h", "cell", *(F.col(c).alias(f"{c}_{z}") for c in ("c1", "n", "place", "block", "own", *_MAPS)))
     # Sets of one block meet in the cell of that block alone.

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from logweave.llm.common import words
 
-#: Largest total size, in characters, of items that are sent to every executor. Larger sets are joined by shuffle.
-MAX_BROADCAST_CHARS = 16_000_000
+#: Size of a shard of the items, in characters. One automaton holds the pieces of one shard, and a pass over the documents is made
+#: for each, so what an executor holds is bounded whatever the number of items.
+SHARD_CHARS = 16_000_000
 
 
 def myers_ends(pattern: list[str], text: list[str], k: int) -> list[int]:
@@ -99,46 +100,24 @@ def _scan(items_b, run: int, budget: int):
     return go
 
 
-def _verify(run: int, budget: int):
-    size = piece_length(run, budget)
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            docs, found = [], []
-            for r in b.to_pylist():
-                doc, item = r["norm"].split(), r["words"]
-                if any(leaks(item, doc, h["at_item"], h["at_doc"], size, run, budget) for h in r["hits"]):
-                    docs.append(r["doc_id"])
-                    found.append(r["item_id"])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], ["doc_id", "item_id"])
-
-    return go
-
-
-def leaked_items(docs: DataFrame, items: DataFrame, *, run: int = 13, budget: int = 0, max_broadcast_chars: int = MAX_BROADCAST_CHARS) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, *, run: int = 13, budget: int = 0, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """``(doc_id, item_id)``: each item of which run consecutive words stand, with at most budget edits, in the document.
 
     docs is ``(doc_id, text)``, items ``(item_id, text)``; other columns are never read. An edit is a word put in,
     left out or changed. Words are maximal runs of Unicode letters and digits, lower-cased. Items of fewer
     than run words leak nothing; null ids or texts and empty tables give no rows; each pair comes once, also
-    where ids repeat. Whole texts are read. Items are sent to the executors while their total length is at
-    most max_broadcast_chars; else pieces and documents meet by a shuffle on the piece, with equal results.
+    where ids repeat. Whole texts are read. Items are dealt by their id into shards of about shard_chars characters, or one
+    item if that is longer, and each shard is sent to the executors.
     """
-    size = piece_length(run, budget)
     norm = F.concat(F.lit(" "), F.array_join(words(F.col("text")), " "), F.lit(" "))
     d = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"))
-    held = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("words"), "text").filter(F.size("words") >= run)
+    held = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    sc, out = docs.sparkSession.sparkContext, None
     total = held.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if total <= max_broadcast_chars:
-        known = [(r["item_id"], r["words"]) for r in held.select("item_id", "words").collect()]
-        out = d.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(known), run, budget), "doc_id long, item_id long")
-        return out.distinct()
-    grams = lambda w, step: F.transform(
-        F.sequence(F.lit(0), F.size(w) - size, F.lit(step)), lambda i: F.struct(F.xxhash64(F.array_join(F.slice(w, i + 1, size), " ")).alias("h"), i.alias("at"))
-    )
-    pieces = held.select("item_id", F.inline(grams(F.col("words"), size))).select("item_id", "h", F.col("at").alias("at_item"))
-    wd = F.split(F.btrim("norm"), " ")
-    spots = d.filter(F.size(wd) >= size).select("doc_id", F.inline(grams(wd, 1))).select("doc_id", "h", F.col("at").alias("at_doc"))
-    hits = spots.join(pieces, "h").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at_item", "at_doc")).alias("hits"))
-    full = hits.join(d, "doc_id").join(held.select("item_id", "words"), "item_id")
-    return full.mapInArrow(_verify(run, budget), "doc_id long, item_id long").distinct()
+    shards = max(1, -(-total // shard_chars))
+    for k in range(shards):
+        mine = held.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).select("item_id", words(F.col("text")).alias("words")).filter(F.size("words") >= run)
+        known = [(r["item_id"], r["words"]) for r in mine.toLocalIterator()]
+        found = d.mapInArrow(_scan(sc.broadcast(known), run, budget), "doc_id long, item_id long")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -226,13 +226,14 @@ def fit(labelled: DataFrame, corpus: DataFrame, sample_rows: int = SAMPLE_ROWS)
     take = F.lit(False)
     for lang, n in sizes.items():
         take = take | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("id"), F.lit(max(1, n))) < sample_rows))
-    rows = known.filter(take).select("lang", "text", "id").collect()
-    return train([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["id"]))], idf)
+    rows = known.filter(take).select("lang", "text", F.xxhash64(F.lit("order"), "id").alias("h")).collect()
+    # In an order that has nothing to do with the ids, so that the clauses taken come from all of the sample.
+    return train([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["h"], r["lang"], r["text"]))], idf)
 
 
 def _segment(model_b):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_b.value
+        model = Model(*model_b.value)
         kinds = (pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32())
         for b in batches:
             cols: list[list] = [[] for _ in kinds]
@@ -251,13 +252,13 @@ def segments(texts: DataFrame, model: Model) -> DataFrame:
     Positions are code points, end exclusive; seg_no counts from 1. Texts without a word, null and empty ones, and empty tables
     give no rows. Whole texts are read, each on its own.
     """
-    b = texts.sparkSession.sparkContext.broadcast(model)
+    b = texts.sparkSession.sparkContext.broadcast(astuple(model))
     return texts.filter("text is not null").select(F.col("rec_id").cast("string").alias("rec_id"), "text").mapInArrow(_segment(b), "rec_id string, seg_no int, lang string, confidence double, start_pos int, end_pos int")
 
 
 def _main(model_b):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_b.value
+        model = Model(*model_b.value)
         for b in batches:
             texts, best = b.column("text").to_pylist(), []
             for i in range(0, len(texts), 32):  # a few at once: a row of weights is read for every n-gram
@@ -270,7 +271,7 @@ def _main(model_b):
 
 def main_language(texts: DataFrame, model: Model) -> DataFrame:
     """``(rec_id, lang)`` of texts ``(rec_id, text)``, one row each; lang is null without a word."""
-    b = texts.sparkSession.sparkContext.broadcast(model)
+    b = texts.sparkSession.sparkContext.broadcast(astuple(model))
     return texts.filter("text is not null").select("rec_id", "text").mapInArrow(_main(b), "rec_id string, lang string")
 
 
@@ -290,10 +291,10 @@ def relabelled_hits(hits: DataFrame, model: Model) -> DataFrame:
     """``(rec_id, seg_no, lang, confidence, start_pos, end_pos)`` of the hits whose lang is null, uncertain or another than
     that of their first segment, or that have several segments. Hits with a null hit_id or no word have no row."""
     rows = hits.filter("hit_id is not null and entry_text is not null").select(F.col("hit_id").cast("string").alias("rec_id"), F.col("entry_text").alias("text"), label(F.col("lang")).alias("labelled"))
-    b = hits.sparkSession.sparkContext.broadcast(model)
+    b = hits.sparkSession.sparkContext.broadcast(astuple(model))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = b.value
+        m = Model(*b.value)
         kinds = (pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32())
         for x in batches:
             cols: list[list] = [[] for _ in kinds]

@@ -21,7 +21,8 @@ from logweave.session import cut
 
 #: Folder of the public vocabulary files, and the file and library used.
 VOCABULARY = os.environ.get("LOGWEAVE_TOKENIZERS", "/opt/tokenizers")
-#: Most blocks of the whole mix. The block table is on the driver, so this bounds it whatever the corpus's size.
+#: Blocks of the whole mix, where they are not shorter than a record; more if a source's weight is so small that it would have none.
+#: The block table is on the driver, and its size follows the targets, not the corpus.
 BLOCKS = 2_000
 #: Slices over which the records of one source are numbered.
 SLICES = 256
@@ -29,13 +30,14 @@ SLICES = 256
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _tokens(path: str, column: str):
+def _tokens(file: str, column: str):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import base64
 
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(file), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
@@ -47,9 +49,11 @@ def _tokens(path: str, column: str):
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, file: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """``(doc_id, source, tokens)`` of the records with an id and a text; source trimmed and in lower case."""
+    """``(doc_id, source, tokens)`` of the records with an id and a text; source trimmed and in lower case. The vocabulary file is
+    read here and sent to the executors."""
+    docs.sparkSession.sparkContext.addFile(os.path.join(vocabulary, file))
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim("source")).alias("source"), "text")
-    return rows.mapInArrow(_tokens(os.path.join(vocabulary, file), "text"), "doc_id long, source string, tokens long")
+    return rows.mapInArrow(_tokens(file, "text"), "doc_id long, source string, tokens long")
 
 
 def edf_schedule(weights: dict[str, Fraction], blocks: int) -> list[str]:
@@ -107,8 +111,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, total: int | None = None
     docs has doc_id, text and source, targets has source, target_share and max_repeat; other columns are never read.
     Records are whole and never cut. Each source goes through its records in a fixed pseudo-random order, again from the
     start (repeat_no 2, 3, ...) up to max_repeat times, until the first record that reaches its share of the mix's size;
-    see plan_sizes. A block of a source is the records that begin in one of its equal stretches of tokens, at most ``blocks`` in all and
-    none shorter than the longest record; blocks are placed by edf_schedule. Null ids and texts, and sources that are null, not a target, of share 0 or without tokens are left out;
+    see plan_sizes. A block of a source is the records that begin in one of its equal stretches of tokens, ``blocks`` in all or as many
+    as the longest record leaves room for, but at least as many as give each source one; blocks are placed by edf_schedule. Null ids and texts, and sources that are null, not a target, of share 0 or without tokens are left out;
     empty texts have no tokens and are carried along. Rows with the same doc_id are different records; of targets of the same
     source the first by share counts. Empty tables give no rows.
     """
@@ -121,7 +125,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, total: int | None = None
     size, weights = plan_sizes(have, goals, total)
     if not size:
         return rows.select("doc_id", "source", "tokens", F.lit(1).alias("repeat_no"), F.lit(0).cast("long").alias("block_no"), F.lit(0).cast("long").alias("place")).limit(0)
-    blocks = max(1, min(blocks, size // max(1, *(r["longest"] for r in sums))))
+    blocks = max(1, min(blocks, size // max(1, *(r["longest"] for r in sums))), *(ceil(1 / w) for w in weights.values()))
     step = Fraction(size, blocks)
     order, seen = edf_schedule(weights, blocks), dict.fromkeys(weights, 0)
     slots = []
@@ -131,7 +135,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, total: int | None = None
     plan = spark.createDataFrame([(s, have[s], max(1, round(size * w)), seen[s], goals[s][1]) for s, w in weights.items()], "source string, held long, goal long, n_blocks long, max_repeat int")
     slot = spark.createDataFrame(slots, "source string, nth long, block_no long")
     numbered = number(rows, "source", "doc_id", "tokens").join(F.broadcast(plan), "source")
-    again = numbered.select("*", F.explode(F.sequence(F.lit(1), F.col("max_repeat"))).alias("repeat_no"))
+    again = numbered.select("*", F.explode(F.sequence(F.lit(1), F.least(F.col("max_repeat"), F.ceil(F.col("goal") / F.col("held"))).cast("int"))).alias("repeat_no"))
     begin = F.col("upto") + (F.col("repeat_no") - 1) * F.col("held")
     again = again.withColumn("place", begin.cast("long")).filter("place < goal")
     nth = F.least(F.floor(F.col("place") / F.lit(float(step))), F.greatest(F.col("n_blocks") - 1, F.lit(0)))

@@ -10,7 +10,7 @@ def frames(spark, docs, items):
 def both(spark, docs, items, **kw):
     d, i = frames(spark, [(*x, "z") for x in docs], [(*x, "z") for x in items])
     a = sorted(map(tuple, el.leaked_items(d, i, **kw).collect()))
-    b = sorted(map(tuple, el.leaked_items(d, i, max_broadcast_chars=-1, **kw).collect()))
+    b = sorted(map(tuple, el.leaked_items(d, i, shard_chars=40, **kw).collect()))
     assert a == b
     return a
 

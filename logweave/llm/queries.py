@@ -41,12 +41,14 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return personal_data.find_personal_data(personal_data.texts_of(table(spark, d, "capture_lines"), table(spark, d, "documents")))
+    texts = personal_data.texts_of(table(spark, d, "capture_lines"), table(spark, d, "documents"))
+    return personal_data.find_personal_data(texts, personal_data.learn_names(texts))
 
 
 def p6_replaced(spark: SparkSession, d: str) -> DataFrame:
     """The texts with typed placeholders."""
-    return personal_data.replace_personal_data(personal_data.texts_of(table(spark, d, "capture_lines"), table(spark, d, "documents")))
+    texts = personal_data.texts_of(table(spark, d, "capture_lines"), table(spark, d, "documents"))
+    return personal_data.replace_personal_data(texts, personal_data.learn_names(texts))
 
 
 def p7_segments(spark: SparkSession, d: str) -> DataFrame:

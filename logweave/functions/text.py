@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +22,20 @@ DE_STOP = (
 EN_SUFFIXES = "ization iveness fulness ousness ational tional ations ingly edly ation ement ments ness able ible ings ment ies ing ers est ed er ly s".split()
 #: German endings, in the order in which they are tried.
 DE_SUFFIXES = "ungen lichen ischen heiten keiten ung lich isch heit keit chen lein ern end est ete en er es em st te e n s".split()
-#: Letters with marks of the languages in use, and the same without.
-MARKED, UNMARKED = "áàâãäåçéèêëíìîïñóòôõöúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Latin, Greek and Cyrillic letters with marks, and the same without; marks of their own are dropped."""
+    pairs = []
+    for c in map(chr, (*range(0xC0, 0x530), *range(0x1E00, 0x2000))):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and all(unicodedata.combining(m) for m in marks):
+            pairs.append((c, base))
+    return "".join(c for c, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(b for _, b in pairs)
+
+
+#: Letters with marks, then marks; and what stands for the former, the latter have nothing.
+MARKED, UNMARKED = _plain_letters()
 #: Share by which the leading language must lead, else the language is uncertain.
 LANGUAGE_MARGIN = 0.34
 #: Bidirectional control characters.
@@ -95,19 +109,28 @@ def quoted_phrases(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit('(["“„][^"“”„\\n]{2,200}["”“])'), F.lit(1)), lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
 
 
-#: Shapes of machine identifiers: paths, versions, hyphenated names, numbers, environment names, dotted names.
+#: Shapes of machine identifiers: paths, versions, hyphenated names, numbers, environment names; and dotted names, of
+#: which those that begin with a number are none. The longest run without a blank that is read.
 IDENTIFIERS = (
-    r"(\b[\w.-]+(?:/[\w.-]+)+\b)", r"(\bv?\d+\.\d+\.\d+\b)", r"(\b[a-z0-9]+(?:-[a-z0-9]+)+\b)", r"(\b\d{4,8}\b)",
-    r"(\b[A-Z][A-Z0-9]+(?:_[A-Z0-9]+)+\b)", r"(\b[a-z_]\w+(?:\.\w{2,})+\b)",
+    r"\b[\w.-]+(?:/[\w.-]+)+\b", r"\b\d+\.\d+\.\d+\b", r"(?i)\b[a-z]{2,}[a-z0-9]*(?:-[a-z0-9]{2,}[a-z0-9]*)+\b", r"\b\d{4,8}\b", r"\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b",
 )
+DOTTED, NO_DOTTED, LONGEST_RUN = r"\b\w{2,}(?:\.\w{2,})+\b", r"^\d+\.", 512
 
 
 def identifiers(c: Column) -> Column:
     """Distinct machine identifiers, in lower case."""
-    found = F.concat(*(F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in IDENTIFIERS))
+    c = F.regexp_replace(c, rf"(\S{{{LONGEST_RUN}}})\S+", "$1")
+    every = lambda p: F.regexp_extract_all(c, F.lit(p), F.lit(0))
+    found = F.concat(*map(every, IDENTIFIERS), F.filter(every(DOTTED), lambda x: ~x.rlike(NO_DOTTED)))
     return F.array_distinct(F.transform(found, F.lower))
 
 
+def identifiers_sql(table: str, key: str, text: str) -> str:
+    """The same in DuckDB's SQL, as rows ``(key, i)`` in the case of the text; runs that long are the caller's to exclude."""
+    one = f"SELECT {key}, unnest(regexp_extract_all({text}, '{{}}')) AS i FROM {table}"
+    return " UNION ALL ".join([*map(one.format, IDENTIFIERS), f"SELECT * FROM ({one.format(DOTTED)}) WHERE NOT regexp_matches(i, '{NO_DOTTED}')"])
+
+
 #: Secrets and the markers put in their place, in order.
 SECRETS = (
     (r"\b(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,}\b", "[secret:key]"), (r"(?i)\bbearer\s+[A-Za-z0-9._-]{16,}", "[secret:bearer]"),
@@ -160,23 +183,35 @@ def name_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"[_\s]+", "-")
 
 
+#: Letters that may differ between names of at least so many.
+NEAR_NAMES = ((5, 2), (3, 1))
+#: What no topic holds, and the most words it has.
+TOPIC_MARKS, TOPIC_WORDS = r"[.!?,;:]|\s\(", 4
+
+
+def first_that_holds(*rules: tuple[str, Column]) -> Column:
+    """The name of the first rule that holds; null if none does."""
+    return F.coalesce(*(F.when(holds, name) for name, holds in rules))
+
+
 def similar_reason(a: Column, b: Column) -> Column:
-    """Why two names are alike: same, compact, part or letters; null if they are not."""
-    x, y = name_key(a), name_key(b)
-    cx, cy = F.replace(x, F.lit("-"), F.lit("")), F.replace(y, F.lit("-"), F.lit(""))
-    part = F.startswith(x, F.concat(y, F.lit("-"))) | F.endswith(x, F.concat(F.lit("-"), y)) | F.startswith(y, F.concat(x, F.lit("-"))) | F.endswith(y, F.concat(F.lit("-"), x))
-    short, d = F.least(F.length(cx), F.length(cy)), F.levenshtein(cx, cy)
-    return F.when(x == y, "same").when(cx == cy, "compact").when(part, "part").when(((short >= 5) & (d <= 2)) | ((short >= 3) & (d <= 1)), "letters")
+    """Why two names are alike: same, compact (but for case and separators), part (the words of one begin or end the other), letters
+    (few differ); null if they are not, or one is empty."""
+    keys = [name_key(a), name_key(b)]
+    words, flat = [F.split(k, "-") for k in keys], [F.replace(k, F.lit("-"), F.lit("")) for k in keys]
+    ends = lambda x, y: (F.slice(x, 1, F.size(y)) == y) | (F.slice(F.reverse(x), 1, F.size(y)) == F.reverse(y))
+    part = F.when(F.size(words[0]) > F.size(words[1]), ends(*words)).when(F.size(words[0]) < F.size(words[1]), ends(*reversed(words)))
+    apart, shorter = F.levenshtein(*flat), F.least(*map(F.length, flat))
+    near = F.exists(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(d).alias("d")) for n, d in NEAR_NAMES)), lambda x: (shorter >= x["n"]) & (apart <= x["d"]))
+    return F.when(F.least(*map(F.length, keys)) > 0, first_that_holds(("same", keys[0] == keys[1]), ("compact", flat[0] == flat[1]), ("part", part), ("letters", near)))
 
 
 def topic_warnings(t: Column, project: Column, longest: int = 40) -> Column:
-    """What is wrong with a topic name: long, punctuation, words, prefix."""
-    c = F.trim(F.coalesce(t, F.lit("")))
-    checks = F.array(
-        F.when(F.length(c) > longest, "long"), F.when(c.rlike(r"[.!?,;:]|\s\("), "punctuation"), F.when(F.size(F.split(c, r"\s+")) > 4, "words"),
-        F.when(project.isNotNull() & F.startswith(c, F.concat(project, F.lit("/"))), "prefix"),
-    )
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.array_compact(checks))
+    """What is wrong with a topic name: long, punctuation, words, prefix; nothing for a blank one."""
+    c = F.trim(t)
+    rules = {"long": F.length(c) > longest, "punctuation": c.rlike(TOPIC_MARKS), "words": F.size(F.split(c, r"\s+")) > TOPIC_WORDS, "prefix": F.startswith(c, F.concat(project, F.lit("/")))}
+    found = F.array_compact(F.array(*(F.when(holds, name) for name, holds in rules.items())))
+    return F.when(F.coalesce(c, F.lit("")) != "", found).otherwise(F.array().cast("array<string>"))
 
 
 #: Polite beginnings of a question.
@@ -203,12 +238,23 @@ def file_mentions(c: Column, most: int = 3) -> Column:
     return F.slice(F.array_distinct(F.regexp_extract_all(c, F.lit(r"([\w./-]+\.(?:mjs|js|py|json|jsonl|md|ts))\b"), F.lit(1))), 1, most)
 
 
+#: What programs do, told by the first word of a command, or the first two of those of git; any other does neither.
+PROGRAMS = {
+    "write": "npm node mkdir rm mv cp touch tee chmod git+commit git+push git+add".split(),
+    "read": "cat bat sed head tail less more zcat zless jq wc nl column".split(),
+    "search": "grep rg ag ack find fd ls tree locate".split(),
+}
+#: What writes into a file, once quoted stretches are gone: a here-document, or > before a name that is no other stream and not nowhere.
+_REDIRECTS = r"<<-?\s*\w|(?<![=-])>(?!\s*(?:[&>(]|/dev/(?:null|stdout|stderr|tty)\b))\s*\S"
+
+
 def command_kind(c: Column) -> Column:
-    """write, read, search or other, told in this order."""
-    return (
-        F.when(F.trim(c) == "", "other").when(c.rlike(r"(?:^|[|;&]\s*)(?:git\s+(?:commit|push|add)|npm|node\s|mkdir|rm|mv|cp|touch|tee|chmod)\b|>\s*\S"), "write")
-        .when(c.rlike(r"(?:^|[|;&]\s*)(?:cat|head|tail|less|sed|nl|wc)\b"), "read").when(c.rlike(r"(?:^|[|;&]\s*)(?:grep|rg|find|ls)\b"), "search").otherwise("other")
-    )
+    """write, read, search or other: the first of them that one of the line's commands does; a redirection writes."""
+    bare = F.regexp_replace(c, r"'[^']*'|\"(?:[^\"\\\\]|\\\\.)*\"", "Q")
+    starts = F.transform(F.split(bare, r"[|;&\n]+"), lambda x: F.regexp_replace(F.regexp_extract(F.trim(x), r"^(?:git\s+)?[\w.-]+", 0), r"\s+", "+"))
+    does = {kind: F.arrays_overlap(starts, F.array(*map(F.lit, names))) for kind, names in PROGRAMS.items()}
+    does["write"] = does["write"] | bare.rlike(_REDIRECTS)
+    return F.coalesce(first_that_holds(*does.items()), F.lit("other"))
 
 
 def short_form(c: Column) -> Column:
@@ -223,7 +269,9 @@ def placeholders(c: Column) -> Column:
 
 
 def slug(c: Column, most: int = 40) -> Column:
-    """Lower case with hyphens, cut to most characters and there at a hyphen past the twelfth."""
-    s = F.regexp_replace(F.regexp_replace(strip_accents(F.lower(c)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
-    cut = F.left(s, F.lit(most))
-    return F.when(F.length(s) <= most, s).otherwise(F.regexp_replace(cut, r"^(.{12,})-[^-]*$", "$1"))
+    """ASCII letters, digits and single hyphens, in lower case, marks dropped and ß as ss; cut to most characters and there at a hyphen past
+    the twelfth."""
+    plain = strip_accents(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")))
+    s = F.btrim(F.regexp_replace(plain, r"[^a-z0-9]+", "-"), F.lit("-"))
+    cut = F.regexp_replace(F.left(s, F.lit(most)), r"^(.{12,})-[^-]*$", "$1")
+    return F.when(F.length(s) <= most, s).otherwise(F.rtrim(cut, F.lit("-")))

@@ -233,7 +233,7 @@ def rnk6_subwords(spark: SparkSession, d: str) -> DataFrame:
     return n.select("p", F.explode(F.array_distinct(F.split("p", "_"))).alias("part")).join(v, F.col("part") == F.col("w"), "left_semi").withColumn("weight", F.lit(0.6))
 
 
-_IDS = " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, '{p}')) AS i FROM documents" for p in tx.IDENTIFIERS)
+_IDS = tx.identifiers_sql("documents", "doc_id", "text")
 
 
 @query(f"""WITH {_BM25}, i AS (SELECT DISTINCT doc_id, lower(i) AS x FROM ({_IDS})), few AS (SELECT x FROM i GROUP BY x HAVING count(*) <= 10), qi AS (SELECT DISTINCT item_id, lower(i) AS x FROM ({_IDS.replace('doc_id', 'item_id').replace('documents', 'eval_items')}))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions import dates as dt
+from logweave.functions import phrases as ph
 from logweave.functions import maths as mt
 from logweave.functions import text as tx
 from logweave.plans.registry import NOW, NOW_SQL, query, sql_list
@@ -134,7 +135,7 @@ def txt12_lost_correction_content(spark: SparkSession, d: str) -> DataFrame:
     return lost_content(table(spark, d, "world_log"), most_df=3)
 
 
-_ID_SQL = " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, '{p}')) AS i FROM documents" for p in tx.IDENTIFIERS)
+_ID_SQL = tx.identifiers_sql("documents", "doc_id", "text")
 
 
 @query(f"SELECT DISTINCT doc_id, lower(i) AS identifier FROM ({_ID_SQL})")
@@ -241,8 +242,8 @@ _COMMANDS = r"""SELECT pair_id, trim(c) AS command FROM (SELECT pair_id, unnest(
 
 
 @query(rf"""
-SELECT pair_id, CASE WHEN command = '' THEN 'other' WHEN regexp_matches(command, '(?:^|[|;&]\s*)(?:git\s+(?:commit|push|add)|npm|node\s|mkdir|rm|mv|cp|touch|tee|chmod)\b|>\s*\S') THEN 'write'
- WHEN regexp_matches(command, '(?:^|[|;&]\s*)(?:cat|head|tail|less|sed|nl|wc)\b') THEN 'read' WHEN regexp_matches(command, '(?:^|[|;&]\s*)(?:grep|rg|find|ls)\b') THEN 'search' ELSE 'other' END AS kind
+SELECT pair_id, CASE WHEN regexp_matches(command, '(?:^|[|;&]\s*)(?:git\s+(?:commit|push|add)|npm|node|mkdir|rm|mv|cp|touch|tee|chmod)(?:$|[\s|;&>])') OR regexp_matches(command, '(?:^|[^=>-])>>?\s*[^&>(\s]') THEN 'write'
+ WHEN regexp_matches(command, '(?:^|[|;&]\s*)(?:cat|bat|sed|head|tail|less|more|zcat|zless|jq|wc|nl|column)(?:$|[\s|;&>])') THEN 'read' WHEN regexp_matches(command, '(?:^|[|;&]\s*)(?:grep|rg|ag|ack|find|fd|ls|tree|locate)(?:$|[\s|;&>])') THEN 'search' ELSE 'other' END AS kind
 FROM (SELECT pair_id, trim(regexp_replace(command, '\s+', ' ', 'g')) AS command FROM ({_COMMANDS}))""")
 def txt27_command_kind(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "paar_sauber").filter("antwort is not null").select("pair_id", F.posexplode(F.split("antwort", "```")).alias("i", "c")).filter("i % 2 = 1")
@@ -262,7 +263,7 @@ def txt29_placeholders(spark: SparkSession, d: str) -> DataFrame:
     return t.select("item_id", F.array_join(tx.placeholders(body), ",").alias("slots"))
 
 
-_SLUG = f"regexp_replace(regexp_replace({_PLAIN.format('lower(title)')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_SLUG = "regexp_replace(regexp_replace(strip_accents(replace(lower(title), 'ß', 'ss')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
 @query(rf"SELECT DISTINCT title, CASE WHEN length({_SLUG}) <= 40 THEN {_SLUG} ELSE regexp_replace(left({_SLUG}, 40), '^(.{{12,}})-[^-]*$', '\1') END AS slug FROM world_log WHERE title IS NOT NULL")
@@ -293,25 +294,47 @@ def txt32_answer_patterns(spark: SparkSession, d: str) -> DataFrame:
 # ---- dates
 
 
+#: What phrases name at NOW in Berlin, worked out by hand, as literals of the statements.
+_WINDOWS = {
+    "last 7 days": ("2026-03-25 00:00:00", "2026-04-01 00:00:00"), "yesterday evening": ("2026-03-31 16:00:00", "2026-03-31 22:00:00"), "on 2026-03-12": ("2026-03-11 23:00:00", "2026-03-12 23:00:00"),
+    "last friday": ("2026-03-26 23:00:00", "2026-03-27 23:00:00"), "the past week": ("2026-03-25 00:00:00", "2026-04-01 00:00:00"), "between 3 and 8 pm": ("2026-04-01 13:00:00", "2026-04-01 18:00:00"),
+    "on 2026-03-10 from 15:00 to 20:30": ("2026-03-10 14:00:00", "2026-03-10 19:30:00"), "the afternoon": ("2026-04-01 10:00:00", "2026-04-01 16:00:00"),
+}
+_APPOINTMENTS = {
+    "tomorrow": ("2026-04-02 07:00:00", None, True), "friday 3pm": ("2026-04-03 13:00:00", None, False), "in 45 minutes": ("2026-04-01 00:45:00", None, False), "weekly friday 15:00": ("2026-04-03 13:00:00", "weekly", False),
+    "jan 5": ("2027-01-05 08:00:00", None, True), "every weekday 7:00": ("2026-04-01 05:00:00", "weekdays", False), "2026-10-05T14:30:00+02:00": ("2026-10-05 12:30:00", None, False), "some day": (None, None, None),
+}
+
+
+def _values(rows) -> str:
+    lit = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else f"'{v}'"
+    return ", ".join(f"({', '.join(map(lit, r))})" for r in rows)
+
+
+@query(f"""WITH w(phrase, t0, t1) AS (VALUES {_values((p, *w) for p, w in _WINDOWS.items())})
+SELECT phrase, epoch_us(t0::TIMESTAMP) AS from_us, epoch_us(t1::TIMESTAMP) AS to_us, count(ts) AS "rows" FROM w LEFT JOIN journal j ON timezone('UTC', ts) >= t0::TIMESTAMP AND timezone('UTC', ts) < t1::TIMESTAMP GROUP BY 1, 2, 3""")
 def dat1_time_windows(spark: SparkSession, d: str) -> DataFrame:
     """Windows of phrases, parsed on the driver, and the journal rows within each."""
-    now = datetime.fromisoformat(NOW)
-    rows = [(p, *w) for p in ("last 7 days", "yesterday evening", "on 2026-03-12", "last friday", "the past week") if (w := dt.window_for(p, now, "Europe/Berlin"))]
-    w = spark.createDataFrame(rows, "phrase string, t0 timestamp, t1 timestamp")
-    j = table(spark, d, "journal").select("ts")
-    return w.join(j, (F.col("ts") >= F.col("t0")) & (F.col("ts") < F.col("t1")), "left").groupBy("phrase").agg(F.count("ts").alias("rows"))
+    now = datetime.fromisoformat(NOW).replace(tzinfo=None)
+    w = spark.createDataFrame([(p, *(x.replace(tzinfo=timezone.utc) for x in ph.window_for(p, now, "Europe/Berlin"))) for p in _WINDOWS], "phrase string, t0 timestamp, t1 timestamp")
+    rows = F.broadcast(w).join(table(spark, d, "journal").select("ts"), (F.col("ts") >= F.col("t0")) & (F.col("ts") < F.col("t1")))
+    n = rows.groupBy("phrase").agg(F.count("ts").alias("rows"))
+    return w.join(n, "phrase", "left").select("phrase", F.unix_micros("t0").alias("from_us"), F.unix_micros("t1").alias("to_us"), F.coalesce("rows", F.lit(0).cast("long")).alias("rows"))
 
 
-query()(dat1_time_windows)
+_ASKED = """SELECT item_id AS id, text AS t FROM eval_items UNION ALL SELECT doc_id, text FROM documents UNION ALL SELECT journal_id, text || ' ' || strftime(timezone('UTC', ts), '%Y-%m-%d') FROM journal"""
 
 
-@query(f"SELECT item_id, regexp_matches(text || ' on 2026-03-0' || (item_id % 9 + 1) || CASE WHEN item_id % 2 = 0 THEN '' ELSE 'x' END, '{dt.INTENT}') AS asks FROM eval_items")
+@query(f"""WITH x AS (SELECT id, lower(t) AS t FROM ({_ASKED}) WHERE t IS NOT NULL)
+SELECT id, regexp_matches(regexp_replace(t, '{ph.DATE}', ' ', 'g'), '{ph.INTENT}') OR regexp_matches(t, '{ph.DATE_ASKED}') OR (regexp_matches(t, '{ph.DATE}') AND regexp_matches(t, '{ph.QUESTION}')) AS asks FROM x""")
 def dat2_time_intent(spark: SparkSession, d: str) -> DataFrame:
-    t = F.concat("text", F.lit(" on 2026-03-0"), (F.col("item_id") % 9 + 1).cast("string"), F.when(F.col("item_id") % 2 == 0, "").otherwise("x"))
-    return table(spark, d, "eval_items").select("item_id", dt.has_time_intent(t).alias("asks"))
+    i = table(spark, d, "eval_items").select(F.col("item_id").alias("id"), F.col("text").alias("t"))
+    n = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    j = table(spark, d, "journal").select(F.col("journal_id").alias("id"), F.concat("text", F.lit(" "), F.date_format("ts", "yyyy-MM-dd")).alias("t"))
+    return i.unionByName(n).unionByName(j).filter("t is not null").select("id", ph.has_time_intent(F.col("t")).alias("asks"))
 
 
-@query(r"SELECT item_id, array_to_string(regexp_extract_all(lower(text || ' since  2026-03-01 and from 2026-03-02'), '\b(?:on|since|from|am|seit|vom)\s+\d{4}-\d{2}-\d{2}\b').list_transform(lambda x: regexp_replace(x, '\s+', ' ', 'g')), '|') AS anchors FROM eval_items")
+@query(r"SELECT item_id, array_to_string(regexp_extract_all(lower(text || ' since  2026-03-01 and from 2026-03-02'), '\b(?:on|since|from)\s+\d{4}-\d{2}-\d{2}\b').list_transform(lambda x: regexp_replace(x, '\s+', ' ', 'g')), '|') AS anchors FROM eval_items")
 def dat3_date_anchors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", F.array_join(dt.date_anchors(F.concat("text", F.lit(" since  2026-03-01 and from 2026-03-02"))), "|").alias("anchors"))
 
@@ -365,12 +388,14 @@ def dat9_due_situation(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("o_custkey").agg(*(F.count_if(F.col("s") == x).alias(x) for x in ("overdue", "due", "fresh", "unknown")))
 
 
-@query()
+@query(f"""WITH a(phrase, t, repeat, default_time) AS (VALUES {_values((p, *w) for p, w in _APPOINTMENTS.items())})
+SELECT phrase, epoch_us(t::TIMESTAMP) AS at_us, repeat, default_time::BOOLEAN AS default_time FROM a""")
 def dat10_appointments(spark: SparkSession, d: str) -> DataFrame:
-    """Phrases as spans, on the driver."""
-    now = datetime.fromisoformat(NOW)
-    rows = [(p, str(dt.window_for(p, now, "Europe/Berlin"))) for p in ("today between 9 and 11", "tuesday morning", "2026-04-03 14-16 h", "some day")]
-    return spark.createDataFrame(rows, "phrase string, span string")
+    """Phrases as appointments, on the driver."""
+    now = datetime.fromisoformat(NOW).replace(tzinfo=None)
+    us = lambda t: None if t is None else round(t.replace(tzinfo=timezone.utc).timestamp() * 1e6)
+    found = {p: ph.appointment(p, now, "Europe/Berlin") or {} for p in _APPOINTMENTS}
+    return spark.createDataFrame([(p, us(x.get("at")), x.get("repeat"), x.get("default_time")) for p, x in found.items()], "phrase string, at_us long, repeat string, default_time boolean")
 
 
 @query("""

@@ -273,15 +273,28 @@ def tag_graph(spark: SparkSession, d: str) -> DataFrame:
     return rk.cooccurrence(t, "id", "tag", most_df=10**9)
 
 
-@query(_npmi_sql(f"SELECT DISTINCT id AS k, unnest({_CW.format(chr(39) * 2 + ' || title')}) AS t FROM world_log WHERE id IS NOT NULL AND title IS NOT NULL", 3, 0.5, 0.05, 6, 300))
-def agg33_term_graph(spark: SparkSession, d: str) -> DataFrame:
-    """Over the terms of whole entries; the statement above takes titles, and terms of at most 300 of them."""
-    return term_graph(spark, d)
-
-
 #: Weights of an entry's fields.
 FIELD_WEIGHTS = {"title": 3.0, "topic": 2.5, "err_class": 2.0, "tags": 2.0, "choice": 1.5, "learning": 1.5, "why": 1.2, "text": 1.0}
 
+#: The term graph in SQL: three documents in order of their number, each no near copy of those before, support a pair.
+TERM_GRAPH_SQL = f"""WITH {_FIRST}, n AS (SELECT count(*) AS n FROM first),
+ wd AS (SELECT seq AS k, f, unnest(regexp_split_to_array(strip_accents(lower(s)), '[^a-z0-9_-]+')) AS term FROM (SELECT seq, unnest([{", ".join(f"struct_pack(f := {w}::DOUBLE, s := {'array_to_string(tags, chr(32))' if c == 'tags' else c})" for c, w in FIELD_WEIGHTS.items())}], recursive := true) FROM first)),
+ bag AS (SELECT k, term, round(sum(f), 6) AS s FROM wd WHERE length(term) >= 4 AND term NOT IN ({sql_list(tx.EN_STOP)}) GROUP BY 1, 2), sets AS (SELECT k, list(term) AS w FROM bag GROUP BY k),
+ ok AS (SELECT term FROM bag, n WHERE regexp_full_match(term, '[a-z][a-z_-]{{2,}}') GROUP BY term, n.n HAVING count(*) BETWEEN 3 AND greatest(3, floor(n.n * 0.5))),
+ u AS (SELECT k, term FROM bag SEMI JOIN ok USING (term) QUALIFY row_number() OVER (PARTITION BY k ORDER BY s DESC, term) <= 40), m AS (SELECT count(DISTINCT k)::DOUBLE AS m FROM u), single AS (SELECT term, count(*) AS s FROM u GROUP BY term),
+ c AS (SELECT a.term AS x, b.term AS y, a.k FROM u a JOIN u b ON a.k = b.k AND a.term < b.term), pc AS (SELECT x, y, count(*) AS c, min(k) AS d1 FROM c GROUP BY 1, 2 HAVING count(*) >= 3),
+ w AS (SELECT x, y, d1, round(least(0.35, 0.35 * ln((c / m) / ((a.s / m) * (b.s / m))) / -ln(c / m)), 6) AS weight FROM pc, m JOIN single a ON a.term = x JOIN single b ON b.term = y WHERE c < m), w2 AS (SELECT * FROM w WHERE weight >= 0.1),
+ near AS (SELECT a.k AS a, b.k AS b FROM sets a JOIN sets b ON a.k < b.k AND least(len(a.w), len(b.w)) >= 0.8 * greatest(len(a.w), len(b.w)) AND len(list_intersect(a.w, b.w)) >= 0.8 * greatest(len(a.w), len(b.w))),
+ two AS (SELECT x, y, weight, d1, min(k) AS d2 FROM c JOIN w2 USING (x, y) WHERE k > d1 AND NOT EXISTS (SELECT 1 FROM near WHERE a = d1 AND b = k) GROUP BY 1, 2, 3, 4),
+ held AS (SELECT DISTINCT x, y, weight FROM c JOIN two USING (x, y) WHERE k > d2 AND NOT EXISTS (SELECT 1 FROM near WHERE a = d1 AND b = k) AND NOT EXISTS (SELECT 1 FROM near WHERE a = d2 AND b = k)),
+ both_ways AS (SELECT x AS term, y AS neighbour, weight FROM held UNION ALL SELECT y, x, weight FROM held), term_graph AS (SELECT * FROM both_ways QUALIFY row_number() OVER (PARTITION BY term ORDER BY weight DESC, neighbour) <= 6)"""
+
+
+@query(TERM_GRAPH_SQL + " SELECT term, neighbour, weight FROM term_graph")
+def agg33_term_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Over the terms of whole entries."""
+    return term_graph(spark, d)
+
 
 def term_graph(spark: SparkSession, d: str) -> DataFrame:
     e = quality.first_lines(log(spark, d).select("seq", "id", *FIELD_WEIGHTS))
@@ -290,7 +303,7 @@ def term_graph(spark: SparkSession, d: str) -> DataFrame:
     bag = words.groupBy("seq", "term").agg(F.sum("f").alias("s"))
     docs = bag.groupBy(F.col("seq").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.round("s", 6)).alias("s"), "term"))), lambda x: x["term"]).alias("w"))
     # An entry without words still counts for the share of all.
-    return rk.term_graph(e.select(F.col("seq").alias("k")).join(docs, "k", "left").select("k", F.coalesce("w", F.array().cast("array<string>")).alias("w")))
+    return rk.term_graph(e.select(F.col("seq").alias("k")).join(docs, "k", "left").select("k", F.coalesce("w", F.array().cast("array<string>")).alias("w")), cap=0.35, floor=0.1)
 
 
 @query(f"WITH w AS (SELECT unnest({_W.format('text')}) AS w FROM documents) SELECT w, count(*) AS n FROM w GROUP BY w HAVING count(*) >= 2")

@@ -10,6 +10,7 @@ from logweave.functions.dates import iso
 from logweave.operators import graph, joins, quality, state
 from logweave.operators.change_feed import replay_feed, resolve_roots
 from logweave.operators.components import connected_components
+from logweave.plans import relational
 from logweave.plans.registry import NOW, NOW_SQL, query
 from logweave.plans.relational import _CW, _FIRST, entry_words, log
 from logweave.session import cut
@@ -216,10 +217,17 @@ def sta13_digest_due(spark: SparkSession, d: str) -> DataFrame:
     return s.select("session_id", F.when(F.col("n") >= 20, "volume").when(F.col("last") < iso("2026-03-31 23:15:00"), "quiet").when(F.col("first") < iso("2026-03-31 16:00:00"), "ceiling").otherwise("wait").alias("due"))
 
 
-@query("""WITH n AS (SELECT j.journal_id, bool_or(c.line_id IS NOT NULL) AS asked FROM journal j LEFT JOIN capture_lines c ON j.session_id = c.session_id AND abs(epoch_us(j.ts) - epoch_us(c.ts)) <= 15000000 GROUP BY 1)
-SELECT journal_id, CASE WHEN hits > 0 THEN 'closed' WHEN hits IS NULL OR ts IS NULL THEN 'unknown' WHEN asked THEN 'open' ELSE 'noise' END AS state FROM journal JOIN n USING (journal_id)""")
+@query(rf"""WITH {relational.ENTRY_WORDS_SQL}, m AS (SELECT journal_id, session_id AS k, epoch_us(ts) AS t FROM journal WHERE occasion = 'question' AND reason IN ('too-weak', 'empty')),
+ l AS (SELECT line_id, session_id AS k, epoch_us(ts) AS t, message.content AS text, {relational._USER} AS person, coalesce(lower(trim(line_type)) IN ('summary', 'attachment', 'system', 'tool_result'), false) AS machine FROM capture_lines WHERE session_id IS NOT NULL),
+ near AS (SELECT journal_id, line_id FROM m JOIN l USING (k) WHERE person AND abs(m.t - l.t) <= 15000000 QUALIFY row_number() OVER (PARTITION BY journal_id ORDER BY abs(m.t - l.t), line_id) = 1),
+ a AS (SELECT m.*, l.text AS asked, {relational._CW.format('l.text')} AS w FROM m JOIN near USING (journal_id) JOIN l USING (line_id)), a2 AS (SELECT *, least(2, len(w)) AS need FROM a WHERE len(w) > 0),
+ ax AS (SELECT journal_id, t, need, unnest(w) AS x FROM a2), ex AS (SELECT id, t, unnest(w) AS x FROM ew WHERE t IS NOT NULL),
+ closed AS (SELECT DISTINCT journal_id FROM (SELECT journal_id, id FROM ax JOIN ex USING (x) WHERE ex.t > ax.t GROUP BY journal_id, id, need HAVING count(*) >= need)),
+ later AS (SELECT journal_id, need, w, l.text FROM a2 JOIN l ON l.k = a2.k AND l.t > a2.t WHERE journal_id NOT IN (SELECT journal_id FROM closed) AND NOT machine AND l.text IS NOT NULL AND NOT (person AND l.text = asked)),
+ told AS (SELECT journal_id FROM later GROUP BY journal_id, need HAVING len(list_distinct(flatten(list(list_intersect(w, {relational._CW.format('text')}))))) >= need OR bool_or(regexp_matches(text, '(?i)\btbd\b|\bnot (?:documented|recorded|established|evidenced)\b|\bi (?:do not|don''t) know\b')))
+SELECT journal_id, CASE WHEN journal_id IN (SELECT journal_id FROM closed) THEN 'closed' WHEN journal_id IN (SELECT journal_id FROM told) THEN 'open' WHEN journal_id IN (SELECT journal_id FROM a2) THEN 'noise' ELSE 'unknown' END AS state FROM m""")
 def sta14_gap_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Misses only: questions whose recall was empty or too weak. The statement above has all journal lines and no later entries.
+    """Misses only: questions whose recall was empty or too weak.
 
     unknown: no line of the person within 15 s, or none with words. closed: a later entry shares two of its words, or its only one.
     open: the session itself says so much, or that it does not know, after the miss. Else noise.

@@ -10,7 +10,7 @@ from logweave.functions import maths as mt
 from logweave.functions import text as tx
 from logweave.operators import packing, quality, state
 from logweave.operators import ranking as rk
-from logweave.plans.aggregates import _npmi_sql, tag_graph, term_graph
+from logweave.plans.aggregates import TERM_GRAPH_SQL, _npmi_sql, tag_graph, term_graph
 from logweave.plans.registry import NOW, NOW_SQL, query, sql_list
 from logweave.plans.relational import _CW, _FIRST, log
 from logweave.sources.tables import table
@@ -183,10 +183,11 @@ def rnk1_bm25(spark: SparkSession, d: str) -> DataFrame:
 _TAGS = _npmi_sql("SELECT DISTINCT id AS k, unnest(tags) AS t FROM world_log WHERE id IS NOT NULL", 2, 0.5, 0.05, 8, 10**9)
 
 
-@query(f"""WITH g AS ({_TAGS}), cur(term, neighbour, weight) AS (VALUES ('cursor', 'pointer', 0.6), ('budget', 'limit', 0.6)), q AS (SELECT item_id, unnest({_CW.format('text')}) AS term FROM eval_items)
-SELECT item_id, neighbour AS term, max(weight) AS weight FROM q JOIN (SELECT * FROM g UNION ALL SELECT term, neighbour, weight::DOUBLE FROM cur) USING (term) GROUP BY 1, 2""")
+@query(TERM_GRAPH_SQL + f""", g AS ({_TAGS}), cur(term, neighbour, weight) AS (VALUES ('cursor', 'pointer', 0.6), ('budget', 'limit', 0.6)), q AS (SELECT item_id, unnest({_CW.format('text')}) AS term FROM eval_items)
+SELECT item_id, neighbour AS term, max(weight) AS weight FROM (SELECT item_id, neighbour, weight FROM q JOIN (SELECT * FROM g UNION ALL SELECT term, neighbour, weight::DOUBLE FROM cur) USING (term)
+ UNION ALL SELECT q.item_id, neighbour, weight FROM q JOIN term_graph USING (term) WHERE NOT EXISTS (SELECT 1 FROM q o WHERE o.item_id = q.item_id AND o.term = neighbour)) GROUP BY 1, 2""")
 def rnk2_expansion(spark: SparkSession, d: str) -> DataFrame:
-    """By curated groups, tags and terms; the statement above lacks the term graph."""
+    """By curated groups, tags and terms; the last adds no word that is asked already."""
     cur = spark.createDataFrame([("cursor", "pointer", 0.6), ("budget", "limit", 0.6)], "term string, neighbour string, weight double")
     q = items(spark, d).select("item_id", F.explode(tx.content_words(F.col("text"))).alias("term"))
     return rk.expand(q, cur, tag_graph(spark, d), term_graph(spark, d), "item_id")

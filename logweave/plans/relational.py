@@ -265,11 +265,16 @@ def joi7_asof(spark: SparkSession, d: str) -> DataFrame:
     return joins.asof_backward(_us(table(spark, d, "journal"), "session_id", "ts", "journal_id"), _us(table(spark, d, "capture_lines"), "session_id", "ts", "line_id"), "k", "journal_id", "line_id")
 
 
-@query(f"""WITH {_FIRST}, w AS (SELECT id, entry_type, epoch_us(at_ts) AS t, unnest({_CW.format("coalesce(title, '')")}) AS x FROM first WHERE at_ts IS NOT NULL),
- df AS (SELECT x, count(*) AS df FROM w GROUP BY x), p AS (SELECT a.id, b.id AS by_id, b.t, count(*) AS shared FROM w a JOIN w b ON a.x = b.x AND b.t > a.t AND a.id <> b.id JOIN df ON df.x = a.x AND df.df <= 60 WHERE a.entry_type = 'question' GROUP BY 1, 2, 3 HAVING count(*) >= 2)
+#: All that an entry says, as content_text; entries with their time and distinct words.
+_SAYS = "concat_ws(' ', title, topic, err_class, array_to_string(tags, ' '), choice, learning, why, text)"
+ENTRY_WORDS_SQL = f"{_FIRST}, ew AS (SELECT id, entry_type, epoch_us(at_ts) AS t, {_CW.format(_SAYS)} AS w FROM first)"
+
+
+@query(f"""WITH {ENTRY_WORDS_SQL}, x AS (SELECT id, entry_type, t, unnest(w) AS x FROM ew WHERE t IS NOT NULL),
+ p AS (SELECT a.id, b.id AS by_id, b.t FROM x a JOIN x b ON a.x = b.x AND b.t > a.t WHERE a.entry_type = 'question' GROUP BY 1, 2, 3 HAVING count(*) >= 2)
 SELECT id, arg_min(by_id, (t, by_id)) AS closed_by FROM p GROUP BY id""")
 def joi8_earliest_after(spark: SparkSession, d: str) -> DataFrame:
-    """By the words of whole entries, all of them; the statement above compares titles, without words of more than 60."""
+    """By the words of whole entries, all of them."""
     e = entry_words(spark, d)
     q = e.filter("entry_type = 'question'").select(F.col("id").alias("qid"), "t", "w", F.lit(2).alias("need"))
     return joins.first_sharing(q, e.select(F.col("id").alias("eid"), "t", "w")).select(F.col("qid").alias("id"), F.col("eid").alias("closed_by"))

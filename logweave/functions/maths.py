@@ -50,3 +50,22 @@ def nearest_rank(values: Column, p: int) -> Column:
     """The value at floor(p / 100 * n) of a sorted array, the last one at most; null for an empty array."""
     n = F.size(values)
     return F.get(values, F.least(F.floor(F.lit(p) * n / 100).cast("int"), n - 1))
+
+
+#: Start and prime of the 32-bit FNV-1a hash, and the start of djb2.
+FNV_START, FNV_PRIME, DJB_START = 2166136261, 16777619, 5381
+
+
+def _fold(c: Column, start: int, step) -> Column:
+    codes = F.transform(F.split(c, ""), lambda x: F.ascii(x).cast("long"))
+    return F.when(F.length(c) > 0, F.aggregate(codes, F.lit(start).cast("long"), lambda h, x: F.pmod(step(h, x), F.lit(1 << 32)))).when(c.isNotNull(), F.lit(start).cast("long"))
+
+
+def fnv1a(c: Column) -> Column:
+    """The 32-bit FNV-1a hash over the characters' codes."""
+    return _fold(c, FNV_START, lambda h, x: h.bitwiseXOR(x) * FNV_PRIME)
+
+
+def djb2(c: Column) -> Column:
+    """The 32-bit djb2 hash over the characters' codes, which are mixed in by exclusive or."""
+    return _fold(c, DJB_START, lambda h, x: (h * 33).bitwiseXOR(x))

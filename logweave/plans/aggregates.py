@@ -158,11 +158,12 @@ _PCT = "l[(least(floor({} * len(l) / 100.0), len(l) - 1) + 1)::INT]"
 
 
 def latency(rows: DataFrame, *by: str) -> DataFrame:
-    """Exact nearest-rank percentiles by group: a rank window, so no group is collected into one value."""
+    """Exact nearest-rank percentiles by group: equal durations are counted first, so a group's window is over its distinct ones."""
+    n = rows.filter("duration_ms is not null").groupBy(*by, "duration_ms").agg(F.count(F.lit(1)).alias("k"))
     w = Window.partitionBy(*by)
-    r = rows.filter("duration_ms is not null").withColumns({"i": F.row_number().over(w.orderBy("duration_ms")) - 1, "n": F.count(F.lit(1)).over(w)})
-    at = lambda p: F.max(F.when(F.col("i") == F.least(F.floor(F.lit(p) * F.col("n") / 100), F.col("n") - 1), F.col("duration_ms")))
-    return r.groupBy(*by).agg(at(50).alias("p50"), at(95).alias("p95"), F.max("duration_ms").alias("most"), F.count(F.lit(1)).alias("n"))
+    r = n.withColumns({"upto": F.sum("k").over(w.orderBy("duration_ms")), "n": F.sum("k").over(w)})
+    at = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.lit(p) * F.col("n") / 100), F.col("n") - 1), F.col("duration_ms")))
+    return r.groupBy(*by).agg(at(50).alias("p50"), at(95).alias("p95"), F.max("duration_ms").alias("most"), F.sum("k").alias("n"))
 
 
 @query(f"WITH g AS (SELECT occasion, list(duration_ms ORDER BY duration_ms) AS l FROM journal WHERE duration_ms IS NOT NULL GROUP BY occasion) SELECT occasion, {_PCT.format(50)} AS p50, {_PCT.format(95)} AS p95, l[-1] AS most, len(l) AS n FROM g")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logweave.functions import text as tx
 from logweave.functions.dates import due_state, iso
 from logweave.operators import quality
+from logweave.operators import ranking as rk
 from logweave.plans import aggregates as ag
 from logweave.plans import folds, ranked, scalars  # noqa: F401
 from logweave.plans.registry import NOW, NOW_SQL, ORACLES, query
@@ -62,16 +63,23 @@ def snk6_merge(spark: SparkSession, d: str) -> DataFrame:
     return sinks.merged(e, "topic").select("topic", F.array_join("ids", ",").alias("ids"), F.md5("text").alias("digest"))
 
 
-@query("WITH r AS (SELECT entry_type, seq, row_number() OVER (PARTITION BY entry_type ORDER BY seq) AS n FROM world_log WHERE retires_id IS NULL) SELECT entry_type, count(*) AS lines, min(seq) AS first_seq, max(seq) AS last_seq FROM r WHERE n <= 50 GROUP BY entry_type")
+@query("""WITH r AS (SELECT entry_type, seq, id, title FROM world_log WHERE retires_id IS NULL QUALIFY row_number() OVER (PARTITION BY entry_type ORDER BY seq) <= 50), l AS (SELECT *, concat_ws(chr(31), seq, id, title) || chr(10) AS line FROM r)
+SELECT entry_type, count(*) AS lines, min(seq) AS first_seq, max(seq) AS last_seq, sum(strlen(line))::BIGINT AS bytes, md5(string_agg(md5(line), '' ORDER BY seq)) AS checksum FROM l GROUP BY entry_type""")
 def snk7_shards(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.manifest(sinks.oldest(log(spark, d), "entry_type", 50), "entry_type").drop("checksum")
+    """The 50 oldest lines of each type that retire nothing, as they are written, with their length and checksum."""
+    e = rk.top_k(log(spark, d).filter("retires_id is null").select("entry_type", "seq", "id", "title"), "entry_type", ["seq"], 50)
+    line = F.concat(F.concat_ws("\x1f", F.col("seq").cast("string"), "id", "title"), F.lit("\n"))
+    sums = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.md5("line").alias("m")))), lambda x: x["m"]), ""))
+    return e.withColumn("line", line).groupBy("entry_type").agg(F.count(F.lit(1)).alias("lines"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.sum(F.octet_length("line")).alias("bytes"), sums.alias("checksum"))
 
 
-@query("SELECT session_id, count(*) AS lines FROM capture_lines WHERE message.content IS NOT NULL AND session_id IS NOT NULL GROUP BY session_id")
+@query(rf"""SELECT session_id, count(*) AS lines, sum(length({scalars._RED}))::BIGINT AS chars, sum(len(regexp_extract_all({scalars._RED}, '\[secret:[a-z]+\]')))::BIGINT AS markers, bit_xor(('0x' || left(md5(line_id || ':' || {scalars._RED}), 15))::BIGINT) AS digest
+ FROM capture_lines WHERE message.content IS NOT NULL AND session_id IS NOT NULL GROUP BY session_id""")
 def snk8_capture_writer(spark: SparkSession, d: str) -> DataFrame:
     """A stream that writes redacted lines."""
     s = st.stream(spark, d, "capture_lines").filter("message.content is not null and session_id is not null").select("session_id", "line_id", tx.redact(F.col("message.content")).alias("text"))
-    return st.run(s).groupBy("session_id").agg(F.count("text").alias("lines"))
+    digest = F.bit_xor(F.conv(F.left(F.md5(F.concat_ws(":", F.col("line_id").cast("string"), "text")), F.lit(15)), 16, 10).cast("long"))
+    return st.run(s).groupBy("session_id").agg(F.count("text").alias("lines"), F.sum(F.length("text")).alias("chars"), F.sum(tx.redactions(F.col("text"))).cast("long").alias("markers"), digest.alias("digest"))
 
 
 @query()
@@ -126,7 +134,7 @@ def str6_generation_cache(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def str7_lease_expiry(spark: SparkSession, d: str) -> DataFrame:
     kinds = F.array(*(F.lit(x) for x in ("claim", "renew", "done", "failed", "claim")))
-    e = st.stream(spark, d, "events").select((F.col("event_id") % 500).alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), (F.col("user_id") % 3).cast("string").alias("who"), F.get(kinds, (F.col("event_id") % 5).cast("int")).alias("kind"))
+    e = st.stream(spark, d, "events").select((F.col("event_id") % 500).alias("key"), F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 3).cast("string").alias("who"), F.get(kinds, (F.col("event_id") % 5).cast("int")).alias("kind"))
     return st.run(st.expiring_leases(e, 6 * 3600))
 
 
@@ -238,23 +246,30 @@ def dq15_hook_latency(spark: SparkSession, d: str) -> DataFrame:
     return j.select("occasion", F.when(F.col("n") < 20, "unknown").when(F.col("p95") > 2 * F.col("b"), "error").when(F.col("p95") > F.col("b"), "warn").otherwise("good").alias("level"))
 
 
-@query("SELECT world, bool_and(true) AS appended, count(*) AS lines FROM world_log GROUP BY world")
+#: What a line says; a line that comes again must say the same.
+_SAID = ("entry_type", "title", "text", "learning", "choice", "why", "topic", "replaces_id", "retires_id", "status")
+
+
+@query(f"""WITH l AS (SELECT world, id, count(*) AS n, count(DISTINCT md5(concat_ws(chr(31), {', '.join(f"coalesce({c}, chr(30))" for c in _SAID)}))) AS bodies FROM world_log WHERE id IS NOT NULL GROUP BY 1, 2)
+SELECT world, sum(n)::BIGINT AS lines, count(*) FILTER (n > 1) AS repeated, count(*) FILTER (bodies > 1) AS rewritten, bool_and(bodies = 1) AS appended FROM l GROUP BY world""")
 def dq16_append_only(spark: SparkSession, d: str) -> DataFrame:
-    """The log as it was on 20 March must be part of the log as it is: the same hash over the same lines, by world."""
-    then = F.col("at_ts") < iso("2026-03-20")
-    e = log(spark, d).select("world", "at_ts", F.xxhash64("seq", "id", "title").alias("h"))
-    old = e.filter(then).groupBy("world").agg(F.bit_xor("h").alias("old"))
-    now = e.groupBy("world").agg(F.bit_xor(F.when(then, F.col("h"))).alias("now"), F.count(F.lit(1)).alias("lines"))
-    return now.join(old, "world", "left").select("world", F.coalesce(F.col("old") == F.col("now"), F.lit(True)).alias("appended"), "lines")
+    """By world, the ids that come again and those that then say something else: a log that is only appended to has none of the latter."""
+    body = F.md5(F.concat_ws("\x1f", *(F.coalesce(c, F.lit("\x1e")) for c in _SAID)))
+    l = log(spark, d).filter("id is not null").select("world", "id", body.alias("b")).groupBy("world", "id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("b").alias("bodies"))
+    return l.groupBy("world").agg(F.sum("n").alias("lines"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("bodies") > 1).alias("rewritten"), F.bool_and(F.col("bodies") == 1).alias("appended"))
 
 
-@query()
+_LEVELS = " UNION ALL ".join([*(f"SELECT '{q}' AS finding, level FROM ({ORACLES[q]})" for q in ("dq5_topic_gate", "dq6_repetition_rate", "dq9_duty_age", "dq12_error_linked", "dq13_corpus_size", "dq14_archive_backlog")), f"SELECT 'dq15_' || occasion, level FROM ({ORACLES['dq15_hook_latency']})"])
+_RANK = "CASE WHEN level = 'error' THEN 3 WHEN level IN ('warn', 'late') THEN 2 WHEN level = 'good' THEN 1 ELSE 0 END"
+
+
+@query(f"WITH l AS ({_LEVELS}) SELECT finding, level FROM l UNION ALL SELECT 'all', arg_max(level, ({_RANK}, level)) FROM l")
 def dq17_roll_up(spark: SparkSession, d: str) -> DataFrame:
     """Levels of the checks and the worst of all; unknown never lowers it."""
     parts = [f(spark, d).select(F.lit(f.__name__).alias("finding"), "level") for f in (dq5_topic_gate, dq6_repetition_rate, dq9_duty_age, dq12_error_linked, dq13_corpus_size, dq14_archive_backlog)]
     every = reduce(DataFrame.unionByName, [*parts, dq15_hook_latency(spark, d).select(F.concat(F.lit("dq15_"), "occasion").alias("finding"), "level")])
     rank = F.when(F.col("level") == "error", 3).when(F.col("level").isin("warn", "late"), 2).when(F.col("level") == "good", 1).otherwise(0)
-    worst = every.agg(F.max_by("level", rank).alias("level")).select(F.lit("all").alias("finding"), "level")
+    worst = every.agg(F.max_by("level", F.struct(rank, "level")).alias("level")).select(F.lit("all").alias("finding"), "level")
     return every.unionByName(worst)
 
 
@@ -323,7 +338,7 @@ def view6_theme_samples(spark: SparkSession, d: str) -> DataFrame:
     return log(spark, d).filter(F.array_contains("tags", first)).orderBy("seq").limit(60).select("seq", "title")
 
 
-@query()
+@query(f"SELECT metric, value FROM (UNPIVOT (SELECT r1::DOUBLE AS r1, r10::DOUBLE AS r10, mrr::DOUBLE AS mrr FROM ({ORACLES['mth8_retrieval_metrics']})) ON r1, r10, mrr INTO NAME metric VALUE value) UNION ALL SELECT 'p95 ' || occasion, p95::DOUBLE FROM ({ORACLES['agg18_latency']})")
 def view7_value_report(spark: SparkSession, d: str) -> DataFrame:
     """Measures of search and journal in one table."""
     m = ranked.mth8_retrieval_metrics(spark, d).select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in ("r1", "r10", "mrr")))).alias("x")).select("x.*")

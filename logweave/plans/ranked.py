@@ -11,7 +11,7 @@ from logweave.functions import text as tx
 from logweave.operators import packing, quality, state
 from logweave.operators import ranking as rk
 from logweave.plans.aggregates import TERM_GRAPH_SQL, _npmi_sql, tag_graph, term_graph
-from logweave.plans.registry import NOW, NOW_SQL, query, sql_list
+from logweave.plans.registry import NOW, NOW_SQL, ORACLES, query, sql_list
 from logweave.plans.relational import _CW, _FIRST, log
 from logweave.sources.tables import table
 
@@ -220,7 +220,7 @@ def rewrites(spark: SparkSession, d: str) -> DataFrame:
     return rk.top_k(p, "from_w", [F.desc("sessions"), F.col("to_w")], 4).select("from_w", "to_w", "sessions")
 
 
-@query()
+@query(f"SELECT from_w, to_w, sessions FROM ({ORACLES['rnk4_rewrites']}) WHERE levenshtein(from_w, to_w) > 2")
 def rnk5_rewrite_learning(spark: SparkSession, d: str) -> DataFrame:
     """rnk4's pairs without those that are spellings of each other."""
     return rewrites(spark, d).filter(F.levenshtein("from_w", "to_w") > 2)

@@ -321,12 +321,12 @@ def joi13_alias_resolution(spark: SparkSession, d: str) -> DataFrame:
     return resolve_roots(p).select(F.col("id").cast("long").alias("k"), F.col("root").cast("long").alias("root"))
 
 
-@query("""WITH e AS (SELECT seq, err_class, topic FROM world_log WHERE entry_type = 'error' AND err_class IS NOT NULL), s AS (SELECT DISTINCT err_class, split_part(topic, '/', 1) AS area FROM e WHERE topic IS NOT NULL)
-SELECT DISTINCT e.seq FROM e JOIN s ON e.err_class = s.err_class AND starts_with(e.topic, s.area || '/')""")
+@query(r"""SELECT seq FROM world_log w WHERE entry_type = 'error' AND EXISTS (SELECT 1 FROM search_hits h WHERE h.source LIKE '%/errors.jsonl' AND regexp_replace(h.source, '/[^/]*$', '') = CASE WHEN w.project IS NULL THEN 'global' ELSE 'projects/' || w.project END)""")
 def joi14_file_scope(spark: SparkSession, d: str) -> DataFrame:
-    e = log(spark, d).filter("entry_type = 'error' and err_class is not null").select("seq", "err_class", "topic", F.split_part("topic", F.lit("/"), F.lit(1)).alias("area"))
-    scope = e.filter("topic is not null").select("err_class", "area").distinct()
-    return e.filter(F.startswith("topic", F.concat("area", F.lit("/")))).join(scope, ["err_class", "area"], "left_semi").select("seq")
+    """Errors whose folder holds an error file that a search has touched."""
+    touched = table(spark, d, "search_hits").filter(F.col("source").endswith("/errors.jsonl")).select(F.regexp_replace("source", "/[^/]*$", "").alias("folder")).distinct()
+    e = log(spark, d).filter("entry_type = 'error'").select("seq", F.coalesce(F.concat(F.lit("projects/"), "project"), F.lit("global")).alias("folder"))
+    return e.join(touched, "folder", "left_semi").select("seq")
 
 
 @query(f"""WITH {_FIRST} SELECT w.seq, epoch_us(coalesce(f.at_ts, w.at_ts)) AS evidence_us FROM world_log w LEFT JOIN first f ON w.replaces_id = f.id WHERE w.replaces_id IS NOT NULL""")

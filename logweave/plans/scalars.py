@@ -440,10 +440,13 @@ def mth5_vector_score(spark: SparkSession, d: str) -> DataFrame:
     return nearest_vectors(v.filter("vec_id % 20 = 0"), v, 5)
 
 
-@query()
+_FOLD = "list_reduce(list_prepend({0}::BIGINT, list_transform(string_split(id, ''), lambda c: ord(c)::BIGINT)), lambda h, c: {1})"
+
+
+@query(f"""SELECT DISTINCT id, {_FOLD.format(mt.FNV_START, f'(xor(h, c) * {mt.FNV_PRIME}) % 4294967296')} AS fnv1a, {_FOLD.format(mt.DJB_START, 'xor(h * 33, c) % 4294967296')} AS djb2 FROM world_log WHERE id IS NOT NULL AND id <> ''""")
 def mth6_short_hash(spark: SparkSession, d: str) -> DataFrame:
-    """Cheap hashes of texts; internal ids, so Spark's own hash is used."""
-    return docs(spark, d).select("doc_id", F.hex(F.xxhash64("text")).alias("hash"))
+    e = table(spark, d, "world_log").filter("id is not null and id <> ''").select("id").distinct()
+    return e.select("id", mt.fnv1a(F.col("id")).alias("fnv1a"), mt.djb2(F.col("id")).alias("djb2"))
 
 
 @query("SELECT n, round(5.0 * ln(1 + (n - 0.5) / 1.5) / ln(1 + (1000 - 0.5) / 1.5), 6) AS bar FROM (SELECT count(*) AS n FROM documents GROUP BY project)")

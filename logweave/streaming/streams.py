@@ -70,23 +70,38 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str, late: str = "60 day
     return g.select(key, F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "n")
 
 
-def expiring_leases(events: DataFrame, lease_s: int) -> DataFrame:
-    """``(key, holder, until)`` after each batch: the lease of each key, from events (key, t, who, kind) with state kept between batches."""
+def expiring_leases(events: DataFrame, lease_s: int, late: str = "0 seconds") -> DataFrame:
+    """``(key, holder, until)``: the lease of each key after each batch that touches it, and once more without a holder when
+    it runs out before another batch touches the key.
+
+    events is ``(key, ts, who, kind)``. A claim takes a free lease, a renewal by its holder extends it, done or failed by its holder frees
+    it; equal times go by who, then kind. State is kept between batches while a lease is held, and a timer on the watermark ends it.
+    Null keys and times give nothing; rows later than the watermark are left out.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         holder, until = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(frames)).sort_values(["t", "who", "kind"])
-        for t, who, kind in zip(rows["t"], rows["who"], rows["kind"]):
-            if holder is not None and t >= until:
-                holder = None
-            if kind == "claim" and holder is None or kind == "renew" and holder == who:
-                holder, until = who, int(t) + lease_s
-            elif kind in ("done", "failed") and holder == who:
-                holder = None
-        state.update((holder, until))
+        if state.hasTimedOut:
+            holder = None
+        else:
+            rows = pd.concat(list(frames)).sort_values(["t", "who", "kind"])
+            for t, who, kind in zip(rows["t"], rows["who"], rows["kind"]):
+                if holder is not None and t >= until:
+                    holder = None
+                if kind == "claim" and holder is None or kind == "renew" and holder == who:
+                    holder, until = who, int(t) + lease_s
+                elif kind in ("done", "failed") and holder == who:
+                    holder = None
+        if holder is not None and until * 1000 > state.getCurrentWatermarkMs():
+            state.update((holder, until))
+            state.setTimeoutTimestamp(until * 1000)
+        else:
+            holder = None
+            state.remove()
         yield pd.DataFrame({"key": [key[0]], "holder": [holder], "until": [until]})
 
-    return events.groupBy("key").applyInPandasWithState(step, "key long, holder string, until long", "holder string, until long", "append", GroupStateTimeout.NoTimeout)
+    e = events.filter("key is not null and ts is not null").withWatermark("ts", late).select("key", "ts", F.unix_seconds("ts").alias("t"), "who", "kind")
+    return e.groupBy("key").applyInPandasWithState(step, "key long, holder string, until long", "holder string, until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_of_each(events: DataFrame, key: str, ts: str, late: str) -> DataFrame:

@@ -173,9 +173,10 @@ def cut_masked(c: Column, width: int) -> Column:
 
 
 def snippet(c: Column, needle: str, width: int) -> Column:
-    """width characters around the first place of needle, any case; null without one."""
-    at = F.instr(F.lower(c), needle.lower())
-    return F.when(at > 0, F.substring(c, F.greatest(F.lit(1), at - width // 2), F.lit(width)))
+    """width characters around the first place of needle, any case, in the first line that has it; null without one."""
+    has = lambda x: F.instr(F.lower(x), needle.lower())
+    lines = F.transform(F.filter(F.split(c, r"\r?\n"), lambda x: has(x) > 0), lambda x: F.substring(x, F.greatest(F.lit(1), has(x) - width // 2), F.lit(width)))
+    return F.get(lines, F.lit(0))
 
 
 def name_key(c: Column) -> Column:

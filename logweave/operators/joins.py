@@ -93,6 +93,19 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, lid: str, rid: st
     return u.filter("t is not null").withColumn("m", F.last("r", ignorenulls=True).over(w)).filter("side = 1").select(F.col("l").alias(lid), F.col("m").alias(rid))
 
 
+def asof_within(left: DataFrame, right: DataFrame, keys: list[str], lid: str, rid: str, most: int) -> DataFrame:
+    """``(keys, lid, rid, after_us)``: the last right row of the keys at or before each left row and most microseconds before it at most;
+    of equal times the larger rid. Left rows without one have no row.
+
+    Time is cut into buckets of that length, so the candidates of a left row are in two of them, and a hot key is split by time.
+    """
+    b = lambda c: F.floor(F.col(c) / most)
+    l = left.select(*keys, F.col(lid), F.col("t").alias("lt")).withColumn("b", F.explode(F.array(b("lt"), b("lt") - 1)))
+    r = right.select(*keys, F.col(rid), F.col("t").alias("rt")).withColumn("b", b("rt"))
+    near = l.join(r, [*keys, "b"]).filter((F.col("rt") <= F.col("lt")) & (F.col("lt") - F.col("rt") <= most))
+    return near.groupBy(*keys, lid, "lt").agg(F.max(F.struct("rt", rid)).alias("m")).select(*keys, lid, F.col(f"m.{rid}").alias(rid), (F.col("lt") - F.col("m.rt")).alias("after_us"))
+
+
 def shared_features(items: DataFrame, key: str, feature: str, most_df: int, n: float) -> DataFrame:
     """``(a, b, strength, shared)``: pairs of keys by the features of at most most_df keys that they share, strength sum ln(n / df).
 

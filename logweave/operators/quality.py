@@ -49,8 +49,12 @@ def error_links(log: DataFrame, now, days: int = 30) -> DataFrame:
     return j.agg(F.count(F.lit(1)).alias("errors"), F.round(F.avg("f"), 6).alias("fixed"), F.round(F.avg("r"), 6).alias("learned"), F.round(F.avg(F.when(recent, F.col("f"))), 6).alias("fixed_recent"))
 
 
-def repetition(log: DataFrame, days: int = 7, least: int = 3) -> DataFrame:
-    """``(seq, repeated)`` of error lines: at least ``least`` of their class within ``days`` up to each."""
-    w = Window.partitionBy("err_class").orderBy("t").rangeBetween(-days * 86_400_000_000, 0)
-    e = log.filter("entry_type = 'error' and err_class is not null and at_ts is not null").select("seq", "err_class", F.unix_micros("at_ts").alias("t"))
-    return e.select("seq", (F.count(F.lit(1)).over(w) >= least).alias("repeated"))
+def repetition(log: DataFrame, days: int = 7, least: int = 3, place_days: int = 30) -> DataFrame:
+    """``(seq, repeated)`` of error lines: at least ``least`` of their class within ``days`` up to each, or an earlier one of the class in the
+    same place, its topic, within ``place_days`` before."""
+    day = 86_400_000_000
+    w = Window.partitionBy("err_class").orderBy("t").rangeBetween(-days * day, 0)
+    same = Window.partitionBy("err_class", "topic").orderBy("t").rangeBetween(-place_days * day, -1)
+    e = log.filter("entry_type = 'error' and err_class is not null and at_ts is not null").select("seq", "err_class", "topic", F.unix_micros("at_ts").alias("t"))
+    n = F.count(F.lit(1))
+    return e.select("seq", ((n.over(w) >= least) | (F.col("topic").isNotNull() & (n.over(same) > 0))).alias("repeated"))

@@ -299,9 +299,16 @@ def cut_with_tie(hits: DataFrame, by: str, key: str, top: int, spread: float) ->
     return r.filter((F.col("rank") <= top) | ((F.col("rank") == top + 1) & (F.col("prev") - F.col("score") <= spread * F.col("prev")))).drop("prev")
 
 
+def author_share(rows: DataFrame, by: str, author: str, order: list[Column], most: int) -> DataFrame:
+    """Rows of each answer with at most so many of each author, the first in order; rows without an author and those that are ``exempt`` all stay."""
+    free = F.col("exempt") | F.col(author).isNull()
+    counted = rows.filter(~free).withColumn("_rn", F.row_number().over(Window.partitionBy(by, author).orderBy(*order))).filter(F.col("_rn") <= most).drop("_rn")
+    return counted.unionByName(rows.filter(free))
+
+
 def answer_holds(hits: DataFrame, by: str, bar: Column) -> DataFrame:
     """``(by, holds)``: some hit is exact, fully covered, twice over the bar, or over it and leading by 5 %."""
-    second = F.get(F.array_sort(F.collect_list("score"), lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0)), F.lit(1))
-    g = hits.groupBy(by).agg(F.max("exact").alias("exact"), F.max("full").alias("full"), F.max("score").alias("best"), second.alias("second"))
+    two = top_k(hits.select(by, "score"), by, [F.desc("score")], 2, "_r").groupBy(by).agg(F.max("score").alias("best"), F.max(F.when(F.col("_r") == 2, F.col("score"))).alias("second"))
+    g = hits.groupBy(by).agg(F.max("exact").alias("exact"), F.max("full").alias("full")).join(two, by)
     lead = F.col("second").isNull() | (F.col("best") >= 1.05 * F.col("second"))
     return g.select(by, (F.col("exact") | F.col("full") | (F.col("best") >= 2 * bar) | ((F.col("best") >= bar) & lead)).alias("holds"))

@@ -250,11 +250,24 @@ def agg30_usage(spark: SparkSession, d: str) -> DataFrame:
     return c.agg(F.grouping("occasion").cast("int").alias("all_occasions"), F.grouping("reason").cast("int").alias("all_reasons"), F.count(F.lit(1)).alias("rows"), F.count_if("is_shown").alias("shown"), F.sum("n_bytes").alias("bytes"))
 
 
-@query("SELECT agent, epoch_us(max(at_ts)) AS newest_us, CASE WHEN max(at_ts) > TIMESTAMPTZ '2026-03-28 00:00:00+00' THEN 'ahead' WHEN max(at_ts) > TIMESTAMPTZ '2026-03-20 00:00:00+00' THEN 'close' ELSE 'behind' END AS grade, count(DISTINCT world) AS worlds FROM world_log WHERE agent IS NOT NULL AND at_ts IS NOT NULL GROUP BY agent")
+#: Minutes ahead of one's own clock from which a foreign line is a warning and an error.
+AHEAD_WARN, AHEAD_ERROR = 1, 5
+
+
+@query(f"""WITH a AS (SELECT agent, count(*) AS n, max(epoch_us(at_ts)) AS t FROM world_log WHERE agent IS NOT NULL AND at_ts IS NOT NULL GROUP BY agent), w AS (SELECT sum(n) AS n, count(*) AS k FROM a), two AS (SELECT agent, t, row_number() OVER (ORDER BY t DESC, agent) AS r FROM a QUALIFY r <= 2),
+ s AS (SELECT a.agent, o.agent AS newest_of, (w.n - a.n)::BIGINT AS lines, w.k - 1 AS writers, round((o.t - epoch_us({NOW_SQL})) / 60000000.0::DOUBLE, 2) AS minutes FROM a, w, two o WHERE o.r = (SELECT CASE WHEN f.agent = a.agent THEN 2 ELSE 1 END FROM two f WHERE f.r = 1))
+SELECT agent, newest_of, lines, writers, minutes, CASE WHEN minutes >= 5 THEN 'error' WHEN minutes >= 1 THEN 'warn' ELSE 'good' END AS state FROM s""")
 def agg31_clock_skew(spark: SparkSession, d: str) -> DataFrame:
-    m = F.max("at_ts")
-    grade = F.when(m > dt.iso("2026-03-28"), "ahead").when(m > dt.iso("2026-03-20"), "close").otherwise("behind")
-    return log(spark, d).filter("agent is not null and at_ts is not null").groupBy("agent").agg(F.unix_micros(m).alias("newest_us"), grade.alias("grade"), F.countDistinct("world").alias("worlds"))
+    """For each writer the newest line of any other, in minutes ahead of now; below 0 it lags, which is no fault of a clock."""
+    a = log(spark, d).filter("agent is not null and at_ts is not null").groupBy("agent").agg(F.count(F.lit(1)).alias("n"), F.max(F.unix_micros("at_ts")).alias("t"))
+    best = lambda df: df.agg(F.min(F.struct((-F.col("t")).alias("t"), "agent")).alias("x"))
+    first = best(a).select(F.col("x.agent").alias("w1"), (-F.col("x.t")).alias("t1"))
+    second = best(a.join(first.select(F.col("w1").alias("agent")), "agent", "left_anti")).select(F.col("x.agent").alias("w2"), (-F.col("x.t")).alias("t2"))
+    every = a.crossJoin(F.broadcast(a.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("k")))).crossJoin(F.broadcast(first)).crossJoin(F.broadcast(second))  # three single rows
+    own = F.col("agent") == F.col("w1")
+    minutes = F.round((F.when(own, F.col("t2")).otherwise(F.col("t1")) - F.unix_micros(dt.iso(NOW))) / 60e6, 2)
+    out = every.select("agent", F.when(own, F.col("w2")).otherwise(F.col("w1")).alias("newest_of"), (F.col("all") - F.col("n")).alias("lines"), (F.col("k") - 1).alias("writers"), minutes.alias("minutes"))
+    return out.filter("newest_of is not null").withColumn("state", F.when(F.col("minutes") >= AHEAD_ERROR, "error").when(F.col("minutes") >= AHEAD_WARN, "warn").otherwise("good"))
 
 
 def _npmi_sql(items: str, least: int, cap: float, floor: float, k: int, most_df: int) -> str:

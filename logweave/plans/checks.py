@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.functions import text as tx
@@ -112,9 +112,11 @@ def str3_staleness(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT session_id, epoch_us(ts) AS t FROM capture_lines WHERE ts IS NOT NULL AND session_id IS NOT NULL), p AS (SELECT *, lag(t) OVER (PARTITION BY session_id ORDER BY t) AS pt FROM e), g AS (SELECT *, sum(CASE WHEN pt IS NULL OR t - pt > 2700000000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM p)
-SELECT session_id, min(t) AS start_us, max(t) + 2700000000 AS end_us, count(*) AS n FROM g GROUP BY session_id, g""")
+SELECT session_id, min(t) AS start_us, max(t) + 2700000000 AS end_us, least(max(t) + 2700000000, min(t) + 28800000000) AS due_us, count(*) AS n FROM g GROUP BY session_id, g""")
 def str4_quiet_windows(spark: SparkSession, d: str) -> DataFrame:
-    return st.run(st.sessions(st.stream(spark, d, "capture_lines"), "session_id", "ts", "45 minutes"), "complete")
+    """A session is due after 45 minutes of silence, and after 8 hours at the latest."""
+    s = st.run(st.sessions(st.stream(spark, d, "capture_lines"), "session_id", "ts", "45 minutes"), "complete")
+    return s.withColumn("due_us", F.least("end_us", F.col("start_us") + 8 * 3_600_000_000))
 
 
 @query("SELECT strftime(timezone('UTC', ts), '%Y-%m-%d') AS day, count(*) AS n FROM capture_lines WHERE ts >= TIMESTAMPTZ '2026-03-10 00:00:00+00' AND ts < TIMESTAMPTZ '2026-03-13 00:00:00+00' GROUP BY 1")
@@ -273,19 +275,29 @@ def dq17_roll_up(spark: SparkSession, d: str) -> DataFrame:
     return every.unionByName(worst)
 
 
-@query("SELECT coalesce(a.entry_type, b.entry_type) AS entry_type, coalesce(b.n, 0) AS now, coalesce(a.n, 0) AS baseline, coalesce(b.n, 0) < coalesce(a.n, 0) AS shrunk FROM (SELECT entry_type, count(*) AS n FROM world_log WHERE at_ts < TIMESTAMPTZ '2026-03-20 00:00:00+00' GROUP BY 1) a FULL JOIN (SELECT entry_type, count(*) AS n FROM world_log WHERE retires_id IS NULL GROUP BY 1) b USING (entry_type)")
+@query("""WITH o AS (SELECT entry_type, at_ts::DATE AS day, 1 AS step FROM world_log WHERE at_ts IS NOT NULL AND replaces_id IS NULL AND retires_id IS NULL UNION ALL
+ SELECT t.entry_type, r.at_ts::DATE, -1 FROM (SELECT retires_id, min(at_ts) AS at_ts FROM world_log WHERE retires_id IS NOT NULL AND at_ts IS NOT NULL GROUP BY 1) r JOIN (SELECT id, min(entry_type) AS entry_type FROM world_log WHERE id IS NOT NULL GROUP BY 1) t ON t.id = r.retires_id),
+ d AS (SELECT entry_type, day, sum(step) AS step FROM o WHERE entry_type IS NOT NULL GROUP BY 1, 2), c AS (SELECT entry_type, day, sum(step) OVER (PARTITION BY entry_type ORDER BY day) AS size FROM d)
+SELECT entry_type, arg_max(size, day)::BIGINT AS now, max(size)::BIGINT AS baseline, arg_max(size, day) < max(size) AS shrunk FROM c GROUP BY entry_type""")
 def dq18_shrink(spark: SparkSession, d: str) -> DataFrame:
-    a = log(spark, d).filter(F.col("at_ts") < iso("2026-03-20")).groupBy("entry_type").agg(F.count(F.lit(1)).alias("a"))
-    b = log(spark, d).filter("retires_id is null").groupBy("entry_type").agg(F.count(F.lit(1)).alias("b"))
-    z = lambda c: F.coalesce(c, F.lit(0))
-    return a.join(b, "entry_type", "full").select("entry_type", z("b").alias("now"), z("a").alias("baseline"), (z("b") < z("a")).alias("shrunk"))
-
-
-@query("SELECT DISTINCT retires_id AS id FROM world_log WHERE retires_id IS NOT NULL AND at_ts < TIMESTAMPTZ '2026-03-20 00:00:00+00' AND retires_id NOT IN (SELECT retires_id FROM world_log WHERE retires_id IS NOT NULL AND status IS NOT NULL)")
+    """The books' sizes, opened less retired by day, against the largest they ever had."""
+    e = log(spark, d).filter("at_ts is not null")
+    opened = e.filter("replaces_id is null and retires_id is null").select("entry_type", F.to_date("at_ts").alias("day"), F.lit(1).alias("step"))
+    kind = log(spark, d).filter("id is not null").groupBy(F.col("id").alias("retires_id")).agg(F.min("entry_type").alias("entry_type"))
+    closed = e.filter("retires_id is not null").groupBy("retires_id").agg(F.min("at_ts").alias("at_ts")).join(kind, "retires_id").select("entry_type", F.to_date("at_ts").alias("day"), F.lit(-1).alias("step"))
+    days = opened.unionByName(closed).filter("entry_type is not null").groupBy("entry_type", "day").agg(F.sum("step").alias("step"))
+    size = days.withColumn("size", F.sum("step").over(Window.partitionBy("entry_type").orderBy("day")))  # a row a day
+    now = size.groupBy("entry_type").agg(F.max_by("size", "day").alias("now"), F.max("size").alias("baseline"))
+    return now.withColumn("shrunk", F.col("now") < F.col("baseline"))
+
+
+@query("""WITH r AS (SELECT id, retires_id, at_ts FROM world_log WHERE retires_id IS NOT NULL AND at_ts IS NOT NULL), undone AS (SELECT retires_id AS id FROM r WHERE retires_id IS NOT NULL)
+SELECT DISTINCT retires_id AS id FROM r WHERE at_ts < TIMESTAMPTZ '2026-03-20 00:00:00+00' AND retires_id NOT IN (SELECT retires_id FROM r WHERE id IS NULL OR id NOT IN (SELECT id FROM undone))""")
 def dq19_epoch(spark: SparkSession, d: str) -> DataFrame:
-    """Ids retired at the mark of 20 March that no line with a status retires now."""
-    r = log(spark, d).filter("retires_id is not null").select("at_ts", "status", F.col("retires_id").alias("id"))
-    return r.filter(F.col("at_ts") < iso("2026-03-20")).select("id").distinct().join(r.filter("status is not null").select("id"), "id", "left_anti")
+    """Ids retired at the mark of 20 March that are not retired now, as the lines that retired them were retired themselves."""
+    r = log(spark, d).filter("retires_id is not null and at_ts is not null").select("id", F.col("retires_id").alias("gone"), "at_ts")
+    now = r.join(r.select(F.col("gone").alias("id")), "id", "left_anti").select("gone")
+    return r.filter(F.col("at_ts") < iso("2026-03-20")).select("gone").distinct().join(now, "gone", "left_anti").select(F.col("gone").alias("id"))
 
 
 # ---- views

@@ -44,11 +44,16 @@ def win3_recent(spark: SparkSession, d: str) -> DataFrame:
     return log(spark, d).filter("entry_type = 'learning' and at_ts is not null").orderBy(F.desc("at_ts"), F.desc("seq")).limit(20).select("seq", "id")
 
 
-@query("WITH h AS (SELECT call_name, hit_id, score, world, row_number() OVER (PARTITION BY call_name, world ORDER BY score DESC, hit_id) AS rn FROM search_hits WHERE score IS NOT NULL) SELECT call_name, hit_id FROM h WHERE rn <= 5 OR world IS NULL")
+#: Rows that an answer shows, and the share of them that one author may have; two are always allowed.
+SHOWN, AUTHOR_SHARE = 10, 0.5
+
+
+@query("""WITH h AS (SELECT call_name, hit_id, score, world, project IS NULL AS own, row_number() OVER (PARTITION BY call_name, world, project IS NULL ORDER BY score DESC, hit_id) AS rn FROM search_hits WHERE score IS NOT NULL)
+SELECT call_name, hit_id FROM h WHERE rn <= greatest(2, floor(10 * 0.5)) OR world IS NULL OR own""")
 def win4_author_share(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("call_name", "world").orderBy(F.desc("score"), "hit_id")
-    h = table(spark, d, "search_hits").filter("score is not null").select("call_name", "world", "hit_id", F.row_number().over(w).alias("rn"))
-    return h.filter("rn <= 5 or world is null").select("call_name", "hit_id")
+    """The worlds stand for authors; hits without one, and those of the user's own that belong to no project, are exempt."""
+    h = table(spark, d, "search_hits").filter("score is not null").select("call_name", "world", "hit_id", "score", F.col("project").isNull().alias("exempt"))
+    return rk.author_share(h, "call_name", "world", [F.desc("score"), F.col("hit_id")], max(2, int(SHOWN * AUTHOR_SHARE))).select("call_name", "hit_id")
 
 
 @query("WITH r AS (SELECT call_name, hit_type, hit_id, row_number() OVER (PARTITION BY call_name, hit_type ORDER BY score DESC, hit_id) AS rn FROM search_hits WHERE score IS NOT NULL AND hit_type IS NOT NULL) SELECT call_name, hit_id, row_number() OVER (PARTITION BY call_name ORDER BY rn, hit_type, hit_id)::INT AS place FROM r WHERE rn <= 10")
@@ -96,10 +101,13 @@ def win10_tie_cut(spark: SparkSession, d: str) -> DataFrame:
     return rk.cut_with_tie(h, "call_name", "hit_id", 5, 0.02).select("call_name", "hit_id", "rank")
 
 
-@query("WITH g AS (SELECT world, bool_or(is_raw AND score > 0.99) AS exact, list(score ORDER BY score DESC) AS l FROM search_hits WHERE score IS NOT NULL AND world IS NOT NULL GROUP BY world) SELECT world, exact OR l[1] >= 1.9 OR (l[1] >= 0.95 AND (l[2] IS NULL OR l[1] >= 1.05 * l[2])) AS holds FROM g")
+@query("""WITH h AS (SELECT world, score, is_raw AND score > 0.99 AS exact, len(list_filter(string_split(project, '-'), lambda w: NOT contains(lower(entry_text), w))) = 0 AS covered FROM search_hits WHERE score IS NOT NULL AND world IS NOT NULL),
+ g AS (SELECT world, bool_or(exact) OR coalesce(bool_or(covered), false) AS sure, list(score ORDER BY score DESC) AS l FROM h GROUP BY world) SELECT world, sure OR l[1] >= 1.9 OR (l[1] >= 0.95 AND (l[2] IS NULL OR l[1] >= 1.05 * l[2])) AS holds FROM g""")
 def win11_answer_gate(spark: SparkSession, d: str) -> DataFrame:
+    """By world; a hit is fully covered if it names all words of its project."""
     h = table(spark, d, "search_hits").filter("score is not null and world is not null")
-    h = h.select("world", "score", (F.col("is_raw") & (F.col("score") > 0.99)).alias("exact"), F.lit(False).alias("full"))
+    covered = F.forall(F.split("project", "-"), lambda w: F.lower("entry_text").contains(w))
+    h = h.select("world", "score", (F.col("is_raw") & (F.col("score") > 0.99)).alias("exact"), F.coalesce(covered, F.lit(False)).alias("full"))
     return rk.answer_holds(h, "world", F.lit(0.95))
 
 
@@ -126,7 +134,7 @@ def win14_digest_selection(spark: SparkSession, d: str) -> DataFrame:
     return o.unionByName(packing.upto(rest, [F.col("n"), F.col("path")], "n", 750).select("path", F.lit("smallest").alias("why")))
 
 
-@query("SELECT seq, count(*) OVER (PARTITION BY err_class ORDER BY epoch_us(at_ts) RANGE BETWEEN 604800000000 PRECEDING AND CURRENT ROW) >= 3 AS repeated FROM world_log WHERE entry_type = 'error' AND err_class IS NOT NULL AND at_ts IS NOT NULL")
+@query("SELECT seq, count(*) OVER (PARTITION BY err_class ORDER BY epoch_us(at_ts) RANGE BETWEEN 604800000000 PRECEDING AND CURRENT ROW) >= 3 OR (topic IS NOT NULL AND count(*) OVER (PARTITION BY err_class, topic ORDER BY epoch_us(at_ts) RANGE BETWEEN 2592000000000 PRECEDING AND 1 PRECEDING) > 0) AS repeated FROM world_log WHERE entry_type = 'error' AND err_class IS NOT NULL AND at_ts IS NOT NULL")
 def win15_repetition(spark: SparkSession, d: str) -> DataFrame:
     return quality.repetition(log(spark, d))
 

@@ -260,9 +260,15 @@ def joi6_mentions(spark: SparkSession, d: str) -> DataFrame:
     return near.groupBy("journal_id", "id").agg(F.min(F.col("mt") - F.col("qt")).alias("after_us"))
 
 
-@query("""SELECT j.journal_id, (SELECT arg_max(c.line_id, (epoch_us(c.ts), c.line_id)) FROM capture_lines c WHERE c.session_id = j.session_id AND c.ts <= j.ts) AS line_id FROM journal j WHERE j.ts IS NOT NULL AND j.session_id IS NOT NULL""")
+@query("""WITH o AS (SELECT journal_id, session_id AS s, epoch_us(ts) AS t, unnest(ids) AS id FROM journal WHERE occasion = 'question' AND ts IS NOT NULL AND session_id IS NOT NULL),
+ f AS (SELECT journal_id, session_id AS s, epoch_us(ts) AS t, unnest(ids) AS id FROM journal WHERE occasion <> 'question' AND ts IS NOT NULL AND session_id IS NOT NULL)
+SELECT f.journal_id, f.id, arg_max(o.journal_id, (o.t, o.journal_id)) AS offer, f.t - max(o.t) AS after_us FROM f JOIN o ON f.s = o.s AND f.id = o.id AND o.t <= f.t AND f.t - o.t <= 86400000000 GROUP BY f.journal_id, f.id, f.t""")
 def joi7_asof(spark: SparkSession, d: str) -> DataFrame:
-    return joins.asof_backward(_us(table(spark, d, "journal"), "session_id", "ts", "journal_id"), _us(table(spark, d, "capture_lines"), "session_id", "ts", "line_id"), "k", "journal_id", "line_id")
+    """What is used later in a session is credited to the latest question, a day ago at most, to which the same entry was offered."""
+    j = table(spark, d, "journal").filter("ts is not null and session_id is not null").select("journal_id", "occasion", F.col("session_id").alias("s"), F.unix_micros("ts").alias("t"), F.explode("ids").alias("id"))
+    used = j.filter("occasion <> 'question'").select("journal_id", "s", "id", "t").distinct()
+    found = joins.asof_within(used, j.filter("occasion = 'question'").select(F.col("journal_id").alias("offer"), "s", "id", "t"), ["s", "id"], "journal_id", "offer", 86_400_000_000)
+    return found.select("journal_id", "id", "offer", "after_us")
 
 
 #: All that an entry says, as content_text; entries with their time and distinct words.

@@ -190,7 +190,8 @@ def txt20_cut_masked(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "capture_lines").filter("message.content is not null").select("line_id", tx.cut_masked(tx.redact(F.col("message.content")), 60).alias("head"))
 
 
-@query("SELECT doc_id, substr(text, greatest(1, strpos(lower(text), 'cursor') - 40)::BIGINT, 80) AS snippet FROM documents WHERE strpos(lower(text), 'cursor') > 0")
+@query(r"""WITH l AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\r?\n'), lambda x: contains(lower(x), 'cursor'))[1] AS line FROM documents)
+SELECT doc_id, substr(line, greatest(1, strpos(lower(line), 'cursor') - 40)::BIGINT, 80) AS snippet FROM l WHERE line IS NOT NULL""")
 def txt21_snippet(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", tx.snippet(F.col("text"), "cursor", 80).alias("snippet")).filter("snippet is not null")
 
@@ -352,10 +353,13 @@ def dat5_entries_in_window(spark: SparkSession, d: str) -> DataFrame:
     return w.filter(body.contains("cursor") | body.contains("frist")).select("seq", "id", F.unix_micros("at_ts").alias("at_us"))
 
 
-@query("SELECT line_id, epoch_us(ts) AS at_us FROM capture_lines WHERE ts >= TIMESTAMPTZ '2026-03-10 00:00:00+00' AND ts < TIMESTAMPTZ '2026-03-11 00:00:00+00' ORDER BY ts, line_id LIMIT 200")
+@query("""WITH w AS (SELECT line_id, ts FROM capture_lines WHERE ts >= TIMESTAMPTZ '2026-03-10 00:00:00+00' AND ts < TIMESTAMPTZ '2026-03-11 00:00:00+00')
+SELECT line_id, epoch_us(ts) AS at_us, (SELECT greatest(count(*) - 200, 0) FROM w) AS left_out FROM w ORDER BY ts, line_id LIMIT 200""")
 def dat6_raw_in_window(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "capture_lines").filter((F.col("ts") >= dt.iso("2026-03-10")) & (F.col("ts") < dt.iso("2026-03-11")))
-    return w.orderBy("ts", "line_id").limit(200).select("line_id", F.unix_micros("ts").alias("at_us"))
+    """The first 200 lines of the window, and how many are left out."""
+    w = table(spark, d, "capture_lines").filter((F.col("ts") >= dt.iso("2026-03-10")) & (F.col("ts") < dt.iso("2026-03-11"))).select("line_id", "ts")
+    out = w.agg(F.greatest(F.count(F.lit(1)) - 200, F.lit(0).cast("long")).alias("left_out"))
+    return w.orderBy("ts", "line_id").limit(200).crossJoin(F.broadcast(out)).select("line_id", F.unix_micros("ts").alias("at_us"), "left_out")
 
 
 _DUE = "CASE WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 4 = 1 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') WHEN o_orderkey % 4 = 2 THEN strftime(o_orderdate, '%d.%m.%Y') END"

@@ -181,3 +181,23 @@ def test_captures(spark):
     rows = [(1, "user", ("user", "x")), (2, None, ("human", "x")), (3, "user", None), (4, "user", (None, " ")), (5, "system", ("user", "x")), (6, "user", ("assistant", "x"))]
     df = spark.createDataFrame(rows, "line_id long, line_type string, message struct<role:string,content:string>")
     assert pairs(df.filter(captures.real_user()), "line_id") == [(1,), (2,)]
+
+
+def test_asof_within(spark):
+    left = spark.createDataFrame([("a", 1, 100, 1), ("a", 1, 5, 2), ("a", 2, 100, 3), ("b", 1, 31, 4), (None, 1, 31, 5)], "s string, id int, t long, l long")
+    right = spark.createDataFrame([("a", 1, 90, 10), ("a", 1, 90, 11), ("a", 1, 101, 12), ("a", 2, 69, 13), ("b", 1, 1, 14), (None, 1, 31, 15)], "s string, id int, t long, r long")
+    got = {(r.l, r.r, r.after_us) for r in joins.asof_within(left, right, ["s", "id"], "l", "r", 30).collect()}
+    assert got == {(1, 11, 10), (4, 14, 30)}
+    assert joins.asof_within(left.limit(0), right, ["s", "id"], "l", "r", 30).count() == 0
+
+
+def test_author_share(spark):
+    rows = [("q", "x", i, False) for i in range(5)] + [("q", "x", 9, True), ("q", None, 10, False), ("q", "y", 11, False), ("p", "x", 12, False)]
+    df = spark.createDataFrame(rows, "call string, who string, n int, exempt boolean")
+    assert pairs(ranking.author_share(df, "call", "who", [F.col("n")], 2), "n") == [(0,), (1,), (9,), (10,), (11,), (12,)]
+
+
+def test_answer_holds(spark):
+    rows = [("lead", 1.0, False, False), ("lead", 0.9, False, False), ("tie", 1.0, False, False), ("tie", 1.0, False, False), ("low", 0.5, False, False), ("exact", 0.1, True, False), ("full", 0.1, False, True), ("alone", 1.0, False, False), ("far", 2.0, False, False), ("far", 2.0, False, False)]
+    got = ranking.answer_holds(spark.createDataFrame(rows, "w string, score double, exact boolean, full boolean"), "w", F.lit(0.95))
+    assert {r.w for r in got.filter("holds").collect()} == {"lead", "exact", "full", "alone", "far"}

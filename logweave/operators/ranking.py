@@ -219,7 +219,7 @@ def term_graph(docs: DataFrame, *, least: int = 3, cap: float = 0.5, floor: floa
     c = c.join(single.select(F.col("i").alias("x"), F.col("s").alias("nx"), F.col("term").alias("tx")), "x").join(single.select(F.col("i").alias("y"), F.col("s").alias("ny"), F.col("term").alias("ty")), "y")
     # What stands in every document that counts says nothing.
     w = c.withColumn("weight", F.when(F.col("n") < total, F.round(F.least(F.lit(cap), cap * npmi(c, "x", "y", "n", "nx", "ny", total)), 6))).filter(F.col("weight") >= floor)
-    left, known = cut(w.select("x", "y", "tx", "ty", "weight")), None
+    left, known, wide = cut(w.select("x", "y", "tx", "ty", "weight")), None, neighbours
     while True:
         both = left.select(F.col("tx").alias("term"), F.col("ty").alias("neighbour"), "weight", "x", "y").unionByName(left.select(F.col("ty").alias("term"), F.col("tx").alias("neighbour"), "weight", "x", "y"))
         best = cut(top_k(both, "term", [F.desc("weight"), F.col("neighbour")], neighbours))
@@ -227,6 +227,12 @@ def term_graph(docs: DataFrame, *, least: int = 3, cap: float = 0.5, floor: floa
         ask = cut(ask if known is None else ask.join(known, ["x", "y"], "left_anti"))
         if ask.isEmpty():
             return best.select("term", "neighbour", "weight")
+        if wide > neighbours:
+            # Terms that lost neighbours before are asked about more of theirs at once, so the rounds stay few.
+            open_ = best.join(ask, ["x", "y"], "left_semi").select("term").distinct()
+            ask = top_k(both.join(open_, "term", "left_semi"), "term", [F.desc("weight"), F.col("neighbour")], wide).select("x", "y").distinct()
+            ask = cut(ask.join(known, ["x", "y"], "left_anti"))
+        wide *= 8
         held = cut(_supported(ask, used, docs, least, overlap))
         known = held if known is None else known.unionByName(held)
         left = cut(left.join(ask.join(held, ["x", "y"], "left_anti"), ["x", "y"], "left_anti"))

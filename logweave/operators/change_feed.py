@@ -18,7 +18,7 @@ from logweave.session import cut
 
 #: A status that closes an entry.
 CLOSING = ("done", "discarded", "obsolete", "withdrawn")
-#: Slices over which the lines of one entry are spread.
+#: Slices over which the lines of one entry are spread at least; as many as there are shuffle partitions, if those are more.
 SLICES = 16
 
 _STATE = "entry_id string, last_at long, last_seq long, current_id string, closes boolean, status_at long, status_seq long, status string"
@@ -118,7 +118,8 @@ def replay_feed(log: DataFrame) -> DataFrame:
         F.col("root").alias("entry_id"), F.col("at").alias("last_at"), F.col("seq").alias("last_seq"), F.col("id").alias("current_id"), closes.alias("closes"),
         F.when(sets, F.col("at")).alias("status_at"), F.when(sets, F.col("seq")).alias("status_seq"), F.when(sets, F.col("status")).alias("status"),
     )
-    sliced = events.withColumn("slice", F.pmod(F.xxhash64("current_id"), F.lit(SLICES)))
+    slices = max(SLICES, int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sliced = events.withColumn("slice", F.pmod(F.xxhash64("current_id"), F.lit(slices)))
     sliced = sliced.repartition("entry_id", "slice").sortWithinPartitions("entry_id", "slice", "last_at", "last_seq")
     # Within a partition the slices of an entry follow each other, so its state goes on over them.
     parts = sliced.drop("slice").mapInArrow(_replay, _STATE)

@@ -69,6 +69,24 @@ def top_k(rows: DataFrame, by: str, order: list[Column], k: int, rank: str | Non
     return r.withColumnRenamed("_rn", rank) if rank else r.drop("_rn")
 
 
+def places(rows: DataFrame, by: str, order: list[Column], name: str = "place", total: str | None = None) -> DataFrame:
+    """rows with each one's place from 1 among those of its group, as row_number gives it, and the group's size if ``total`` is named.
+
+    For groups of any size: rows are sorted over all partitions, each is numbered within its partition and group, and what stands in
+    the partitions before is added, a row for each group and partition. order must tell all rows of a group apart.
+    """
+    keys = [F.col(by), *order]
+    put = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # The numbers are written down with the rows, as partitions are others once they are read again.
+    put = cut(put.withColumns({"_p": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(2**33 - 1)}))
+    parts = put.groupBy(F.col(by).alias("_by"), F.col("_p").alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_by")
+    parts = parts.withColumns({"_before": F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_n").over(w)})
+    out = put.join(parts, (F.col("_p") == F.col("_part")) & F.col(by).eqNullSafe(F.col("_by")))
+    out = out.withColumn(name, (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("int"))
+    return (out.withColumn(total, F.col("_all")) if total else out).drop("_p", "_at", "_by", "_part", "_first", "_n", "_before", "_all")
+
+
 def retrieval_queries(items: DataFrame, key: str, docs: DataFrame, n: int) -> DataFrame:
     """``(key, query)``: each item's n rarest content words among docs (doc_id, text), in their order."""
     w = docs.select("doc_id", F.explode(tx.content_words(F.col("text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))

@@ -60,7 +60,7 @@ def win4_author_share(spark: SparkSession, d: str) -> DataFrame:
 def win5_round_robin(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "search_hits").filter("score is not null and hit_type is not null").select("call_name", "hit_type", "hit_id", "score")
     r = h.withColumn("rn", F.row_number().over(Window.partitionBy("call_name", "hit_type").orderBy(F.desc("score"), "hit_id"))).filter("rn <= 10")
-    return r.select("call_name", "hit_id", F.row_number().over(Window.partitionBy("call_name").orderBy("rn", "hit_type", "hit_id")).alias("place"))
+    return rk.places(r, "call_name", [F.col("rn"), F.col("hit_type"), F.col("hit_id")]).select("call_name", "hit_id", "place")
 
 
 _HASH = r"left(sha256(trim(regexp_replace({}, '[ \t\r\n]+', ' ', 'g'))), 16)"
@@ -79,8 +79,8 @@ def win7_duplicate_retirement(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT hit_id, row_number() OVER (PARTITION BY call_name ORDER BY score DESC NULLS LAST, source, line, hit_id)::INT AS place FROM search_hits")
 def win8_stable_sort(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("call_name").orderBy(F.desc_nulls_last("score"), F.asc_nulls_last("source"), F.asc_nulls_last("line"), "hit_id")
-    return table(spark, d, "search_hits").select("hit_id", F.row_number().over(w).alias("place"))
+    h = table(spark, d, "search_hits").select("call_name", "hit_id", "score", "source", "line")
+    return rk.places(h, "call_name", [F.desc_nulls_last("score"), F.asc_nulls_last("source"), F.asc_nulls_last("line"), F.col("hit_id")]).select("hit_id", "place")
 
 
 @query()
@@ -146,18 +146,19 @@ def win16_before_edit(spark: SparkSession, d: str) -> DataFrame:
     return rk.top_k(m, "source", [F.desc("role"), F.desc("t"), F.col("journal_id")], 3, "place").select("source", "journal_id", "place")
 
 
-@query("WITH b AS (SELECT occasion, journal_id, row_number() OVER (PARTITION BY occasion ORDER BY journal_id) AS rn, count(*) OVER (PARTITION BY occasion) AS n FROM journal WHERE reason IS NOT NULL) SELECT occasion, journal_id FROM b WHERE rn = 20260401 % n + 1")
+@query("WITH b AS (SELECT occasion, journal_id, row_number() OVER (PARTITION BY occasion ORDER BY journal_id) AS rn, count(*) OVER (PARTITION BY occasion) AS n FROM journal WHERE reason IS NOT NULL) SELECT occasion, journal_id FROM b WHERE rn = (list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split('2026-04-01', ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)) % n + 1")
 def win17_daily_pick(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("occasion")
-    b = table(spark, d, "journal").filter("reason is not null").select("occasion", "journal_id", F.row_number().over(w.orderBy("journal_id")).alias("rn"), F.count(F.lit(1)).over(w).alias("n"))
-    return b.filter("rn = 20260401 % n + 1").select("occasion", "journal_id")
+    """One row of each occasion, by the hash of the day."""
+    b = table(spark, d, "journal").filter("reason is not null").select("occasion", "journal_id")
+    seed = spark.range(1).select(mt.fnv1a(F.lit(NOW[:10])).alias("seed"))
+    return rk.places(b, "occasion", [F.col("journal_id")], "rn", "n").crossJoin(F.broadcast(seed)).filter("rn = seed % n + 1").select("occasion", "journal_id")
 
 
 @query("SELECT hit_id, round(CASE WHEN found_at < max(found_at) OVER (PARTITION BY hit_type) THEN score * 0.35 ELSE score END, 6) AS score FROM search_hits WHERE found_at IS NOT NULL AND score IS NOT NULL AND hit_type IS NOT NULL")
 def win18_topic_dampening(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "search_hits").filter("found_at is not null and score is not null and hit_type is not null")
-    newest = F.max("found_at").over(Window.partitionBy("hit_type"))
-    return h.select("hit_id", F.round(F.when(F.col("found_at") < newest, F.col("score") * 0.35).otherwise(F.col("score")), 6).alias("score"))
+    newest = h.groupBy("hit_type").agg(F.max("found_at").alias("newest"))
+    return h.join(newest, "hit_type").select("hit_id", F.round(F.when(F.col("found_at") < F.col("newest"), F.col("score") * 0.35).otherwise(F.col("score")), 6).alias("score"))
 
 
 @query(_FACTS + " SELECT key, current FROM facts WHERE state = 'current' AND (stale OR conflict) ORDER BY conflict DESC, age_days DESC, key LIMIT 3")
@@ -258,8 +259,8 @@ def rnk7_exact_hits(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT call_name, hit_id, row_number() OVER (PARTITION BY call_name ORDER BY is_raw, score DESC, hit_id)::INT AS place FROM search_hits WHERE score IS NOT NULL")
 def rnk8_raw_lane(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("call_name").orderBy(F.asc_nulls_last("is_raw"), F.desc("score"), "hit_id")
-    return table(spark, d, "search_hits").filter("score is not null").select("call_name", "hit_id", F.row_number().over(w).alias("place"))
+    h = table(spark, d, "search_hits").filter("score is not null").select("call_name", "hit_id", "score", "is_raw")
+    return rk.places(h, "call_name", [F.asc_nulls_last("is_raw"), F.desc("score"), F.col("hit_id")]).select("call_name", "hit_id", "place")
 
 
 _REASON = "CASE WHEN pending THEN 'pending' WHEN score IS NULL OR score < 0.1 THEN 'weak' WHEN copy > 1 THEN 'duplicate' WHEN share > 5 THEN 'author share' ELSE 'kept' END"
@@ -291,8 +292,8 @@ _LISTS = "a AS (SELECT world, hit_type, hit_id, row_number() OVER (PARTITION BY
 
 def lists(spark: SparkSession, d: str) -> list[DataFrame]:
     h = table(spark, d, "search_hits").filter("world is not null")
-    one = h.filter("score is not null").select("world", "hit_id", F.row_number().over(Window.partitionBy("world").orderBy(F.desc("score"), "hit_id")).alias("rank"))
-    two = h.filter("found_at is not null").select("world", "hit_id", F.row_number().over(Window.partitionBy("world").orderBy(F.desc("found_at"), "hit_id")).alias("rank"))
+    one = rk.places(h.filter("score is not null").select("world", "hit_id", "score"), "world", [F.desc("score"), F.col("hit_id")], "rank").select("world", "hit_id", "rank")
+    two = rk.places(h.filter("found_at is not null").select("world", "hit_id", "found_at"), "world", [F.desc("found_at"), F.col("hit_id")], "rank").select("world", "hit_id", "rank")
     return [one, two]
 
 

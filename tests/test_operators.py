@@ -201,3 +201,14 @@ def test_answer_holds(spark):
     rows = [("lead", 1.0, False, False), ("lead", 0.9, False, False), ("tie", 1.0, False, False), ("tie", 1.0, False, False), ("low", 0.5, False, False), ("exact", 0.1, True, False), ("full", 0.1, False, True), ("alone", 1.0, False, False), ("far", 2.0, False, False), ("far", 2.0, False, False)]
     got = ranking.answer_holds(spark.createDataFrame(rows, "w string, score double, exact boolean, full boolean"), "w", F.lit(0.95))
     assert {r.w for r in got.filter("holds").collect()} == {"lead", "exact", "full", "alone", "far"}
+
+
+def test_places(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([1.0, 2.0, None]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, s double, i int").repartition(5)
+    got = {r.i: (r.place, r.n) for r in ranking.places(df, "g", [F.desc_nulls_last("s"), F.col("i")], "place", "n").collect()}
+    for g in ("a", "b", None):
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+        assert [got[r[2]] for r in mine] == [(n, len(mine)) for n in range(1, len(mine) + 1)]
+    assert ranking.places(df.limit(0), "g", [F.col("i")]).count() == 0

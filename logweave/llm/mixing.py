@@ -24,7 +24,7 @@ VOCABULARY = os.environ.get("LOGWEAVE_TOKENIZERS", "/opt/tokenizers")
 #: Blocks of the whole mix, where they are not shorter than a record; more if a source's weight is so small that it would have none.
 #: The block table is on the driver, and its size follows the targets, not the corpus.
 BLOCKS = 2_000
-#: Slices over which the records of one source are numbered.
+#: Slices over which the records of one source are numbered at least; as many as there are shuffle partitions, if those are more.
 SLICES = 256
 #: Fixed value: how this vocabulary splits text before merging, as the library publishes it for this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -92,11 +92,12 @@ def plan_sizes(have: dict[str, int], targets: dict[str, tuple[float, int]], tota
 def number(rows: DataFrame, key: str, order: str, size: str) -> DataFrame:
     """Adds ``upto``: the running sum of size before each row, by key in a fixed pseudo-random order.
 
-    A key is cut into SLICES by a hash of its rows; sums run within slices, and the slices' own sums, a few rows for
+    A key is cut into slices by a hash of its rows; sums run within slices, and the slices' own sums, a few rows for
     each key, give their offsets. So no key is summed up in one task.
     """
     h = F.xxhash64(order, F.lit(17))
-    rows = rows.withColumns({"h": h, "slice": F.pmod(F.xxhash64(order, F.lit(3)), F.lit(SLICES))})
+    slices = max(SLICES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.withColumns({"h": h, "slice": F.pmod(F.xxhash64(order, F.lit(3)), F.lit(slices))})
     inside = Window.partitionBy(key, "slice").orderBy("h", order).rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(key, "slice").agg(F.sum(size).alias("s"))
     before = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -18,7 +18,9 @@ ACCEPTING = ("assistant",)
 #: Lines of a path within one task; beyond that a path is split.
 PATH_BLOCK = 65_536
 #: Time span, in microseconds, within which one task sorts the lines of a conversation.
-SPAN_US = 6 * 3600 * 1_000_000
+SPAN_US = 3600 * 1_000_000
+#: Tasks over which the lines without a path or a place in it are spread.
+LOOSE = 1_024
 
 
 def _dies(state: Column, symbol: Column) -> Column:
@@ -29,18 +31,21 @@ def _dies(state: Column, symbol: Column) -> Column:
 
 
 def _with_times(lines: DataFrame) -> DataFrame:
-    """Adds ``t``: the line's own time or that of the nearest earlier line of its path that has one."""
+    """Adds ``t``: the line's own time or that of the nearest earlier line of its path that has one. A line without a path or a place in it
+    neither gives a time nor takes one, and goes to any task."""
+    loose = F.col("path").isNull() | F.col("line").isNull()
+    lines = lines.withColumn("capture", F.when(loose, F.concat(F.lit("\0"), F.pmod(F.xxhash64("line_id"), F.lit(LOOSE)).cast("string"))).otherwise(F.col("path")))
     block = F.floor(F.coalesce(F.col("line"), F.lit(0)) / PATH_BLOCK)
-    rows = lines.withColumn("block", block).repartition("path", "block")
-    timed = F.when(F.col("ts").isNotNull() & F.col("line").isNotNull(), F.struct("line", "ts"))
-    within = F.max(timed).over(Window.partitionBy("path", "block").orderBy("line").rangeBetween(Window.unboundedPreceding, -1))
+    rows = lines.withColumn("block", block).repartition("capture", "block")
+    timed = F.when(F.col("ts").isNotNull() & ~loose, F.struct("line", "ts"))
+    within = F.max(timed).over(Window.partitionBy("capture", "block").orderBy("line").rangeBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("near", within)
-    ends = lines.withColumn("block", block).repartition("path", "block").groupBy("path", "block").agg(F.max(timed).alias("end"))
-    before = F.last("end", ignorenulls=True).over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    ends = ends.select("path", "block", before.alias("carried")).filter("carried is not null")
-    rows = rows.join(ends, ["path", "block"], "left")
-    known = F.when(F.col("path").isNotNull() & F.col("line").isNotNull(), F.coalesce("near.ts", "carried.ts"))
-    return rows.withColumn("t", F.coalesce("ts", known)).drop("near", "carried", "block")
+    ends = lines.withColumn("block", block).repartition("capture", "block").groupBy("capture", "block").agg(F.max(timed).alias("end"))
+    before = F.last("end", ignorenulls=True).over(Window.partitionBy("capture").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select("capture", "block", before.alias("carried")).filter("carried is not null")
+    rows = rows.join(ends, ["capture", "block"], "left")
+    known = F.when(~loose, F.coalesce("near.ts", "carried.ts"))
+    return rows.withColumn("t", F.coalesce("ts", known)).drop("near", "carried", "block", "capture")
 
 
 def _parts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,7 +58,8 @@ def _parts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         not_blank(F.col("message.content")).alias("said"),
         F.unhex(F.md5(F.col("message.content"))).alias("digest"),
     )
-    part = F.coalesce(F.floor(F.unix_micros("t") / SPAN_US), F.lit(-(2**62)))
+    # What has no time stands first, in order of the line; without that either, first of all.
+    part = F.coalesce(F.floor(F.unix_micros("t") / SPAN_US), F.lit(-(2**62)) + F.coalesce(F.floor(F.col("line") / PATH_BLOCK), F.lit(-(2**33))))
     rows = _with_times(narrow).filter("not side").withColumn("part", part).repartition("conv_id", "part")
     bad = F.col("speaker").isNull()
     same = Window.partitionBy("conv_id", "part", "speaker", "ts", "digest").orderBy("line_id")

@@ -30,12 +30,12 @@ def term_stats(post: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return df, lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
 
 
-def bm25_search(docs: DataFrame, key: str, queries: DataFrame, qkey: str, top: int = 10, expansion: DataFrame | None = None) -> DataFrame:
-    """``(qkey, key, score, covered, asked)``: the top documents of every query, score times coverage; ties by key.
+def bm25_scores(docs: DataFrame, key: str, queries: DataFrame, qkey: str, expansion: DataFrame | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """``(qkey, key, score, covered, asked)``: every document with a term of the query, or those of the pairs wanted ``(qkey, key)``; not ranked.
 
     docs is (key, text), queries (qkey, text). The postings, the index, are written once to the shared folder and read for
     statistics and hits. Only postings of asked terms are joined, so stop-like terms cost nothing if no query has them.
-    expansion ``(term, neighbour, weight)`` adds neighbours at their weight, without coverage.
+    expansion ``(term, neighbour, weight)`` adds neighbours at their weight, without coverage. The score is times coverage.
     """
     index, df, n_docs, avg = build_index(docs, key)
     asked = queries.select(qkey, F.explode(tx.content_words(F.col("text"))).alias("term")).withColumns({"w": F.lit(1.0), "own": F.lit(1)})
@@ -44,11 +44,20 @@ def bm25_search(docs: DataFrame, key: str, queries: DataFrame, qkey: str, top: i
         more = asked.join(expansion, "term").select(qkey, F.col("neighbour").alias("term"), F.col("weight").alias("w"), F.lit(0).alias("own"), "asked")
         asked = asked.unionByName(more).groupBy(qkey, "term", "asked").agg(F.max("w").alias("w"), F.max("own").alias("own"))
     asked = asked.join(df, "term").withColumn("w", F.col("w") * mt.idf(F.lit(float(n_docs)), F.col("df")))
-    hit = index.join(asked, "term")
+    if wanted is not None:
+        # Few pairs: their queries' terms meet their documents' postings by document, so no list of a term is read out.
+        asked = asked.join(wanted.select(qkey, key).distinct(), qkey)
+        hit = index.join(asked, [key, "term"])
+    else:
+        hit = index.join(asked, "term")
     part = mt.bm25(F.col("tf"), F.col("len"), F.lit(avg), F.col("w"))
     got = hit.groupBy(qkey, key, "asked").agg(F.sum(part).alias("s"), F.sum("own").alias("covered"))
-    got = got.withColumn("score", F.round(F.col("s") * mt.coverage(F.col("covered"), F.col("asked")), 6))
-    return top_k(got, qkey, [F.desc("score"), F.col(key)], top).select(qkey, key, "score", "covered", "asked")
+    return got.select(qkey, key, F.round(F.col("s") * mt.coverage(F.col("covered"), F.col("asked")), 6).alias("score"), "covered", "asked")
+
+
+def bm25_search(docs: DataFrame, key: str, queries: DataFrame, qkey: str, top: int = 10, expansion: DataFrame | None = None) -> DataFrame:
+    """``(qkey, key, score, covered, asked)``: the top documents of every query, see bm25_scores; ties by key."""
+    return top_k(bm25_scores(docs, key, queries, qkey, expansion), qkey, [F.desc("score"), F.col(key)], top)
 
 
 def build_index(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame, int, float]:

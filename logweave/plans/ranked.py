@@ -13,6 +13,7 @@ from logweave.operators import ranking as rk
 from logweave.plans.aggregates import TERM_GRAPH_SQL, _npmi_sql, tag_graph, term_graph
 from logweave.plans.registry import NOW, NOW_SQL, ORACLES, query, sql_list
 from logweave.plans.relational import _CW, _FIRST, log
+from logweave.session import cut
 from logweave.sources.tables import table
 
 _FACTS = f"""WITH {_FIRST}, s AS (SELECT replaces_id AS id, min(at_ts) AS b FROM first WHERE replaces_id IS NOT NULL GROUP BY 1), v AS (SELECT f.topic AS key, f.id, f.title AS value, f.at_ts AS a, s.b FROM first f LEFT JOIN s USING (id) WHERE topic IS NOT NULL),
@@ -253,7 +254,7 @@ def rnk7_exact_hits(spark: SparkSession, d: str) -> DataFrame:
     few = i.groupBy("x").count().filter("count <= 10").select("x")
     q = items(spark, d).select("item_id", F.explode(tx.identifiers(F.col("text"))).alias("x"))
     hits = q.join(few, "x").join(i, "x").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("identifiers"))
-    scored = rk.bm25_search(docs(spark, d), "doc_id", items(spark, d), "item_id", 10**9).select("item_id", "doc_id", "score")
+    scored = rk.bm25_scores(docs(spark, d), "doc_id", items(spark, d), "item_id", wanted=hits).select("item_id", "doc_id", "score")
     return hits.join(scored, ["item_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
@@ -392,7 +393,7 @@ def mth1_idf(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_BM25} SELECT item_id, max(covered) AS covered, round(0.6 + 0.4 * max(covered) / any_value(asked), 6)::DOUBLE AS factor FROM r GROUP BY item_id")
 def mth2_coverage(spark: SparkSession, d: str) -> DataFrame:
-    r = rk.bm25_search(docs(spark, d), "doc_id", items(spark, d), "item_id", 10**9)
+    r = rk.bm25_scores(docs(spark, d), "doc_id", items(spark, d), "item_id")
     g = r.groupBy("item_id", "asked").agg(F.max("covered").alias("covered"))
     return g.select("item_id", "covered", F.round(mt.coverage(F.col("covered"), F.col("asked")), 6).alias("factor"))
 
@@ -415,10 +416,9 @@ def mth4_rrf(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_BM25}, k AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r), g AS (SELECT item_id, min(doc_id) AS gold FROM r WHERE covered >= 0.8 * asked GROUP BY item_id), h AS (SELECT g.item_id, k.rank FROM g LEFT JOIN k ON k.item_id = g.item_id AND k.doc_id = g.gold AND k.rank <= 10)
 SELECT count(*) AS queries, round(avg(coalesce(rank = 1, false)::INT), 6) AS r1, round(avg((rank IS NOT NULL)::INT), 6) AS r10, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM h""")
 def mth8_retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    r = rk.bm25_search(docs(spark, d), "doc_id", items(spark, d), "item_id", 10**9)
-    r = r.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")))
+    r = cut(rk.bm25_scores(docs(spark, d), "doc_id", items(spark, d), "item_id"))
     gold = r.filter(F.col("covered") >= 0.8 * F.col("asked")).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
-    h = gold.join(r.filter("rank <= 10"), ["item_id", "doc_id"], "left")
+    h = gold.join(rk.top_k(r, "item_id", [F.desc("score"), F.col("doc_id")], 10, "rank"), ["item_id", "doc_id"], "left")
     one = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0))), 6)
     return h.agg(F.count(F.lit(1)).alias("queries"), one((F.col("rank") == 1).cast("int")).alias("r1"), one(F.col("rank").isNotNull().cast("int")).alias("r10"), one(1 / F.col("rank")).alias("mrr"))
 

@@ -247,14 +247,19 @@ def rnk6_subwords(spark: SparkSession, d: str) -> DataFrame:
 _IDS = tx.identifiers_sql("documents", "doc_id", "text")
 
 
-@query(f"""WITH {_BM25}, i AS (SELECT DISTINCT doc_id, lower(i) AS x FROM ({_IDS})), few AS (SELECT x FROM i GROUP BY x HAVING count(*) <= 10), qi AS (SELECT DISTINCT item_id, lower(i) AS x FROM ({_IDS.replace('doc_id', 'item_id').replace('documents', 'eval_items')}))
+_ASKED_HITS = "(SELECT hit_id AS item_id, entry_text AS text FROM search_hits WHERE entry_text IS NOT NULL)"
+
+
+@query(f"""WITH {_BM25.replace('eval_items', _ASKED_HITS)}, i AS (SELECT DISTINCT doc_id, lower(i) AS x FROM ({_IDS})), few AS (SELECT x FROM i GROUP BY x HAVING count(*) <= 10), qi AS (SELECT DISTINCT item_id, lower(i) AS x FROM ({tx.identifiers_sql(_ASKED_HITS, 'item_id', 'text')}))
 SELECT item_id, i.doc_id, count(*) AS identifiers, max(coalesce(r.score, 0)) AS score FROM qi JOIN few USING (x) JOIN i USING (x) LEFT JOIN r USING (item_id, doc_id) GROUP BY 1, 2""")
 def rnk7_exact_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of earlier hits ask; documents that share an identifier of at most ten documents answer."""
+    asked = table(spark, d, "search_hits").filter("entry_text is not null").select(F.col("hit_id").alias("item_id"), F.col("entry_text").alias("text"))
     i = docs(spark, d).select("doc_id", F.explode(tx.identifiers(F.col("text"))).alias("x"))
     few = i.groupBy("x").count().filter("count <= 10").select("x")
-    q = items(spark, d).select("item_id", F.explode(tx.identifiers(F.col("text"))).alias("x"))
-    hits = q.join(few, "x").join(i, "x").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("identifiers"))
-    scored = rk.bm25_scores(docs(spark, d), "doc_id", items(spark, d), "item_id", wanted=hits).select("item_id", "doc_id", "score")
+    q = asked.select("item_id", F.explode(tx.identifiers(F.col("text"))).alias("x"))
+    hits = cut(q.join(few, "x").join(i, "x").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("identifiers")))
+    scored = rk.bm25_scores(docs(spark, d), "doc_id", asked.join(hits.select("item_id").distinct(), "item_id", "left_semi"), "item_id", wanted=hits).select("item_id", "doc_id", "score")
     return hits.join(scored, ["item_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 

@@ -82,7 +82,11 @@ def snk8_capture_writer(spark: SparkSession, d: str) -> DataFrame:
     return st.run(s).groupBy("session_id").agg(F.count("text").alias("lines"), F.sum(F.length("text")).alias("chars"), F.sum(tx.redactions(F.col("text"))).cast("long").alias("markers"), digest.alias("digest"))
 
 
-@query()
+_NAME_SLUG = "regexp_replace(regexp_replace(strip_accents(replace(lower(name), 'ß', 'ss')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_CUT_SLUG = rf"CASE WHEN length({_NAME_SLUG}) <= 40 THEN {_NAME_SLUG} ELSE rtrim(regexp_replace(left({_NAME_SLUG}, 40), '^(.{{12,}})-[^-]*$', '\1'), '-') END"
+
+
+@query(f"WITH s AS (SELECT {_CUT_SLUG} AS slug, concat_ws(chr(10), name, \"current\") AS v FROM ({ORACLES['rnk20_skill_registry']})) SELECT slug, sum(len(string_split(v, chr(10))))::BIGINT AS lines FROM s GROUP BY slug")
 def snk9_skill_export(spark: SparkSession, d: str) -> DataFrame:
     """Registered items as text files, one folder for each name."""
     at = f"{st.place(spark)}/skills"
@@ -125,7 +129,7 @@ def str5_time_pruning(spark: SparkSession, d: str) -> DataFrame:
     return w.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("SELECT entry_type AS name, count(*) AS n FROM world_log GROUP BY 1 UNION ALL SELECT agent, count(*) FROM world_log GROUP BY 1")
 def str6_generation_cache(spark: SparkSession, d: str) -> DataFrame:
     """Two reports over one cached scan."""
     e = log(spark, d).select("entry_type", "project", "agent").cache()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,22 +124,69 @@ def tier_of(strength: Column, auto: float = 12.0, borderline: float = 5.5) -> Co
     return F.when(strength >= auto, "auto").when(strength >= borderline, "borderline").otherwise("dropped")
 
 
+#: Keys of equal sets that stand in one row, words of a set that its rows carry, 64-bit words of its bitmap, sets of a word that one task compares.
+TOGETHER, CARRIED, MAPS, HOT = 64, 64, 4, 1 << 13
+
+
 def overlapping_sets(sets: DataFrame, key: str, words: str, *, shared: int = 2, jaccard: float = 0.25) -> DataFrame:
-    """``(a, b, shared, jaccard)``: pairs of keys whose word sets share enough.
+    """``(a, b, shared, jaccard)``: pairs of keys whose word sets share enough. Exact.
 
-    Prefix filter: in the order from rare to frequent, two sets at or over the bound share one of their first
-    n - ceil(jaccard * n) + 1 words, so frequent words are rarely joined on. Exact.
+    Equal sets are compared once. Prefix filter: in the order from rare to frequent, two sets at or over the bounds share one of their
+    first n - least + 1 words, where least is what a set must share with any other. Sets meet on these words, and a pair comes out of
+    the first word that it shares alone: the rows that meet carry what decides, so pairs are not shuffled. Only those with a set of more
+    than CARRIED words are, as far as the bounds leave them. A word of more than HOT sets is split into blocks, a task for two of them.
     """
-    w = sets.select(F.col(key).alias("k"), F.array_distinct(F.col(words)).alias("w")).filter(F.size("w") > 0)
-    e = w.select("k", F.size("w").alias("n"), F.explode("w").alias("x"))
-    df = e.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy("k").orderBy("df", "x"))
-    pre = e.join(df, "x").withColumn("p", place).filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * jaccard - 1e-9) + 1).select("k", "x")
-    cand = pre.alias("a").join(pre.alias("b"), (F.col("a.x") == F.col("b.x")) & (F.col("a.k") < F.col("b.k"))).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
-    full = cand.join(w.select(F.col("k").alias("a"), F.col("w").alias("wa")), "a").join(w.select(F.col("k").alias("b"), F.col("w").alias("wb")), "b")
-    s = F.size(F.array_intersect("wa", "wb"))
-    full = full.select("a", "b", s.alias("shared"), (s / (F.size("wa") + F.size("wb") - s)).alias("j"))
-    return full.filter((F.col("shared") >= shared) & (F.col("j") >= jaccard)).select("a", "b", "shared", F.round("j", 6).alias("jaccard"))
+    spark = sets.sparkSession
+    w = sets.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(words)).alias("w")).filter((F.size("w") >= max(1, shared)) & F.col("k").isNotNull())
+    part = F.floor((F.row_number().over(Window.partitionBy("w").orderBy("k")) - 1) / TOGETHER)
+    units = w.withColumn("part", part).groupBy("w", "part").agg(F.collect_list("k").alias("ks"))
+    # Numbers of rows are the same for all who read them only in what is written down.
+    every = cut(units.select(F.monotonically_increasing_id().alias("u"), F.size("w").alias("n"), "w", "ks"))
+    e = every.select("u", F.explode("w").alias("x"))
+    df = e.groupBy("x").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")  # a word of one unit is shared with none
+    df = cut(df.select("x", "df", F.monotonically_increasing_id().alias("i")))
+    spot = F.pmod(F.xxhash64("i"), F.lit(64 * MAPS))
+    maps = [F.coalesce(F.bit_or(F.when(F.floor(spot / 64) == m, F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int")))), F.lit(0)).alias(f"m{m}") for m in range(MAPS)]
+    in_order = e.join(df, "x").groupBy("u").agg(F.array_sort(F.collect_list(F.struct("df", "i"))).alias("o"), *maps)
+    least = F.greatest(F.lit(max(1, shared)), F.ceil(F.col("n") * jaccard - 1e-9)).cast("int")
+    units = cut(every.drop("w").join(in_order, "u").filter(F.size("o") >= least).withColumn("least", least))
+
+    small = F.col("n") <= CARRIED
+    size = F.size("o").alias("size")
+    x = units.select("u", "n", size, F.when(small, F.col("o.i")).alias("w"), F.when(small, F.col("ks")).alias("ks"), *(f"m{m}" for m in range(MAPS)), F.posexplode(F.slice("o", F.lit(1), F.size("o") - F.col("least") + 1)).alias("place", "x"))
+    blocks = F.ceil(F.col("x.df") / HOT).cast("int")
+    x = x.withColumn("block", F.pmod(F.xxhash64("u"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    x = x.withColumn("cell", F.least("block", "other") * blocks + F.greatest("block", "other"))
+    keys = x.withColumn("own", F.col("block") == F.col("other")).withColumn("x", F.col("x.i")).drop("other").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "x", "cell")
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    # What can follow the first shared word bounds what two sets share; so do the bits that only one set has, each of
+    # which stands for a word at least that the other lacks.
+    lacks = lambda p, q: sum((F.bit_count(p(f"m{m}").bitwiseAND(F.bitwise_not(q(f"m{m}")))) for m in range(MAPS)), F.lit(0))
+    most = F.least(a("size") - F.greatest(a("place"), lacks(a, b)), b("size") - F.greatest(b("place"), lacks(b, a)))
+    enough = (most >= shared) & (most * (1 + jaccard) >= (a("n") + b("n")) * jaccard - 1e-9)
+    # Sets of one block meet in the cell of that block alone.
+    on = (a("x") == b("x")) & (a("cell") == b("cell")) & (a("u") < b("u")) & ((a("block") != b("block")) | a("own")) & enough
+
+    def decided(pairs: DataFrame, first: Column | None) -> DataFrame:
+        # explode keeps the words shared from being sought again for each use of them.
+        pairs = pairs.withColumn("both", F.explode(F.array(F.array_intersect("w_a", "w_b")))).withColumn("shared", F.size("both"))
+        pairs = pairs.withColumn("j", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")))
+        pairs = pairs.filter((F.col("shared") >= shared) & (F.col("j") >= jaccard) & (F.lit(True) if first is None else F.get("both", F.lit(0)) == first))
+        return pairs.withColumn("k_a", F.explode("ks_a")).withColumn("k_b", F.explode("ks_b")).select("k_a", "k_b", "shared", "j")
+
+    sides = lambda *cs: [f(c).alias(f"{c}_{z}") for z, f in (("a", a), ("b", b)) for c in cs]
+    few = keys.filter(small)
+    out = decided(few.alias("a").join(few.alias("b"), on).select(a("x").alias("x"), *sides("n", "w", "ks")), F.col("x"))
+    # Equal sets of one row; 1 is at or over any bound.
+    alike = every.filter(F.size("ks") > 1).withColumn("k_a", F.explode("ks")).withColumn("k_b", F.explode("ks")).filter("k_a < k_b").select("k_a", "k_b", F.col("n").alias("shared"), F.lit(1.0).alias("j"))
+    out = out.unionByName(alike)
+    if not units.filter(~small).isEmpty():
+        near = keys.filter(F.col("n") > math.floor(CARRIED * jaccard)).drop("w", "ks")
+        left = near.alias("a").join(near.alias("b"), on & (F.greatest(a("n"), b("n")) > CARRIED)).select(*sides("u")).distinct()
+        for z in "ab":
+            left = left.join(units.select(F.col("u").alias(f"u_{z}"), F.col("n").alias(f"n_{z}"), F.col("o.i").alias(f"w_{z}"), F.col("ks").alias(f"ks_{z}")), f"u_{z}")
+        out = out.unionByName(decided(left, None))
+    return out.filter("k_a <> k_b").select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b"), "shared", F.round("j", 6).alias("jaccard"))
 
 
 def similar_names(names: DataFrame) -> DataFrame:

@@ -297,7 +297,8 @@ def joi9_shared_features(spark: SparkSession, d: str) -> DataFrame:
  p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2)
 SELECT a, b, shared, round(shared / (na + nb - shared)::DOUBLE, 6) AS jaccard FROM p WHERE shared >= 2 AND shared / (na + nb - shared)::DOUBLE >= 0.25""")
 def joi10_set_overlap(spark: SparkSession, d: str) -> DataFrame:
-    s = quality.first_lines(log(spark, d)).filter("entry_type = 'decision'").select("id", tx.content_words(F.concat_ws(" ", "title", "choice")).alias("w"))
+    said = F.when(F.col("entry_type") == "decision", F.concat_ws(" ", "title", "choice")).alias("said")
+    s = quality.first_lines(log(spark, d).select("id", "seq", said)).filter("said is not null").select("id", tx.content_words(F.col("said")).alias("w"))
     return joins.overlapping_sets(s, "id", "w")
 
 

@@ -143,3 +143,46 @@ def test_mmr_picks_from_a_hundred(spark, tmp_path):
     d = on_disk(spark, tmp_path, embeddings=spark.createDataFrame(v, "vec_id long, embedding array<double>"))
     got = {r["place"]: r["doc_id"] for r in ranked.win9_mmr(spark, d).collect()}
     assert len(got) == 10 and got[2] == 7
+
+
+def test_overlapping_sets_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    draw = lambda n: sorted({f"w{min(89, int(rng.expovariate(0.06)))}" for _ in range(n)})
+    sets = {f"k{i:03}": draw(rng.choice((1, 2, 4, 7, 9, 12, 40, 90))) for i in range(160)}
+    sets |= {f"c{i:03}": ["w1", "w2", "w5"] for i in range(9)} | {f"o{i}": ["only", "here"] for i in range(3)} | {"n": [], "m": None, "x": ["lone", "words"]}
+    want = {}
+    for (a, v), (b, w) in combinations(sorted(sets.items()), 2):
+        s = len(set(v or []) & set(w or []))
+        if s >= 2 and s / (len(v) + len(w) - s) >= 0.25:
+            want[a, b] = (s, round(s / (len(v) + len(w) - s), 6))
+    df = spark.createDataFrame(list(sets.items()), "k string, w array<string>")
+    assert len(want) > 1000 and ("o0", "o2") in want
+    for together, carried, hot in ((64, 64, 1 << 13), (2, 8, 16), (64, 12, 1 << 13), (1, 1000, 7)):
+        for name, value in (("TOGETHER", together), ("CARRIED", carried), ("HOT", hot)):
+            monkeypatch.setattr(joins, name, value)
+        got = joins.overlapping_sets(df, "k", "w").collect()
+        assert len(got) == len(want) and {(r["a"], r["b"]): (r["shared"], r["jaccard"]) for r in got} == want
+    assert joins.overlapping_sets(df.limit(0), "k", "w").count() == 0
+
+
+def test_overlapping_sets_do_not_shuffle_pairs(spark, tmp_path):
+    rows = [dict(seq=i, id=f"e{i:03}", entry_type="decision", title=f"north{i % 5} south{i % 7} west{i % 9}word", choice=f"anchor cobalt{i % 11}") for i in range(600)]
+    d = on_disk(spark, tmp_path, world_log=log_of(spark, rows))
+    sc = spark.sparkContext
+
+    def shuffled() -> int:
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    as_on_large = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in as_on_large.items():
+            spark.conf.set(k, v)
+        before = shuffled()
+        n = relational.joi10_set_overlap(spark, d).count()
+        moved = shuffled() - before
+    finally:
+        for k in as_on_large:
+            spark.conf.unset(k)
+    assert n > 20_000 and moved < n

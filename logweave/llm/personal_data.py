@@ -3,7 +3,7 @@
 One Aho-Corasick pass over a text finds the anchors: at-signs and their spelled forms, digits, captions of identity and
 of other numbers, street words, and the phrases that stand before or after a person's name. From each anchor a small
 deterministic parser expands to the boundaries of what stands there and validates it, with check digits where the form has
-them. The given and family names that anchored names of a sample show are learnt, and a pair of them is a name wherever it stands.
+them. The given and family names that anchored names of all texts show are learnt, and a pair of them is a name wherever it stands.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.session import cut
-
 TYPES = ("email", "phone", "id_number", "address", "name")
 
 #: How an at-sign is written.
@@ -70,8 +68,8 @@ _DATE = re.compile(r"[ \u00a0\u2009]+\d{4}-\d\d-\d\d")
 _STOP = re.compile(r"(?<!\bno)(?<!\bnr)(?<!\bnum)(?<!\bn)[.!?]\s(?!\d)|\n", re.IGNORECASE)
 _JUST_BEFORE = re.compile(r"(?:\W|\b(?:no|nr|num|number|nummer|número|numéro|is|ist|es|est|é|reads)\b){0,12}$", re.IGNORECASE)
 
-#: Names seen at least so often behind or before a phrase are learnt, from about so many texts, the most frequent ones of each kind.
-SEEN, SAMPLE_TEXTS, LEXICON = 3, 500_000, 100_000
+#: Names seen at least so often behind or before a phrase are learnt.
+SEEN = 3
 
 
 _NAME_KINDS = frozenset(("before", "perhaps", "after"))
@@ -329,15 +327,12 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in flat], pa.string()), pa.array([w for _, w in flat], pa.string())], ["kind", "word"])
 
 
-def learn_names(texts: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Lexicon:
-    """The given and the family names that stand at least SEEN times in anchored names of about sample_texts texts, drawn by a
-    hash; of each the LEXICON most frequent ones at most. Only those come to the driver."""
-    some = texts.filter("text is not null")
-    n = max(1, some.count())
-    drawn = some.filter(F.pmod(F.xxhash64("tbl", "row_id"), F.lit(n)) < sample_texts)
-    seen = cut(drawn.select("text").mapInArrow(_learn, "kind string, word string").groupBy("kind", "word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SEEN))
-    top = lambda kind: frozenset(r["word"] for r in seen.filter(F.col("kind") == kind).orderBy(F.desc("n"), "word").limit(LEXICON).collect())
-    return top("given"), top("family")
+def learn_names(texts: DataFrame) -> Lexicon:
+    """The given and the family names that stand at least SEEN times in the anchored names of all texts. Only those come to the driver."""
+    parts = texts.filter("text is not null").select("text").mapInArrow(_learn, "kind string, word string")
+    seen = parts.groupBy("kind", "word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SEEN).select("kind", "word").collect()
+    of = lambda kind: frozenset(r["word"] for r in seen if r["kind"] == kind)
+    return of("given"), of("family")
 
 
 def _broadcast(texts: DataFrame, lexicon: Lexicon | None):

@@ -80,3 +80,17 @@ def test_learnt_names(spark):
     ):
         assert [text[i:j] for k, i, j in f.find(text) if k == "name"] == want
     assert pd.learn_names(t.limit(0)) == (frozenset(), frozenset())
+
+
+def test_names_are_learnt_from_all_texts(spark):
+    family = [f"Lop{a}{b}z" for a in "aeiou" for b in "rstv"]
+    name = "concat('Thanks to Maria ', element_at(split('" + " ".join(family) + "', ' '), CAST(id % 20 AS INT) + 1), ', who came.')"
+    t = spark.range(600_000).selectExpr("'documents' AS tbl", "id AS row_id", f"CASE WHEN id < 60 THEN {name} ELSE '' END AS text")
+    assert pd.learn_names(t) == ({"maria"}, {x.lower() for x in family})
+
+
+def test_every_name_seen_often_is_learnt(spark, monkeypatch):
+    monkeypatch.setattr(pd, "LEXICON", 2, raising=False)  # no number of names is the most
+    said = [f"Thanks to {g} {f}, who came." for g in ("Maria", "Peter", "Sarah") for f in ("Lopez", "Schmidt", "Connor")]
+    t = spark.createDataFrame([("documents", i, x) for i, x in enumerate(said)], "tbl string, row_id long, text string")
+    assert pd.learn_names(t) == ({"maria", "peter", "sarah"}, {"lopez", "schmidt", "connor"})
